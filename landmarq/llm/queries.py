@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, mixing, sharding, simhash, tiff
 from ._common import table
 
 
@@ -27,6 +27,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.encode_payloads(table(spark, sf_dir, "documents"))
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = tiff.decode_pages(stored, "media")
+    tail = F.substring("pixels", -16, 16)
+    return pages.select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+        "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "error",
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary or word_vocabulary())
 
@@ -39,6 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op5_tiff": op5_tiff,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }
