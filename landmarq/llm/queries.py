@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, tiff
+from . import bottomk, bpe, mixing, sharding, simhash, tiff
 from ._common import table
 
 
@@ -38,6 +38,10 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.edit_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary or word_vocabulary())
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_tiff": op5_tiff,
+    "op6_bottomk": op6_bottomk,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }
