@@ -91,3 +91,14 @@ def with_prefix(df: DataFrame, order: Sequence[Column], size: str | None = None,
     return out.withColumns({"_index": F.col("_index") + F.col("_rows_ahead"), "_before": F.col("_before") + F.col("_sum_ahead")}).drop(
         "_part", "_tie", "_rows_ahead", "_sum_ahead"
     )
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed so that no name can clash with an operator's own, and the new name of each."""
+    names = {c: f"_given_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``names`` only, under the names that they had."""
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from ._common import materialise, n_words, with_prefix
+from ._common import materialise, n_words, shielded, unshielded, with_prefix
 
 #: Parts into which ranks inside a class of equal documents are counted.
 PARTS = 256
@@ -154,5 +154,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; rows with a null id are taken once."""
     counts = materialise(mix(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies")), "copies")
-    joined = docs.join(counts, docs[id_col] == counts["_id"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    rows, names = shielded(docs)
+    joined = rows.join(counts, F.col(names[id_col]) == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    copied = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unshielded(copied, names)

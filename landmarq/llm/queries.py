@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, mixing, sharding, simhash, tiff, warc
+from . import bottomk, bpe, chat, langid, mixing, sharding, simhash, tiff, training_order, warc
 from ._common import table
 
 
@@ -31,6 +31,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: What a user turn asks of the tool that answers it.
+REPLY_SCHEMA = {"reply": {"text": ("string", True), "turn": ("integer", True), "words": ("integer", True)}}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_from_turns(table(spark, sf_dir, "conversations"))
+    linked = chat.link_calls(calls, results, REPLY_SCHEMA)
+    return linked.select("conv_id", "call_id", "turn", "result_turn", "position", "tool", "status", F.array_join("errors", "; ").alias("errors"), "record")
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.encode_payloads(table(spark, sf_dir, "documents"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
@@ -46,6 +56,14 @@ def op6_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.edit_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = langid.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    pages = langid.identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = ("language", "confidence", "text_language", "accepted")
+    none = F.lit(None).cast("long")
+    return documents.select("doc_id", none.alias("page_id"), *found).union(pages.select(none.alias("doc_id"), "page_id", *found))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary or word_vocabulary())
 
@@ -55,14 +73,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    ordered = training_order.training_order(table(spark, sf_dir, "documents"), vocabulary or word_vocabulary(), key=20240229)
+    tokens = (F.octet_length("ids") / 2).cast("int").alias("n_tokens")
+    return ordered.select(F.col("id").alias("doc_id"), "seq_no", "slot", "shard", "byte_offset", tokens, F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_tool_calls": op4_tool_calls,
     "op5_tiff": op5_tiff,
     "op6_bottomk": op6_bottomk,
+    "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLE_SQL: dict[str, str] = {
