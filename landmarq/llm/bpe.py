@@ -14,6 +14,7 @@ rank gives.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ from ..shipping import ship
 
 #: Stands for the mark of a word's end inside keys; the byte alphabet has no such character.
 _END = "\ue000"
-#: Entries of a worker's cache of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Entries of each of the two generations of a worker's cache of encoded words, and the longest word that it keeps.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 _UNICODE_SPACE = regex.compile(r"\p{White_Space}+")
 #: Characters that str.split() takes for white space and Unicode doesn't.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -89,11 +90,12 @@ class Tokenizer:
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
-        # Decoding joins the tokens' strings by spaces: each has one ahead of it.
-        ordered = [(" " + self.names.get(i, "")).encode() for i in range(max(self.names) + 1)]
-        self.lengths = np.array([len(x) for x in ordered], np.int64)
-        self.offsets = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
+        self.older: dict[str, bytes] = {}
+        # Decoding joins the tokens' strings by spaces: each has one ahead of it. Token i lies at offsets[i]:offsets[i + 1].
+        strings = [(" " + self.names.get(i, "")).encode() for i in range(max(self.names) + 1)]
+        self.offsets = [0, *itertools.accumulate(map(len, strings))]
+        blob = b"".join(strings)
+        self.slices = [blob[a:b] for a, b in itertools.pairwise(self.offsets)]
 
     def _stays(self, first: int, second: int, target: int | None = None) -> bool:
         """Whether merging by rank leaves ``first`` and ``second`` side by side, until they merge into ``target`` if that is given."""
@@ -112,18 +114,20 @@ class Tokenizer:
             else:
                 bound, right = rank_right + 1, self.made_of[right][0]
 
-    def _fits(self, first: int, second: int) -> bool:
-        known = self.compatible.get((first, second))
-        if known is None:
-            if len(self.compatible) >= 2_000_000:
-                self.compatible.clear()
-            known = self.compatible[first, second] = self._stays(first, second)
-        return known
+    def _fits(self, pair: tuple[int, int]) -> bool:
+        """Adds the pair to the table of compatible pairs."""
+        if len(self.compatible) >= 2_000_000:
+            self.compatible.clear()
+        fits = self.compatible[pair] = self._stays(*pair)
+        return fits
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece of normalised text."""
-        alphabet = self.alphabet
-        key = "".join([alphabet[b] for b in word.encode()]) + _END
+        if word.isascii() and word.isprintable():  # the alphabet has these for themselves
+            key = word + _END
+        else:
+            alphabet = self.alphabet
+            key = "".join([alphabet[b] for b in word.encode()]) + _END
         size = len(key)
         longest: list[int | None] = [None] * (size + 1)
         for end, (token, length) in self.automaton.iter(key):
@@ -132,20 +136,27 @@ class Tokenizer:
         open_at[size - 1] = 0  # no token is the end mark alone
         tokens: list[int] = []
         at, token = 0, longest[0]
+        lengths, shorter, known = self.length, self.shorter, self.compatible
         while at < size:
             if token is None:
                 # Nothing fits here any more: leave this place for good and shorten the token before.
                 open_at[at] = 0
                 token = tokens.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+                at -= lengths[token]
+                token = shorter[token]
                 continue
-            end = at + self.length[token]
-            if open_at[end] and (not tokens or self._fits(tokens[-1], token)):
+            end = at + lengths[token]
+            fits = open_at[end]
+            if fits and tokens:
+                pair = tokens[-1], token
+                fits = known.get(pair)
+                if fits is None:
+                    fits = self._fits(pair)
+            if fits:
                 tokens.append(token)
                 at, token = end, longest[end]
             else:
-                token = self.shorter[token]
+                token = shorter[token]
         return tokens
 
     def _encode_plain(self, text: str) -> list[int]:
@@ -171,24 +182,20 @@ class Tokenizer:
         for chunk in chunks:
             ids = cache.get(chunk)
             if ids is None:
-                ids = self._encode_chunk(chunk)
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = self._encode_chunk(chunk)
                 if len(chunk) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
+                    if len(cache) >= CACHE_WORDS:  # words that stay in use outlive a change of generations
+                        self.older, cache = cache, {}
+                        self.cache = cache
                     cache[chunk] = ids
             out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the tokens' strings, joined by spaces."""
-        parts = []
-        each = np.frombuffer(ids, "<u4")
-        for at in range(0, len(each), 65536):
-            some = each[at : at + 65536]
-            lengths = self.lengths[some]
-            ends = np.cumsum(lengths)
-            parts.append(self.blob[np.repeat(self.offsets[some] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes())
-        return b"".join(parts)[1:]
+        return b"".join([self.slices[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:]
 
 
 @lru_cache(maxsize=2)
