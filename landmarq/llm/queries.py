@@ -73,8 +73,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
 
 
-def op10_training_order(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    ordered = training_order.training_order(table(spark, sf_dir, "documents"), vocabulary or word_vocabulary(), key=20240229)
+def op10_training_order(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ordered = training_order.training_order(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, key=20240229)
     tokens = (F.octet_length("ids") / 2).cast("int").alias("n_tokens")
     return ordered.select(F.col("id").alias("doc_id"), "seq_no", "slot", "shard", "byte_offset", tokens, F.crc32("ids").alias("ids_crc32"))
 

@@ -1,34 +1,41 @@
 """Token sequences in training order: a keyed permutation and fixed-stride shards.
 
-Documents become token sequences of fixed length. Every sequence gets a global
-slot by a keyed Feistel network over the next power of four, walked until it
-falls inside the range (so it is a permutation, computed from the sequence's
-number alone). Equal ranges of slots are sorted and written as shards of
-records of one size: the record of slot s starts at byte (s mod rows) * stride of
-shard s div rows, and reading can start or go on at any slot.
+Documents become token sequences of fixed length. A keyed Feistel network,
+walked until it falls inside the range, permutes all pairs (document id,
+sequence number) that the ids' range and the longest document allow, from the
+pair alone: no count of the sequences is needed ahead, and the order hangs on
+the key and the ids only, not on files or the cluster. Equal ranges of the
+permuted values are sorted and written as shards of records of one size; since
+the values are uniform, shards come out about even. A sequence's global slot is
+its place over all shards: the shards' sizes, summed up, tell where a slot
+lies, so reading can start or go on at any slot.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from . import bpe
-from ._common import shared_dir
+from ._common import shared_dir, with_prefix
 
-#: Tokens in a sequence, and sequences in a shard.
-LENGTH, SHARD_ROWS = 256, 32768
+#: Tokens in a sequence; UTF-8 bytes of text that a shard holds on average.
+LENGTH, SHARD_BYTES = 256, 24 << 20
 #: Rounds of the Feistel network.
 ROUNDS = 6
+#: Permuted values stay below this, so that sums of them fit a long.
+MOST_VALUES = 1 << 62
 _M64 = (1 << 64) - 1
 #: Document id, sequence number, tokens in use, 1 if the id is null.
 _HEAD = "<qIHH"
@@ -45,17 +52,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def half_bits(n: int) -> int:
     """Bits in each half of the least even-width block cipher over at least ``n`` values."""
-    return max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    return max(1, -(-(n - 1).bit_length() // 2))
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """The slots of sequence numbers in [0, n): a permutation of that range set by ``key``."""
+    """A permutation of [0, n) set by ``key``, applied to ``index``."""
     half = np.uint64(half_bits(n))
     mask = np.uint64((1 << int(half)) - 1)
     keys = [np.uint64((key * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03) & _M64) for r in range(ROUNDS)]
     out = index.astype(np.uint64)
     walking = np.arange(len(out))
-    while len(walking):  # under four walks on average
+    while len(walking):  # the cipher has under four times n values, so a walk is short
         x = out[walking]
         left, right = x >> half, x & mask
         for k in keys:
@@ -65,109 +72,126 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, seq_no, ids`` (little-endian unsigned 16-bit) with ``_part, _row``, the place in reading order.
+@lru_cache(maxsize=2)
+def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
+    """A worker's encoding; tasks that share a worker share it."""
+    pairs = (line.split() for line in ranks.splitlines())
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs}, special_tokens={})
 
-    Each whole text is encoded; its last sequence may be shorter. Texts without
-    tokens have no sequence. Vocabularies of up to 65,536 tokens only.
-    """
-    ship(docs.sparkSession)
-    definition = bpe._definition(docs.sparkSession, vocabulary)  # noqa: SLF001
-    names = ["id", "seq_no", "ids", "_part", "_row"]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.tokenizer(definition.value)
-        part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, numbers, parts, held = [], [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1)):
-                coded = np.frombuffer(coder.encode(text.as_py()), "<u4").astype("<u2").tobytes()
-                for k, at in enumerate(range(0, len(coded), 2 * length)):
-                    ids.append(i.as_py())
-                    numbers.append(k)
-                    parts.append(coded[at : at + 2 * length])
-                held += len(coded)
-                if held > 4 << 20:
-                    yield made(batch, ids, numbers, parts, part, row)
-                    row += len(ids)
-                    ids, numbers, parts, held = [], [], [], 0
-            if ids:
-                yield made(batch, ids, numbers, parts, part, row)
-                row += len(ids)
+def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, int, int, int, int]:
+    """``id, text, number`` with numbers in [0, count); that count, the most sequences of a document, the texts' bytes and the rows.
 
-    def made(batch, ids, numbers, parts, part, row) -> pa.RecordBatch:
-        count = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, batch.column(0).type), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary()), pa.array([part] * count, pa.int32()), pa.array(range(row, row + count), pa.int64())], names=names
-        )
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(scan, "id long, seq_no long, ids binary, _part int, _row long")
-
-
-def write_order(docs: DataFrame, path: str, vocabulary: str, key: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    An id's number is its distance from the least. Where the ids' range is too
+    wide for that, ids are ranked. A null id gets a number from its text's hash.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = F.octet_length("text").cast("long")
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(size).alias("longest"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    most = -(-((ends["longest"] or 0) + 1) // length)
+    low, high = ends["low"] or 0, ends["high"] or 0
+    if (high - low + 1) * most < MOST_VALUES:
+        number, count = F.col("id") - F.lit(low), high - low + 1
+    else:
+        ranks = with_prefix(rows.where("id is not null").select("id").distinct(), [F.col("id").asc()], name="ids").select(F.col("id").alias("_id"), F.col("_index").alias("_rank"))
+        count = ranks.count()
+        rows = rows.join(ranks, F.col("id") == F.col("_id"), "left")
+        number = F.col("_rank")
+    spare = F.pmod(F.xxhash64("text"), F.lit(count))
+    return rows.select("id", "text", F.coalesce(number, spare).alias("number")), count, most, ends["bytes"] or 0, ends["rows"]
+
+
+def write_order(
+    docs: DataFrame, path: str, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
+) -> dict:
     """Writes ``docs`` as shards under ``path`` in the order set by ``key``; gives the manifest, which is written too.
 
-    Ids are integers; a null id and rows that repeat are kept as they are. An
-    empty table writes no shard. The sequences are stored once, so that they
-    can be counted and numbered (a sum for each task's part meets on one row
-    each); then one exchange takes every record to its range of slots. Slots are
-    uniform, so ranges are even whatever the sources. A lost task is written
-    again from the stored sequences, and the engine's committer publishes whole files only.
+    ``ranks`` is the path of a rank file of at most 65,536 tokens, ``pattern``
+    its splitting pattern. Each whole text is encoded and closed by ``end_id``;
+    its last sequence is padded by zeros. A null text is an empty one, so
+    every row has a sequence. Ids are integers; rows with a null id stand where
+    their text's hash puts them; rows that repeat an id stand side by side. An empty table writes no shard.
+
+    One scan finds the ids' range and the longest text, one exchange takes every record to its
+    range. Nothing is stored but the exchange and the shards. A lost task is run
+    again from the table, and the engine's committer publishes whole files only.
     """
     spark = docs.sparkSession
-    stored_at = shared_dir(spark, "sequences")
-    sequences(docs, vocabulary, length, id_col, text_col).write.option("compression", "zstd").parquet(stored_at)
-    stored = spark.read.schema("id long, seq_no long, ids binary, _part int, _row long").parquet(stored_at)
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", "_n", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    n = totals.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    ship(spark)
+    rows, numbers, most, size, given = _numbered(docs, id_col, text_col, length)
+    values = numbers * most
+    shards = max(1, -(-size // shard_bytes))
+    width = -(-values // shards)
     stride = _HEAD_BYTES + 2 * length + len(_MARK)
-    manifest = {"sequences": n, "length": length, "stride": stride, "shard_rows": shard_rows, "shards": -(-n // shard_rows), "key": key, "rounds": ROUNDS}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
-    if not n:
-        return manifest
+    manifest = {"length": length, "stride": stride, "shards": shards, "key": key, "rounds": ROUNDS, "numbers": numbers, "most": most, "rows": given}
+    shared = spark.sparkContext.broadcast(Path(ranks).read_text(encoding="ascii"))  # a rank file: about a MB
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoding(shared.value, pattern)
         for batch in batches:
-            index = batch.column(3).to_numpy()
-            slots = permute(index, n, key)
-            records = [
-                (struct.pack(_HEAD, i if i is not None else 0, k, len(ids) // 2, i is None) + ids).ljust(stride - len(_MARK), b"\0")
-                for i, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], names=["slot", "record"])
-
-    # One row for each task that wrote sequences.
-    numbered = stored.join(F.broadcast(totals.select("_part", "_ahead")), "_part").select("id", "seq_no", "ids", (F.col("_ahead") + F.col("_row")).alias("index"))
-    placed = numbered.mapInArrow(place, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / F.lit(shard_rows)).cast("long"))
-    tasks = max(1, min(manifest["shards"], int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(manifest["shards"])).cast("int")).sortWithinPartitions("shard", "slot")
+            index, records, held = [], [], 0
+            for i, text, number in zip(batch.column(0), batch.column(1), batch.column(2)):
+                ids = coder.encode_ordinary(text.as_py())
+                ids.append(end_id)
+                coded = np.array(ids, "<u2").tobytes()
+                ident = i.as_py()
+                base = number.as_py() * most
+                for k, at in enumerate(range(0, len(coded), 2 * length)):
+                    part = coded[at : at + 2 * length]
+                    records.append((struct.pack(_HEAD, ident or 0, k, len(part) // 2, ident is None) + part).ljust(stride - len(_MARK), b"\0"))
+                    index.append(base + k)
+                held += len(coded)
+                if held > 4 << 20:
+                    yield placed(index, records)
+                    index, records, held = [], [], 0
+            if records:
+                yield placed(index, records)
+
+    def placed(index: list[int], records: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(permute(np.array(index, np.int64), values, key)), pa.array(records, pa.binary())], names=["value", "record"])
+
+    coded = rows.mapInArrow(scan, "value long, record binary").withColumn("shard", F.floor(F.col("value") / F.lit(width)).cast("long"))
+    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = coded.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(shards)).cast("int")).sortWithinPartitions("shard", "value", "record")
     out = ranged.select("shard", F.col("record").cast("string").alias("value"))
+    # The mark that ends a record is the writer's line separator.
     out.write.partitionBy("shard").option("lineSep", _MARK).option("compression", "none").text(f"{path}/shards")
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return manifest
 
 
+def shard_table(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """``shard, first_slot, rows`` of each shard, from the files' sizes: one row each."""
+    if not manifest["rows"]:
+        return spark.createDataFrame([], "shard long, first_slot long, rows long")
+    files = spark.read.format("binaryFile").load(f"{path}/shards").select(F.col("shard").cast("long").alias("shard"), "length")
+    rows = files.groupBy("shard").agg((F.sum("length") / manifest["stride"]).cast("long").alias("rows"))
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("first_slot"), "rows")
+
+
 def read_order(spark: SparkSession, path: str, manifest: dict, start: int = 0) -> DataFrame:
-    """``slot, shard, byte_offset, id, seq_no, ids`` of all sequences from slot ``start`` on, one shard to a row of work.
+    """``slot, shard, byte_offset, id, seq_no, ids`` of all sequences from slot ``start`` on.
 
-    Shards ahead of ``start`` aren't listed. A shard of the wrong size or a record without
-    its mark raises ValueError.
+    Shards ahead of ``start`` aren't opened. A shard that is no whole number of
+    records, or a record without its mark, raises ValueError.
     """
-    stride, rows, n = manifest["stride"], manifest["shard_rows"], manifest["sequences"]
+    stride = manifest["stride"]
     schema = "slot long, shard long, byte_offset long, id long, seq_no long, ids binary"
-    if start >= n:
+    table = shard_table(spark, path, manifest).where(F.col("first_slot") + F.col("rows") > start)
+    if table.isEmpty():
         return spark.createDataFrame([], schema)
     ship(spark)
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= start // rows).select(F.col("shard").cast("long").alias("shard"), "content")
+    files = spark.read.format("binaryFile").load(f"{path}/shards").select(F.col("shard").cast("long").alias("shard"), "content")
+    # A row for each shard, so its size is set by the shards' size and count.
+    files = files.join(F.broadcast(table.select("shard", "first_slot")), "shard").select("shard", "first_slot", "content")
     mark = _MARK.encode()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for shard, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = content.as_py()
-                first = shard * rows
-                if len(data) != stride * min(rows, n - first):
+                if len(data) % stride:
                     raise ValueError(f"shard {shard} has {len(data)} bytes")
                 held = []
                 for at in range(max(0, start - first) * stride, len(data), stride):
@@ -188,8 +212,8 @@ def read_order(spark: SparkSession, path: str, manifest: dict, start: int = 0) -
     return files.mapInArrow(scan, schema)
 
 
-def training_order(docs: DataFrame, vocabulary: str, key: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards to the shared folder and reads them back (``read_order``)."""
     path = shared_dir(docs.sparkSession, "training-order")
-    manifest = write_order(docs, path, vocabulary, key, length, shard_rows, id_col, text_col)
+    manifest = write_order(docs, path, ranks, pattern, key, length, shard_bytes, id_col=id_col, text_col=text_col)
     return read_order(docs.sparkSession, path, manifest)
