@@ -61,7 +61,8 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}")).findall
+        compiled = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.pieces, self.spans = compiled.findall, compiled.finditer
         self.specials = regex.compile("|".join(map(regex.escape, self.special))).finditer if self.special else None
         self.alphabet = byte_alphabet()
         # Keys mark a word's end by structure, so that "</w>" typed in a text is no mark.
@@ -162,6 +163,10 @@ class Tokenizer:
     def _encode_plain(self, text: str) -> list[int]:
         # Lower case goes character by character: a final sigma is no special case.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            # The pattern library may know letters of later Unicode versions; here they are marks, as unassigned ones are.
+            plain = "".join("\ufffd" if unicodedata.category(c) == "Cn" else c for c in text)
+            return [i for span in self.spans(plain) for i in self.encode_word(text[span.start() : span.end()])]
         return [i for piece in self.pieces(text) for i in self.encode_word(piece)]
 
     def _encode_chunk(self, chunk: str) -> bytes:

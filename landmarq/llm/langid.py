@@ -179,11 +179,13 @@ def identify(
     when a count shows it small.
     """
     out = ["language", "confidence", "text_language", "accepted"]
-    base = docs.drop(*out)
-    rows = base.select("*", text.alias("_text"), primary(declared).alias("_declared"), host.alias("_host"), suffix.alias("_suffix"))
+    names_of = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in out}  # no name of the table can clash with one used here
+    given = [docs[c].alias(new) for c, new in names_of.items()]
+    back = [F.col(new).alias(c) for c, new in names_of.items()]
+    rows = docs.select(*given, text.alias("_text"), primary(declared).alias("_declared"), host.alias("_host"), suffix.alias("_suffix"))
     model = train(rows.select(F.col("_text").alias("text"), F.col("_declared").alias("declared")), sample_rows)
     if model is None:
-        return base.select("*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"))
+        return rows.select(*back, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"))
     names, size = [*model.languages, UNKNOWN], len(model.languages) + 1
     start = F.array(*(F.lit(float(np.log((1 - UNKNOWN_PRIOR) / (size - 1)))) for _ in model.languages), F.lit(float(np.log(UNKNOWN_PRIOR))))
 
@@ -233,7 +235,7 @@ def identify(
     language = F.when(empty, F.lit(UNKNOWN)).otherwise(F.element_at(named, F.array_position("_raw", F.col("_top")).cast("int")))
     by_text = F.when(empty, F.lit(UNKNOWN)).otherwise(F.element_at(named, F.array_position("_own", F.array_max("_own")).cast("int")))
     confidence = F.when(empty, F.lit(0.0)).otherwise(F.col("_top") / F.col("_mass"))
-    result = joined.select(*base.columns, language.alias("language"), confidence.alias("confidence"), by_text.alias("text_language"))
+    result = joined.select(*back, language.alias("language"), confidence.alias("confidence"), by_text.alias("text_language"))
     return result.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= threshold))
 
 
@@ -250,6 +252,6 @@ def identify_pages(pages: DataFrame, threshold: float = 0.5, html_col: str = "ht
 
 def accepted_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` whose language is known, with the columns of ``docs``, whatever their names."""
-    rows, names = shielded(docs)
+    rows, names = shielded(docs)  # a column that identify() adds may be one of the table's own
     found = identify_documents(rows, text_col=names[text_col], declared_col=names[declared_col], host_col=names[host_col], **options)
     return unshielded(found.where("accepted"), names)
