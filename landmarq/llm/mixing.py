@@ -155,6 +155,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; rows with a null id are taken once."""
     counts = materialise(mix(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies")), "copies")
     rows, names = shielded(docs)
-    joined = rows.join(counts, F.col(names[id_col]) == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    # A row for each document: it grows with the table, so it is never broadcast.
+    joined = rows.join(counts.hint("merge"), F.col(names[id_col]) == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     copied = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return unshielded(copied, names)

@@ -305,4 +305,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classes = near_duplicates(docs, **options)
     kept = materialise(classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
     alone = docs.where(F.col(id_col).isNull())
+    # The ids kept grow with the table, so they are never broadcast, however few they are now.
+    kept = kept.hint("merge")
     return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").union(alone)
