@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import finite
-from .metrics import average_ranks
+from .metrics import average_ranks, correlation
 
 # Words in a metric's name that tell its family, and those that tell that more is better.
 FAMILIES = (
@@ -215,7 +215,7 @@ def hypervolume_contribution(front: DataFrame, x: str, y: str, reference: tuple[
 def front_report(front: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """One row: ``size``, ranges and pairwise correlations of a front's objectives."""
     ranges = [(F.max(o) - F.min(o)).alias(f"range_{o}") for o in objectives]
-    pairs = [F.corr(a, b).alias(f"corr_{a}_{b}") for i, a in enumerate(objectives) for b in objectives[i + 1 :]]
+    pairs = [correlation(a, b).alias(f"corr_{a}_{b}") for i, a in enumerate(objectives) for b in objectives[i + 1 :]]
     return front.agg(F.count(F.lit(1)).alias("size"), *ranges, *pairs)
 
 

@@ -110,10 +110,16 @@ def average_ranks(rows: DataFrame, value: str, by: Sequence[str] = (), descendin
     return rows.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either doesn't vary."""
+    base = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(base > 0, F.covar_pop(x, y) / base)
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
     """``n, rho`` for each ``by``; null with fewer than ``least`` rows or without variation."""
     ranked = average_ranks(average_ranks(rows, x, by, out="_rx"), y, by, out="_ry")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= least) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry")).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, correlation("_rx", "_ry")).alias("rho"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, key: str, by: Sequence[str] = ()) -> DataFrame:

@@ -135,8 +135,8 @@ def quota_counts_weighted(spark, d):
     return quotas.quota_counts(groups.group_shares(tables.plain_units(spark, d)), 60, pi="pi_weight").select("grp", "c")
 
 
-GRID = (30, 50, 100, 200)
-PATH = f"""{SHARES}, k AS (SELECT unnest([30, 50, 100, 200]) AS k), steps AS (SELECT grp, t, row_number() OVER (ORDER BY pi * (ln(t + 2) - ln(t + 1)) DESC, grp, t) AS place FROM shares, range(1, 200) r(t) WHERE t < n),
+GRID = (30, 50, 80, 120)
+PATH = f"""{SHARES}, k AS (SELECT unnest([30, 50, 80, 120]) AS k), steps AS (SELECT grp, t, row_number() OVER (ORDER BY pi * (ln(t + 2) - ln(t + 1)) DESC, grp, t) AS place FROM shares, range(1, 120) r(t) WHERE t < n),
     path AS (SELECT k, s.grp, s.pi, s.n, (1 + (SELECT count(*) FROM steps x WHERE x.grp = s.grp AND x.place <= k - (SELECT count(*) FROM shares)))::BIGINT AS c FROM shares s, k)"""
 
 
