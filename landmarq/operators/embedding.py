@@ -209,7 +209,7 @@ def embed_space(units: DataFrame, space: str, count: int = 8, columns: Sequence[
     if space == "raw":
         return units
     if space == "pca":
-        return fit_components(units, count).embed(units, "vec")
+        return fit_components(units, count).embed(units, "_m").drop("vec").withColumnRenamed("_m", "vec")
     dimension = units.select(F.size("vec").alias("d")).limit(1).first()["d"]
     model = Autoencoder(MixedColumns(tuple(columns or range(dimension))), count, seed=seed).fit(units)
     return model.embed(units, "_m", "_v").drop("vec", "_v").withColumnRenamed("_m", "vec")

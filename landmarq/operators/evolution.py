@@ -147,6 +147,18 @@ def least_harm_size(chosen: np.ndarray, n: int, k: int, harm: Callable[[np.ndarr
     return out
 
 
+def least_harm_quotas(chosen: np.ndarray, groups: np.ndarray, members: list[np.ndarray], quotas: np.ndarray, harm: Callable[[np.ndarray], float], random: np.random.Generator, tries: int = 32) -> np.ndarray:
+    """Brings every group to its quota, each step the one of ``tries`` random moves inside a group that raises ``harm`` least."""
+    out = chosen.copy()
+    for g, want in enumerate(quotas):
+        while (have := int((groups[out] == g).sum())) != want:
+            pool = out[groups[out] == g] if have > want else np.setdiff1d(members[g], out)
+            moves = random.choice(pool, min(tries, len(pool)), replace=False)
+            results = [np.setdiff1d(out, [m]) if have > want else np.union1d(out, [m]) for m in moves]
+            out = results[int(np.argmin([harm(r) for r in results]))]
+    return out
+
+
 @dataclass
 class Proportionality:
     """A limit on the divergence of a selection's smoothed group shares, by count or by weight, from target shares."""
@@ -299,9 +311,14 @@ def search(
         given = {("null" if r["grp"] is None else str(r["grp"])): r["c"] for r in quotas.select("grp", "c").collect()}
         want = np.array([given.get(g, 0) for g in names_of])
 
+    repairs: list[int] = []
+
     def repaired(s: np.ndarray) -> np.ndarray:
+        given = s
         s = repair_quotas(random, s, groups, members, want) if want is not None else repair_size(random, s, n, k)
-        return repair_constraints(s, groups, members, constraints, random, want is not None) if constraints else s
+        s = repair_constraints(s, groups, members, constraints, random, want is not None) if constraints else s
+        repairs.append(len(np.setxor1d(given, s)))
+        return s
 
     cache: dict[bytes, np.ndarray] = {}
 
@@ -328,7 +345,7 @@ def search(
     log, best, idle = [], np.inf, 0
     for generation in range(generations):
         parents = tournament(random, ranks, crowd, population + population % 2)
-        children = []
+        children, _ = [], repairs.clear()
         for a, b in parents.reshape(-1, 2):
             for child in crossover(random, pop[a], pop[b], crossover_chance):
                 child = repaired(child)
@@ -340,7 +357,7 @@ def search(
         kept, ranks, crowd = survivors(f_both, cv_both, population)
         pop, f, cv = [both[i] for i in kept], f_both[kept], cv_both[kept]
         level = float(f.min(axis=0).sum())
-        log.append({"generation": generation, **{f"best_{m}": float(v) for m, v in zip(names, f.min(axis=0))}, "feasible": float((cv <= 0).mean()), "front": int((ranks == 0).sum()), "diversity": population_diversity(pop, random)})
+        log.append({"generation": generation, **{f"best_{m}": float(v) for m, v in zip(names, f.min(axis=0))}, "feasible": float((cv <= 0).mean()), "front": int((ranks == 0).sum()), "diversity": population_diversity(pop, random), "repaired": float(np.mean([r > 0 for r in repairs])), "repair_size": float(np.mean(repairs))})
         if on_generation:
             on_generation(generation, [ids[s] for s in pop], f)
         idle = idle + 1 if level >= best * (1 - 1e-6) else 0
@@ -351,3 +368,34 @@ def search(
     final = good[fronts(f[good])[0]] if len(good) else np.argsort(cv, kind="stable")[:50]
     unique = list({pop[i].tobytes(): i for i in final}.values())
     return Search([ids[pop[i]] for i in unique], f[unique], cv[unique], list(names), pd.DataFrame(log), len(cache))
+
+
+def greedy_floors(units: DataFrame, k: int, kinds: Sequence[str] = ("count", "weight"), alpha: float = 1.0, seed: int = 0) -> dict[str, float]:
+    """The divergence of each kind that units added greedily for that kind alone come down to."""
+    out = {}
+    for kind in kinds:
+        table = units.select("unit_id", F.coalesce(F.col("grp").cast("string"), F.lit("null")).alias("grp"), (F.greatest(F.coalesce(finite(F.col("weight")), F.lit(0.0)), F.lit(0.0)) if kind == "weight" else F.lit(1.0)).alias("w")).orderBy("unit_id").limit(MOST_UNITS + 1).toPandas()
+        if len(table) > MOST_UNITS:
+            raise ValueError(f"over {MOST_UNITS} units")
+        _, groups = np.unique(table["grp"].to_numpy(), return_inverse=True)
+        members = [np.flatnonzero(groups == g) for g in range(groups.max() + 1)]
+        w = table["w"].to_numpy() if kind == "weight" else None
+        target = np.bincount(groups, w) / (len(groups) if w is None else w.sum())
+        limit = Proportionality(target, w, alpha, 0.0)
+        out[kind] = limit.divergence(greedy_start(groups, members, [limit], k, np.random.default_rng(seed)), groups)
+    return out
+
+
+def search_with_growing_limits(units: DataFrame, k: int, objectives: Callable[[DataFrame], DataFrame], names: Sequence[str], kinds: Sequence[str] = ("count",), growth: float = 1.5, rounds: int = 6, wanted: float = 0.5, seed: int = 0, **options) -> tuple[Search, dict[str, float]]:
+    """Searches with limits at the greedy floors, and wider ones until ``wanted`` of the result is feasible.
+
+    Each round starts from the selections of the one before.
+    """
+    limits = {kind: max(floor, 1e-6) for kind, floor in greedy_floors(units, k, kinds, seed=seed).items()}
+    found: Search | None = None
+    for r in range(rounds):
+        found = search(units, k, objectives, names, limits, seed=seed + r, start=found.ids if found else (), **options)
+        if (found.violations <= 0).mean() >= wanted:
+            break
+        limits = {kind: limit * growth for kind, limit in limits.items()}
+    return found, limits

@@ -276,3 +276,48 @@ def kmeans_select(units: DataFrame, k: int, seed: int = 0, steps: int = 20) -> D
     near = model.transform(rows).join(F.broadcast(centres), F.col("_cluster") == F.col("_i")).select("_cluster", "unit_id", squared_distance(F.col("vec"), F.col("_centre")).alias("_d"))
     chosen = near.groupBy("_cluster").agg(F.min_by("unit_id", F.struct("_d", "unit_id")).alias("unit_id")).select("unit_id")
     return project_to_size(units, chosen, k, seed)
+
+
+def plus_plus(x: np.ndarray, k: int, random: np.random.Generator, **_) -> np.ndarray:
+    """Squared-distance seeding as a selector of its own."""
+    return _fill(_plus_plus(x, k, random).tolist(), len(x), k, random)
+
+
+METHODS["plus_plus"] = plus_plus
+
+
+def sample_determinantal(kernel: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """An exact draw of ``k`` items with chance in proportion to the determinant of their part of ``kernel``.
+
+    Eigenvectors are drawn by elementary symmetric polynomials, then items one
+    by one from their span.
+    """
+    values, vectors = np.linalg.eigh(kernel)
+    values = np.maximum(values, 0.0)
+    n = len(values)
+    scale = values.max() or 1.0
+    lam = values / scale
+    e = np.zeros((k + 1, n + 1))
+    e[0] = 1.0
+    for size in range(1, k + 1):
+        for i in range(1, n + 1):
+            e[size, i] = e[size, i - 1] + lam[i - 1] * e[size - 1, i - 1]
+    if e[k, n] <= 0:
+        raise ValueError(f"the kernel's rank is below {k}")
+    picked, left = [], k
+    for i in range(n, 0, -1):
+        if left and random.random() < lam[i - 1] * e[left - 1, i - 1] / e[left, i]:
+            picked.append(i - 1)
+            left -= 1
+    basis, chosen = vectors[:, picked], []
+    for _ in range(k):
+        weight = np.maximum((basis**2).sum(axis=1), 0.0)
+        weight[chosen] = 0.0
+        i = int(random.choice(n, p=weight / weight.sum()))
+        chosen.append(i)
+        j = int(np.abs(basis[i]).argmax())
+        basis = basis - np.outer(basis[:, j], basis[i] / basis[i, j])
+        basis = np.delete(basis, j, axis=1)
+        if basis.shape[1]:
+            basis = np.linalg.qr(basis)[0]
+    return np.array(chosen)

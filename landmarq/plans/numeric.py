@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import total
-from ..operators import embedding, evolution, geometry, groups, kernels, models, panel, prepare, quotas, selectors
+from ..operators import embedding, evolution, geometry, groups, kernels, metrics, models, objectives, panel, prepare, quotas, selectors
 from . import units as tables
 from .experiment import Settings, championship_of, run_experiment
 
@@ -218,3 +218,77 @@ def bootstrap_targets(spark, d):
     values = np.arange(8)
     wide = rows.select("unit_id", "grp", "vec", *(F.element_at("vec", int(i) + 1).alias(f"t{i}") for i in values))
     return bootstrap_evaluation(wide, chosen, [f"t{i}" for i in values], draws=3, size=2)
+
+
+@query
+def objective_table(spark, d):
+    rows = tables.vectors(spark, d)
+    return objectives.Objectives.build(rows, FEATURES, 32).table(_candidates(rows))
+
+
+@query
+def objectives_with_shares(spark, d):
+    rows = tables.vectors(spark, d)
+    return objectives.Objectives.build(rows, FEATURES, 32).with_shares(rows, _candidates(rows), groups.group_shares(rows, weight=None))
+
+
+@query
+def mmd_between_selections(spark, d):
+    rows = tables.vectors(spark, d)
+    one, two = quotas.uniform_sample(rows, K, seed=1), quotas.uniform_sample(rows, K, seed=2)
+    return _figures(spark, mmd2=objectives.mmd2_between(rows, one, two, kernels.RandomFeatures.build(64, FEATURES, _bandwidth(rows))))
+
+
+@query
+def determinantal_sample(spark, d):
+    rows = quotas.uniform_sample(tables.vectors(spark, d), 300, seed=1)
+    ids, x = kernels.matrix(rows)
+    chosen = selectors.sample_determinantal(kernels.gaussian(x, x, _bandwidth(rows)), 20, np.random.default_rng(0))
+    return spark.createDataFrame([(int(ids[i]),) for i in chosen], "unit_id long")
+
+
+@query
+def cross_space_alignment(spark, d):
+    rows = tables.vectors(spark, d)
+    spaces = {"raw": rows, "pca": embedding.embed_space(rows, "pca", 8)}
+    both = objectives.cross_space(spaces, _candidates(rows))
+    out = None
+    for name in ("mmd2", "sinkhorn"):
+        one = metrics.spearman(both, f"{name}_raw", f"{name}_pca").withColumn("objective", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def proxy_stability(spark, d):
+    from .experiment import proxy_stability as stability
+
+    rows = tables.vectors(spark, d)
+    return stability(rows, _candidates(rows), (32, 256))
+
+
+@query
+def search_growing_limits(spark, d):
+    rows = tables.vectors(spark, d).withColumn("weight", F.lit(1.0))
+    found, limits = evolution.search_with_growing_limits(rows, 24, _objectives(rows), ["mmd2", "sinkhorn"], population=10, generations=2, rounds=2)
+    return found.frame(spark).withColumn("limit", F.lit(limits["count"]))
+
+
+@query
+def selection_scores(spark, d):
+    from .reports import score_selections
+
+    rows = _target(tables.vectors(spark, d))
+    stored = None
+    for method in ("uniform", "farthest"):
+        one = selectors.select(rows, method, 24, seed=2).withColumn("method", F.lit(method))
+        stored = one if stored is None else stored.union(one)
+    return score_selections(rows, stored, "y")
+
+
+@query
+def selection_times(spark, d):
+    from .reports import time_methods
+
+    rows = tables.vectors(spark, d)
+    return time_methods(rows, ("uniform", "farthest"), (10, 40)).select("method", "k", "repeat", (F.col("seconds") > 0).alias("timed"))

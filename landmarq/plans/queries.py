@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors as vec
-from ..operators import comparison, geometry, groups, metrics, panel, prepare, quotas
+from ..operators import comparison, geometry, groups, metrics, panel, prepare, quotas, targets
 from ..sources import readers
+from . import reports
 from . import units as tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -769,3 +770,60 @@ def demeaned(spark, d):
 def panel_ols(spark, d):
     rows = panel.lagged(tables.panel(spark, d), ["value"], 1, tie="event_id")
     return panel.evaluate_panel(rows, rows, ["value_lag1"], "value", ["ols"]).select("n", "rmse", "mae")
+
+
+# -- reports ----------------------------------------------------------------
+
+
+@query("table_summary", """WITH t AS (SELECT 'c_acctbal' AS "column", c_acctbal AS v FROM customer UNION ALL SELECT 'c_custkey', c_custkey FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey FROM customer)
+    SELECT "column", count(v) AS n, count(*) - count(v) AS missing, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS least, round(max(v), 4) AS most FROM t GROUP BY 1""", 4)
+def table_summary(spark, d):
+    return reports.table_summary(readers.table(spark, d, "customer"))
+
+
+@query("chained_units", """WITH o AS (SELECT o_custkey, count(*) AS n_orders FROM orders WHERE o_orderkey % 7 < 4 GROUP BY 1), m AS (SELECT quantile_cont(n_orders, 0.5) AS m FROM customer LEFT JOIN o ON c_custkey = o_custkey) SELECT c_custkey, coalesce(n_orders, m)::DOUBLE AS n_orders FROM customer LEFT JOIN o ON c_custkey = o_custkey, m""")
+def chained_units(spark, d):
+    main = readers.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    orders = readers.table(spark, d, "orders").where("o_orderkey % 7 < 4").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return reports.chained_units(main, [orders], "c_custkey", "c_mktsegment").select("c_custkey", "n_orders")
+
+
+@query("summary_by_run", f"WITH {RESULTS} SELECT rep::BIGINT AS rep, metric, round_even(avg(value), 4) AS value FROM r GROUP BY ALL", 4)
+def summary_by_run(spark, d):
+    return reports.summary_by(tables.results(spark, d), ["rep"])
+
+
+@query("least_by_run", f"WITH {RESULTS} SELECT rep::BIGINT AS rep, metric, round_even(min(value), 4) AS value FROM r GROUP BY ALL", 4)
+def least_by_run(spark, d):
+    return reports.summary_by(tables.results(spark, d), ["rep"], "min")
+
+
+@query("metric_table", f"WITH {RESULTS} SELECT method, round(avg(value) FILTER (metric = 'rmse_price'), 4) AS rmse_price, round(avg(value) FILTER (metric = 'accuracy_open'), 4) AS accuracy_open FROM r GROUP BY 1", 4)
+def metric_table(spark, d):
+    return reports.metric_table(tables.results(spark, d), ["rmse_price", "accuracy_open"])
+
+
+@query("mark_best", f"WITH {RESULTS} SELECT method, rep::BIGINT AS rep, metric, s = min(s) OVER (PARTITION BY metric, rep) AS best FROM z")
+def mark_best(spark, d):
+    return reports.mark_best(tables.results(spark, d), ["metric", "rep"]).select("method", "rep", "metric", "best")
+
+
+@query("out_of_bounds", f"WITH {RESULTS} SELECT metric, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most FROM r WHERE metric LIKE 'accuracy%' AND value * 2 > 1 GROUP BY 1", 4)
+def out_of_bounds(spark, d):
+    return reports.out_of_bounds(tables.results(spark, d), [("accuracy", 0.0, 0.5), ("rmse", 0.0, None)])
+
+
+@query("wide_targets", f"WITH {RESULTS} SELECT (hash_key)::BIGINT AS unit_id, round(max(value) FILTER (metric = 'rmse_price'), 4) AS rmse_price, round(max(value) FILTER (metric = 'mae_price'), 4) AS mae_price FROM (SELECT *, rep AS hash_key FROM r WHERE method = '1-URGENT') GROUP BY 1", 4)
+def wide_targets(spark, d):
+    long = tables.results(spark, d).where("method = '1-URGENT'").select(F.col("rep").cast("long").alias("unit_id"), F.col("metric").alias("target"), "value")
+    return targets.wide_targets(long, ["rmse_price", "mae_price"])
+
+
+@query("coverage_targets", "SELECT l_orderkey * 10 + l_linenumber AS unit_id, round(100 * (l_discount + l_tax) / 2, 6) AS \"cov_area_4G\", round(100 * l_tax, 6) AS \"cov_area_5G\", round(100 * ((l_discount + l_tax) / 2 + l_tax) / 2, 6) AS \"cov_area_4G_5G\", round(100 * ((l_discount + l_tax) / 2 + l_tax) / 2, 6) AS cov_area_all FROM lineitem")
+def coverage_targets(spark, d):
+    start = "cov_pct_area_coberta__tec_"
+    rows = readers.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit_id"), F.col("l_discount").alias(f"{start}4g__op_a__2025_09"), F.col("l_tax").alias(f"{start}4g__op_b__2025_09"),
+        F.lit(9.0).alias(f"{start}4g__op_todas__2025_09"), F.col("l_tax").alias(f"{start}5g__op_a__2025_09"), F.lit(5.0).alias(f"{start}5g__op_a__2024_01"),
+    )
+    return targets.coverage_targets(rows, "2025-09")

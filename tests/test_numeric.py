@@ -283,3 +283,81 @@ def test_autoencoder(spark):
         assert grads[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
     row = model.embed(rows).first()
     assert len(row.latent) == 2 and all(v > 0 for v in row.latent_var)
+
+
+# -- objectives, targets and reports ------------------------------------------
+
+
+def test_objectives_agree_with_their_parts(units):
+    from landmarq.operators import objectives
+
+    made = objectives.Objectives.build(units, 64, 16)
+    candidates = quotas.random_candidates(units, 4, 15)
+    got = {r.candidate: r for r in made.table(candidates).collect()}
+    assert {c: r.mmd2 for c, r in got.items()} == pytest.approx({r.candidate: r.mmd2 for r in kernels.mmd2(units, candidates, made.features).collect()})
+    assert {c: r.skl for c, r in got.items()} == pytest.approx({r.candidate: r.skl for r in geometry.subset_symmetric_kl(units, candidates).collect()})
+    assert {c: r.sinkhorn for c, r in got.items()} == pytest.approx({r.candidate: r.sinkhorn for r in kernels.sinkhorn(units, candidates, made.anchors).collect()})
+    one = units.where("unit_id < 30")
+    assert objectives.mmd2_between(units, one, one, made.features) == pytest.approx(0, abs=1e-15)
+    with pytest.raises(ValueError):
+        made.table(candidates, ["nothing"])
+
+
+def test_exact_determinantal_chances():
+    """Chances of all pairs against determinants."""
+    import itertools
+
+    a = np.random.default_rng(0).normal(size=(5, 5))
+    kernel, random, counts = a @ a.T, np.random.default_rng(1), {}
+    for _ in range(4000):
+        pair = tuple(sorted(selectors.sample_determinantal(kernel, 2, random).tolist()))
+        counts[pair] = counts.get(pair, 0) + 1
+    pairs = list(itertools.combinations(range(5), 2))
+    dets = np.array([np.linalg.det(kernel[np.ix_(p, p)]) for p in pairs])
+    assert np.abs(np.array([counts.get(p, 0) / 4000 for p in pairs]) - dets / dets.sum()).max() < 0.03
+
+
+def test_growing_limits_and_floors(units):
+    floors = evolution.greedy_floors(units, 12)
+    assert 0 <= floors["count"] < 0.05 and set(floors) == {"count", "weight"}
+    spread = lambda c: c.join(units.select("unit_id", "vec"), "unit_id").groupBy("candidate").agg(F.abs(F.avg(F.col("vec")[0])).alias("a"), F.abs(F.avg(F.col("vec")[1])).alias("b"))
+    found, limits = evolution.search_with_growing_limits(units, 12, spread, ["a", "b"], ("count", "weight"), population=10, generations=2, rounds=8)
+    assert (found.violations <= 0).mean() >= 0.5 and limits["count"] >= floors["count"]
+    assert {"repaired", "repair_size", "diversity"} <= set(found.log.columns)
+    random = np.random.default_rng(0)
+    groups = np.arange(30) % 3
+    members = [np.flatnonzero(groups == g) for g in range(3)]
+    got = evolution.least_harm_quotas(np.arange(9), groups, members, np.array([2, 3, 4]), lambda s: float(s.sum()), random)
+    assert np.bincount(groups[got]).tolist() == [2, 3, 4]
+
+
+def test_related_columns():
+    from landmarq.operators import targets
+
+    columns = ["Densidade_SCM_2020", "Densidade_SCM_2021", "Acessos_SCM_2020", "pct_urbano", "pct_rural", "free", "free_missing"]
+    assert targets.related_columns("Densidade_SCM_2020", columns) == ["Acessos_SCM_2020", "Densidade_SCM_2021"]
+    assert targets.related_columns("pct_urbano__tercile", columns) == ["pct_rural", "pct_urbano"]
+    assert targets.related_columns("free", columns) == [] and "free_missing" not in targets.substantive(columns)
+    draws = targets.draw_targets(["a", "b", "c"], ["a__tercile", "d"], 20, 2, 1, seed=1)
+    assert len(draws) == 20 and all(len(set(r)) == 2 and not ("a" in r and "a__tercile" in c) for r, c in draws)
+    assert draws == targets.draw_targets(["a", "b", "c"], ["a__tercile", "d"], 20, 2, 1, seed=1)
+
+
+def test_reports(spark, units, tmp_path):
+    from landmarq.plans import reports
+
+    results = spark.createDataFrame([("a", "rmse", 1.0), ("b", "rmse", -1.0), ("a", "tau", 0.5)], "method string, metric string, value double")
+    assert [r.metric for r in reports.out_of_bounds(results).collect()] == ["rmse"]
+    reports.comparison_report(results, f"file://{tmp_path}/c", {"a": "b"})
+    assert spark.read.parquet(f"file://{tmp_path}/c/ranks").count() == 3
+    rows = spark.createDataFrame([("r", 1.5, 1.0), ("r", 2.7, 2.0), ("c", 1.0, 1.0), ("c", 0.0, 1.0)], "target string, y_true double, y_pred double")
+    got = {(r.target, r.metric) for r in reports.evaluate_auto(rows, ["r", "c"]).collect()}
+    assert ("r", "rmse") in got and ("c", "accuracy") in got
+    wide = units.select("unit_id", "grp", "weight", "y")
+    first = reports.build_replicate(wide, {"y": "numeric"}, f"file://{tmp_path}/rep", 0, 50)
+    assert first.agg(F.count_if("is_eval")).first()[0] == 50 and first.where("is_eval_test and is_eval_train").isEmpty()
+    assert reports.build_replicate(wide, {"y": "numeric"}, f"file://{tmp_path}/rep", 0, 50).count() == 120
+    ids_of = reports.repair_baseline(units, units.where("grp = 'A'").limit(9), 12, {"count": 0.02})
+    assert len(set(ids_of)) == 12
+    times = reports.time_methods(units, ["uniform"], [5, 10])
+    assert times.count() == 2
