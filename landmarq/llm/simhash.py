@@ -151,8 +151,29 @@ def _link_long(reps: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[i
     return edges
 
 
-def _link_sorted(max_bits: int, width: int):
-    """A function over rows sorted by cell that gives the links inside each cell."""
+def _link_sparse(reps: np.ndarray, fps: np.ndarray, wide_bits: int, max_bits: int, sure_bits: int) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
+    """All pairs of one cell within ``wide_bits``, of members with few of them; and the members with many."""
+    pairs, dense = [], np.zeros(len(reps), bool)
+    for i in range(len(reps) - 1):
+        apart = _apart(fps[i + 1 :], fps[i])
+        near = np.flatnonzero(apart <= wide_bits)
+        if len(near) > _SHORT:
+            dense[i] = True
+            dense[i + 1 + near] = True
+            continue
+        pairs += [(int(reps[i]), int(reps[i + 1 + j]), bool(apart[j] <= sure_bits)) for j in near]
+    return pairs, dense
+
+
+def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_bits: int | None = None):
+    """A function over rows sorted by cell that gives the links inside each cell, ``u, v, sure``.
+
+    Without ``wide_bits`` all links are sure. With it, pairs up to that
+    distance are given, those within ``sure_bits`` as sure; a member with very
+    many such pairs in a cell is joined by sure links within ``max_bits`` alone, without listing its pairs.
+    """
+    wide = max_bits if wide_bits is None else wide_bits
+    certain = max_bits if sure_bits is None else sure_bits
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -166,17 +187,23 @@ def _link_sorted(max_bits: int, width: int):
             for d in range(1, min(longest, _SHORT + 1)):
                 at = np.flatnonzero((cells[d:] == cells[:-d]) & short[:-d])
                 for part in np.array_split(at, max(1, len(at) // 200_000)):
-                    near = part[_apart(fps[part], fps[part + d]) <= max_bits]
-                    found.append((reps[near], reps[near + d]))
+                    apart = _apart(fps[part], fps[part + d])
+                    near = part[apart <= wide]
+                    found.append((reps[near], reps[near + d], apart[apart <= wide] <= certain))
             for i in np.flatnonzero(lengths > _SHORT):
                 span = slice(bounds[i], bounds[i + 1])
-                if pairs := _link_long(reps[span], fps[span], max_bits):
-                    a, b = np.array(pairs, np.int64).T
-                    found.append((a, b))
+                if wide_bits is None:
+                    pairs = [(a, b, True) for a, b in _link_long(reps[span], fps[span], max_bits)]
+                else:
+                    pairs, dense = _link_sparse(reps[span], fps[span], wide, max_bits, certain)
+                    pairs += [(a, b, True) for a, b in _link_long(reps[span][dense], fps[span][dense], max_bits)]
+                if pairs:
+                    a, b, c = zip(*pairs)
+                    found.append((np.array(a, np.int64), np.array(b, np.int64), np.array(c, bool)))
             if found:
-                u, v = (np.concatenate(x) for x in zip(*found))
+                u, v, sure = (np.concatenate(x) for x in zip(*found))
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -196,8 +223,8 @@ def _link_sorted(max_bits: int, width: int):
     return scan
 
 
-def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
-    """Links ``u, v`` between representatives at ``max_bits`` or fewer: for each connected part enough to join it.
+def _links(distinct: DataFrame, width: int, max_bits: int, cells, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
+    """Links ``u, v, sure`` between representatives (see ``_link_sorted``): for each connected part of sure ones enough to join it.
 
     ``distinct`` has ``rep`` (long) and ``fp``. A cell of more than ``BLOCK``
     members is split into blocks, each pair of which is a cell of its own, so
@@ -223,7 +250,7 @@ def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
             F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "rep", "fp"
         )
     together = dealt.repartition("cell").sortWithinPartitions("cell", "rep")
-    return together.mapInArrow(_link_sorted(max_bits, width), "u long, v long")
+    return together.mapInArrow(_link_sorted(max_bits, width, wide_bits, sure_bits), "u long, v long, sure boolean")
 
 
 def groups_for(rows: int, max_bits: int, wanted: int = 64) -> int:
@@ -271,27 +298,67 @@ def bits_for_similarity(similarity: float, width: int) -> int:
     return int(width * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def resembling(docs: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` (``u, v``, ids) whose texts' sets of shingles resemble each other by ``similarity`` or more, counted exactly.
+
+    Only texts that stand in a pair are hashed; ids grow with the table, so
+    they are joined by sort-merge, not broadcast. Of rows that share an id the least text counts.
+    """
+    ship(docs.sparkSession)
+    wanted = pairs.select(F.col("u").alias("_i")).union(pairs.select("v")).distinct().hint("merge")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("id") == F.col("_i"), "left_semi")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py().encode("utf-8", "replace"), shingle_words)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = materialise(texts.mapInArrow(hashed, "id long, set binary"), "shingle-sets")
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")).hint("merge"), "u")
+    both = left.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")).hint("merge"), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+
+
 def near_duplicates(
-    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, slack: float = 0.02, width: int = 8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, slack: float = 0.1, width: int = 8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col, component_id`` where rows whose shingle sets resemble each other by ``similarity`` are linked.
 
-    The resemblance is read off a fingerprint of ``width`` words (512 bits: a
-    standard error of 0.03 at 0.8, which ``slack`` allows for). At that
-    distance a sixth of the bits differ, so cells are samples of bits: each of
-    ``tables`` samples joins a pair at exactly ``similarity`` with chance
-    p ** bits, and there are enough tables that it meets in one with chance
+    Candidates come from a fingerprint of ``width`` words, 512 bits, whose
+    distance estimates the resemblance with a standard error of 0.04. Pairs up to
+    ``slack`` below ``similarity`` are verified exactly on the texts' shingle
+    sets (``resembling``), pairs ``slack`` or more above it are taken as they
+    are. At that distance a sixth of the bits differ, so cells are samples of
+    bits: each of ``tables`` samples joins a pair at exactly ``similarity`` with
+    chance p ** bits, and there are enough tables that it meets in one with chance
     ``recall``; nearer pairs are surer. The sample grows with the logarithm of
-    the rows, which keeps the cells of unrelated rows small at any size.
+    the rows, which keeps the cells of unrelated rows small at any size. A text with more than
+    ``_SHORT`` such partners in one cell, in a large group of near copies, is
+    linked by the estimate there, so that no group is listed pair by pair.
     Nulls, ties, repeats, empty tables: as ``hamming_components``.
     """
-    most = bits_for_similarity(similarity - slack, width)
+    wide = bits_for_similarity(similarity - slack, width)
+    most = bits_for_similarity(similarity, width)
+    sure = bits_for_similarity(min(1.0, similarity + slack), width)
 
     def linker(distinct: DataFrame, rows: int) -> DataFrame:
         bits = max(14, math.ceil(math.log2(max(2, rows))) - 10)
-        meets = (1 - bits_for_similarity(similarity, width) / (width * 64)) ** bits
+        meets = (1 - most / (width * 64)) ** bits
         tables = math.ceil(math.log(1 - recall) / math.log(1 - meets))
-        return _links(distinct, width, most, lambda fps: _cells_sampled(fps, bits, tables))
+        found = _links(distinct, width, most, lambda fps: _cells_sampled(fps, bits, tables), wide, sure)
+        found = materialise(found.groupBy("u", "v").agg(F.bool_or("sure").alias("sure")), "links")
+        certain = found.where("sure").select("u", "v")
+        return certain.union(resembling(docs, found.where("not sure").select("u", "v"), shingle_words, similarity, id_col, text_col))
 
     return _classes(fingerprints(docs, shingle_words, width, id_col, text_col), id_col, linker).select(id_col, "component_id")
 
