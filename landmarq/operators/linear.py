@@ -118,12 +118,12 @@ def _merge(parts: Sequence[Gram]) -> Gram:
 
 
 def ridge_by_folds(parts: Sequence[Gram], penalties: Sequence[float] = PENALTIES, expanding: bool = True) -> LinearModel:
-    """Ridge with the first penalty of least mean error over folds (each after those before it, or each left out), fitted on all."""
+    """Ridge with the first penalty of least mean RMSE over folds (each after those before it, or each left out), fitted on all."""
     whole = _merge(parts)
     if len(parts) < 2:
         return ridge(whole, penalties[len(penalties) // 2])
     tests = range(1, len(parts)) if expanding else range(len(parts))
-    errors = [np.mean([ridge(_merge(parts[:i]) if expanding else whole - parts[i], p).error(parts[i]) for i in tests]) for p in penalties]
+    errors = [np.mean([ridge(_merge(parts[:i]) if expanding else whole - parts[i], p).error(parts[i]) ** 0.5 for i in tests]) for p in penalties]
     return ridge(whole, penalties[int(np.argmin(errors))])
 
 
@@ -172,26 +172,31 @@ def partial_least_squares(parts: Sequence[Gram], most: int = 10) -> LinearModel:
     return _pls(whole, sizes[int(np.argmin(errors))])
 
 
-def _onto_simplex(w: np.ndarray, most: float) -> np.ndarray:
-    """The nearest point with entries in [0, most] that sum to 1."""
-    low, high = w.min() - 1.0, w.max()
+def _onto_simplex(w: np.ndarray, least: float, most: float) -> np.ndarray:
+    """The nearest point with entries in [least, most] that sum to 1."""
+    low, high = w.min() - most - 1.0, w.max() - least + 1.0
     for _ in range(100):
         middle = (low + high) / 2
-        if np.clip(w - middle, 0, most).sum() > 1:
+        if np.clip(w - middle, least, most).sum() > 1:
             low = middle
         else:
             high = middle
-    return np.clip(w - (low + high) / 2, 0, most)
+    return np.clip(w - (low + high) / 2, least, most)
 
 
-def constrained_least_squares(sums: Gram, most: float = 1.0, steps: int = 2000) -> LinearModel:
-    """Least squares with weights in [0, ``most``] that sum to 1 and no intercept, by projected gradient."""
-    xx, xy = sums.z[1:-1, 1:-1], sums.z[1:-1, -1]
-    most = max(most, 1.0 / len(xy))
-    w = _onto_simplex(np.full(len(xy), 1.0 / len(xy)), most)
-    step = 1.0 / max(np.linalg.eigvalsh(xx)[-1], 1e-12)
+def constrained_least_squares(sums: Gram, least: float = 0.05, most: float = 0.50, spread: float = 0.01, steps: int = 5000) -> LinearModel:
+    """Least mean squared error less ``spread`` times the weights' variance; weights in [least, most] that sum to 1, no intercept.
+
+    Bounds that no weights can meet are widened. Solved by projected gradient.
+    """
+    xx, xy = sums.z[1:-1, 1:-1] / sums.n, sums.z[1:-1, -1] / sums.n
+    d = len(xy)
+    least = max(1e-6, 0.5 / d) if d * least > 1 + 1e-9 else least
+    most = min(1.0, 2.0 / d) if d * most < 1 - 1e-9 else most
+    w = _onto_simplex(np.full(d, 1.0 / d), least, most)
+    step = 0.5 / max(np.linalg.eigvalsh(xx)[-1], 1e-12)
     for _ in range(steps):
-        after = _onto_simplex(w - step * (xx @ w - xy), most)
+        after = _onto_simplex(w - step * (2 * (xx @ w - xy) - 2 * spread / d * (w - w.mean())), least, most)
         if np.abs(after - w).max() < 1e-12:
             break
         w = after

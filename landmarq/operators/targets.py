@@ -23,7 +23,10 @@ FAMILIES = {
     "active": r"^pct_ativas_(blf|tf|geral)$", "cov_targets": r"^cov_(area|hh|res)_(4g|5g|4g_5g|all)$",
 }
 LINKED = (("density_blf", "access_blf"), ("density_movel", "access_movel"), ("density_fixa", "access_fixa"), ("density_tv", "access_tv"), ("density_scm", "access_scm"))
-NO_TARGETS = (r"_missing$", r"\d+\s*mhz", r"^(codigo|cod_|uf$|municipio|nome|latitude|longitude|missingness_indicator)")
+NO_TARGETS = (
+    r"_missing$", r"Frequ[eê]ncia",
+    r"^(cd_ibge|codibge|cod_ibge|municipio|uf|sigla_uf|estado|regiao|nome_municipio|latitude|longitude|populacao|pop_|area_km2|pib)",
+)
 COVERAGE = {"area": "area_coberta", "hh": "domicilios", "res": "populacao"}
 
 

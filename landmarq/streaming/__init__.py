@@ -1,0 +1 @@
+"""Empty: no operator of this library reads an unbounded source."""

@@ -219,8 +219,10 @@ def test_linear_models(spark):
     for model in (linear.ridge_by_folds(folds), linear.partial_least_squares(folds), linear.elastic_net(sums, 1e-4)):
         assert model.weights == pytest.approx([1, -2, 0.5], abs=0.02)
     assert linear._pls(sums, 3).weights == pytest.approx(ols.weights)
-    bound = linear.constrained_least_squares(linear.gram(rows.withColumn("y", 0.7 * F.col("a") + 0.3 * F.col("b")), names, "y"))
-    assert bound.weights == pytest.approx([0.7, 0.3, 0.0], abs=1e-4)
+    mixed = linear.gram(rows.withColumn("y", 0.45 * F.col("a") + 0.35 * F.col("b") + 0.2 * F.col("c")), names, "y")
+    assert linear.constrained_least_squares(mixed, spread=0.0).weights == pytest.approx([0.45, 0.35, 0.2], abs=1e-4)
+    edge = linear.constrained_least_squares(linear.gram(rows.withColumn("y", 0.9 * F.col("a") + 0.1 * F.col("b")), names, "y")).weights
+    assert edge.sum() == pytest.approx(1) and edge[0] == pytest.approx(0.5) and (edge >= 0.05 - 1e-9).all()
 
 
 def test_panels(spark):
