@@ -102,4 +102,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last_id END AS refers_to
         FROM d
     """,
+    "op4_tool_calls": """
+        WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user' AND turn IS NOT NULL),
+        a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL),
+        j AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn, a.turn AS result_turn, u.t AS asked, a.t AS answer,
+                concat(coalesce(u.conv_id, a.conv_id), ':', coalesce(u.turn, a.turn - 1)) AS call_id
+              FROM u FULL JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+        s AS (SELECT *, CASE WHEN turn IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM j)
+        SELECT conv_id, call_id, turn, result_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, result_turn) - 1 AS position,
+            CASE WHEN turn IS NOT NULL THEN 'reply' END AS tool, status, '' AS errors,
+            concat('{"arguments":',
+                CASE WHEN turn IS NULL THEN 'null' ELSE concat('{"text":', to_json(asked), ',"turn":', turn, ',"words":', len(regexp_extract_all(asked, '[^ \\t-\\r]+')), '}') END,
+                ',"content":', coalesce(to_json(answer)::VARCHAR, 'null'), ',"id":"', call_id, '","name":', CASE WHEN turn IS NULL THEN 'null' ELSE '"reply"' END, ',"status":"', status, '"}') AS record
+        FROM s
+    """,
 }
