@@ -38,6 +38,8 @@ _CHUNK = 8192
 BLOCK = 16384
 #: Runs up to this length are compared in one vector pass.
 _SHORT = 48
+#: A member with more partners than this in one cell counts as part of a dense group there.
+DENSE = 8
 
 
 def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
@@ -151,17 +153,17 @@ def _link_long(reps: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[i
     return edges
 
 
-def _link_sparse(reps: np.ndarray, fps: np.ndarray, wide_bits: int, max_bits: int, sure_bits: int) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
-    """All pairs of one cell within ``wide_bits``, of members with few of them; and the members with many."""
+def _link_sparse(reps: np.ndarray, fps: np.ndarray, wide_bits: int, sure_bits: int) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
+    """All pairs within ``wide_bits`` of the members of one cell with few of them; and which members have many."""
     pairs, dense = [], np.zeros(len(reps), bool)
-    for i in range(len(reps) - 1):
-        apart = _apart(fps[i + 1 :], fps[i])
+    for i in range(len(reps)):
+        apart = _apart(fps, fps[i])
+        apart[i] = wide_bits + 1
         near = np.flatnonzero(apart <= wide_bits)
-        if len(near) > _SHORT:
+        if len(near) > DENSE:
             dense[i] = True
-            dense[i + 1 + near] = True
-            continue
-        pairs += [(int(reps[i]), int(reps[i + 1 + j]), bool(apart[j] <= sure_bits)) for j in near]
+        else:
+            pairs += [(int(reps[i]), int(reps[j]), bool(apart[j] <= sure_bits)) for j in near]
     return pairs, dense
 
 
@@ -169,8 +171,9 @@ def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_b
     """A function over rows sorted by cell that gives the links inside each cell, ``u, v, sure``.
 
     Without ``wide_bits`` all links are sure. With it, pairs up to that
-    distance are given, those within ``sure_bits`` as sure; a member with very
-    many such pairs in a cell is joined by sure links within ``max_bits`` alone, without listing its pairs.
+    distance are given, those within ``sure_bits`` as sure, if one of the two has
+    ``DENSE`` such partners or fewer in the cell. Members with more are joined
+    among themselves by sure links within ``max_bits``, without listing their pairs.
     """
     wide = max_bits if wide_bits is None else wide_bits
     certain = max_bits if sure_bits is None else sure_bits
@@ -182,24 +185,42 @@ def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_b
             bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
             lengths = np.diff(bounds)
             found = []
+
+            def join(members):
+                if pairs := _link_long(reps[members], fps[members], max_bits):
+                    a, b = np.array(pairs, np.int64).T
+                    found.append((a, b, np.ones(len(a), bool)))
+
             longest = int(lengths.max(initial=0))
             short = np.repeat(lengths <= _SHORT, lengths)
+            first, second, distance = [], [], []
             for d in range(1, min(longest, _SHORT + 1)):
                 at = np.flatnonzero((cells[d:] == cells[:-d]) & short[:-d])
                 for part in np.array_split(at, max(1, len(at) // 200_000)):
                     apart = _apart(fps[part], fps[part + d])
-                    near = part[apart <= wide]
-                    found.append((reps[near], reps[near + d], apart[apart <= wide] <= certain))
+                    near = apart <= wide
+                    first.append(part[near])
+                    second.append(part[near] + d)
+                    distance.append(apart[near])
+            if first:
+                p, q, apart = (np.concatenate(x) for x in (first, second, distance))
+                dense = np.zeros(len(cells), bool)
+                if wide_bits is not None:
+                    dense = np.bincount(np.concatenate([p, q]), minlength=len(cells)) > DENSE
+                listed = ~(dense[p] & dense[q])
+                found.append((reps[p[listed]], reps[q[listed]], apart[listed] <= certain))
+                crowded = np.flatnonzero(dense)
+                for members in np.split(crowded, np.flatnonzero(np.diff(cells[crowded])) + 1):
+                    join(members)
             for i in np.flatnonzero(lengths > _SHORT):
-                span = slice(bounds[i], bounds[i + 1])
-                if wide_bits is None:
-                    pairs = [(a, b, True) for a, b in _link_long(reps[span], fps[span], max_bits)]
-                else:
-                    pairs, dense = _link_sparse(reps[span], fps[span], wide, max_bits, certain)
-                    pairs += [(a, b, True) for a, b in _link_long(reps[span][dense], fps[span][dense], max_bits)]
-                if pairs:
-                    a, b, c = zip(*pairs)
-                    found.append((np.array(a, np.int64), np.array(b, np.int64), np.array(c, bool)))
+                members = np.arange(bounds[i], bounds[i + 1])
+                if wide_bits is not None:
+                    pairs, dense = _link_sparse(reps[members], fps[members], wide, certain)
+                    if pairs:
+                        a, b, c = zip(*pairs)
+                        found.append((np.array(a, np.int64), np.array(b, np.int64), np.array(c, bool)))
+                    members = members[dense]
+                join(members)
             if found:
                 u, v, sure = (np.concatenate(x) for x in zip(*found))
                 if len(u):
@@ -342,9 +363,9 @@ def near_duplicates(
     bits: each of ``tables`` samples joins a pair at exactly ``similarity`` with
     chance p ** bits, and there are enough tables that it meets in one with chance
     ``recall``; nearer pairs are surer. The sample grows with the logarithm of
-    the rows, which keeps the cells of unrelated rows small at any size. A text with more than
-    ``_SHORT`` such partners in one cell, in a large group of near copies, is
-    linked by the estimate there, so that no group is listed pair by pair.
+    the rows, which keeps the cells of unrelated rows small at any size. Two texts
+    that both have more than ``DENSE`` such partners in one cell, in a large group of near copies, are
+    linked there by the estimate, so that no group is listed pair by pair.
     Nulls, ties, repeats, empty tables: as ``hamming_components``.
     """
     wide = bits_for_similarity(similarity - slack, width)
