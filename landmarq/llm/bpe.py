@@ -33,7 +33,7 @@ from ..shipping import ship
 #: Stands for the mark of a word's end inside keys; the byte alphabet has no such character.
 _END = "\ue000"
 #: Entries of each of the two generations of a worker's cache of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
 # Letters and numbers assigned after Unicode 16, which the library takes for marks and the pattern module doesn't.
 _LATER = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
@@ -129,7 +129,7 @@ class Tokenizer:
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Adds the pair to the table of compatible pairs."""
-        if len(self.compatible) >= 2_000_000:
+        if len(self.compatible) >= 200_000:
             self.compatible.clear()
         fits = self.compatible[pair] = self._stays(*pair)
         return fits
