@@ -136,8 +136,8 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel | None:
     return TextModel(languages, np.hstack([table, noise]).astype(np.float32))
 
 
-def _text_posteriors(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` with ``_like``, the log-likelihoods of ``_text``."""
+def _text_posteriors(rows: DataFrame, model: TextModel, column: str) -> DataFrame:
+    """``rows`` with ``_like``, the log-likelihoods of the texts in ``column``."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS * (languages + 1) numbers
     names = [*rows.columns, "_like"]
@@ -147,7 +147,7 @@ def _text_posteriors(rows: DataFrame, model: TextModel) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                like = [m.score(None if x.as_py() is None else x.as_py().encode("utf-8", "replace")).tolist() for x in part.column("_text")]
+                like = [m.score(None if x.as_py() is None else x.as_py().encode("utf-8", "replace")).tolist() for x in part.column(column)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(like, pa.list_(pa.float64()))], names=names)
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "`_like` array<double>"])
@@ -161,12 +161,12 @@ def _normalise(logs: Column) -> Column:
 
 
 def identify(
-    docs: DataFrame, text: Column, declared: Column, host: Column, suffix: Column, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame, text: Column | str, declared: Column, host: Column, suffix: Column, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """``docs`` with ``language, confidence, text_language, accepted``.
 
     ``text``, ``declared`` (a language tag), ``host`` and ``suffix`` are
-    expressions over ``docs`` and may be null: a missing text says nothing, a
+    expressions over ``docs`` (``text`` may be a column's name, which spares a copy) and may be null: a missing text says nothing, a
     missing declaration neither, and rows without host or suffix share the
     level above. ``accepted`` is false where the language is unknown: no
     letters at all, noise, or a posterior below ``threshold``. Columns
@@ -182,8 +182,9 @@ def identify(
     names_of = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in out}  # no name of the table can clash with one used here
     given = [docs[c].alias(new) for c, new in names_of.items()]
     back = [F.col(new).alias(c) for c, new in names_of.items()]
-    rows = docs.select(*given, text.alias("_text"), primary(declared).alias("_declared"), host.alias("_host"), suffix.alias("_suffix"))
-    model = train(rows.select(F.col("_text").alias("text"), F.col("_declared").alias("declared")), sample_rows)
+    column = names_of[text] if isinstance(text, str) else "_text"
+    rows = docs.select(*given, *([] if isinstance(text, str) else [text.alias("_text")]), primary(declared).alias("_declared"), host.alias("_host"), suffix.alias("_suffix"))
+    model = train(rows.select(F.col(column).alias("text"), F.col("_declared").alias("declared")), sample_rows)
     if model is None:
         return rows.select(*back, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"))
     names, size = [*model.languages, UNKNOWN], len(model.languages) + 1
@@ -195,7 +196,7 @@ def identify(
         return raw.withColumn("_share", share).withColumn("_own", F.transform("_raw", lambda x: x / F.col("_share"))).drop("_raw", "_share")
 
     known = F.when(F.col("_declared").isNull(), F.lit("-")).when(F.col("_declared").isin(model.languages), F.col("_declared")).otherwise(F.lit("?"))
-    narrow = with_own(_text_posteriors(rows.select("_text", "_declared", "_host", "_suffix"), model).drop("_text")).withColumn("_said", known)
+    narrow = with_own(_text_posteriors(rows.select(column, "_declared", "_host", "_suffix"), model, column).drop(column)).withColumn("_said", known)
     sums = [F.sum(F.col("_own")[i]).alias(f"s{i}") for i in range(size)]
     counted = materialise(narrow.groupBy("_host", "_suffix", "_said").agg(*sums), "host-counts")
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]
@@ -216,7 +217,7 @@ def identify(
     if by_host.count() <= BROADCAST_HOSTS:
         by_host = F.broadcast(by_host)
 
-    scored = with_own(_text_posteriors(rows, model)).withColumn("_said", known)
+    scored = with_own(_text_posteriors(rows, model, column)).withColumn("_said", known)
     joined = scored.join(by_host, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_suffix").eqNullSafe(F.col("_s")), "left")
     # The row's own share leaves its host's sums; a row without host knows only the level above.
     others = F.when(F.col("_host").isNotNull(), F.zip_with("_host_sum", "_own", lambda s, o: F.greatest(s - o, F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), size))
@@ -241,7 +242,7 @@ def identify(
 
 def identify_documents(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """``identify`` for a table of documents, whose sources stand for hosts and have no address suffix."""
-    return identify(docs, F.col(text_col), F.col(declared_col), F.col(host_col).cast("string"), F.lit(None).cast("string"), threshold)
+    return identify(docs, text_col, F.col(declared_col), F.col(host_col).cast("string"), F.lit(None).cast("string"), threshold)
 
 
 def identify_pages(pages: DataFrame, threshold: float = 0.5, html_col: str = "html", url_col: str = "url") -> DataFrame:
