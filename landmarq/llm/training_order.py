@@ -30,8 +30,10 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from ._common import shared_dir, with_prefix
 
-#: Tokens in a sequence; UTF-8 bytes of text that a shard holds on average.
-LENGTH, SHARD_BYTES = 256, 24 << 20
+#: Tokens in a sequence.
+LENGTH = 256
+#: Least and most UTF-8 bytes of text that a shard holds on average, and how many shards are wanted between.
+LEAST_SHARD, MOST_SHARD, SHARDS = 8 << 20, 256 << 20, 10_000
 #: Rounds of the Feistel network.
 ROUNDS = 6
 #: Permuted values stay below this, so that sums of them fit a long.
@@ -102,10 +104,11 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple
 
 
 def write_order(
-    docs: DataFrame, path: str, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int | None = None, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict:
     """Writes ``docs`` as shards under ``path`` in the order set by ``key``; gives the manifest, which is written too.
 
+    A shard holds ``shard_bytes`` of text on average: without it 8 MB, more where that made over 10,000 shards, 256 MB at most.
     ``ranks`` is the path of a rank file of at most 65,536 tokens, ``pattern``
     its splitting pattern. Each whole text is encoded and closed by ``end_id``;
     its last sequence is padded by zeros. A null text is an empty one, so
@@ -120,7 +123,7 @@ def write_order(
     ship(spark)
     rows, numbers, most, size, given = _numbered(docs, id_col, text_col, length)
     values = numbers * most
-    shards = max(1, -(-size // shard_bytes))
+    shards = max(1, -(-size // (shard_bytes or min(max(size // SHARDS, LEAST_SHARD), MOST_SHARD))))
     width = -(-values // shards)
     stride = _HEAD_BYTES + 2 * length + len(_MARK)
     manifest = {"length": length, "stride": stride, "shards": shards, "key": key, "rounds": ROUNDS, "numbers": numbers, "most": most, "rows": given}
@@ -212,7 +215,7 @@ def read_order(spark: SparkSession, path: str, manifest: dict, start: int = 0) -
     return files.mapInArrow(scan, schema)
 
 
-def training_order(docs: DataFrame, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards to the shared folder and reads them back (``read_order``)."""
     path = shared_dir(docs.sparkSession, "training-order")
     manifest = write_order(docs, path, ranks, pattern, key, length, shard_bytes, id_col=id_col, text_col=text_col)
