@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import string
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from ..shipping import ship
 #: Stands for the mark of a word's end inside keys; the byte alphabet has no such character.
 _END = "\ue000"
 #: Entries of each of the two generations of a worker's cache of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 120_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 # Letters and numbers assigned after Unicode 16, which the library takes for marks and the pattern module doesn't.
 _LATER = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
@@ -46,6 +47,7 @@ _LATER = (
     (0x3D000, 0x3FC3F),
 )
 _LATER_SIGNS = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
+_MARKS = string.punctuation
 _UNICODE_SPACE = regex.compile(r"\p{White_Space}+")
 #: Characters that str.split() takes for white space and Unicode doesn't.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -173,9 +175,15 @@ class Tokenizer:
         return tokens
 
     def _encode_plain(self, text: str) -> list[int]:
+        if text.isascii():
+            text = text.lower()
+            word = text.rstrip(_MARKS)
+            if word.isalpha():  # one word and the marks behind it: what the pattern gives, without asking it
+                return self.encode_word(word) + self.encode_word(text[len(word) :]) if len(word) < len(text) else self.encode_word(word)
+            return [i for piece in self.pieces(text) for i in self.encode_word(piece)]
         # Lower case goes character by character: a final sigma is no special case.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if not text.isascii() and _LATER_SIGNS.search(text):
+        if _LATER_SIGNS.search(text):
             plain = _LATER_SIGNS.sub("\ufffd", text)
             return [i for span in self.spans(plain) for i in self.encode_word(text[span.start() : span.end()])]
         return [i for piece in self.pieces(text) for i in self.encode_word(piece)]
