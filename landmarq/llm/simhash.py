@@ -10,25 +10,25 @@ in all but r of them, so the grid whose cells are the count vectors of (groups
 are then checked on the bits themselves.
 
 Links at a set similarity differ in many bits, where no count vector tells
-copies from strangers; that mode takes a wide fingerprint and cells of sampled
-bits instead (see ``near_duplicates``).
+copies from strangers; that mode joins the sets themselves, exactly (see
+``near_duplicates``).
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ._common import materialise
 from .components import connected_components
+from .resemblance import resemblance_components
+from .shingles import shingle_hashes
 
 #: Bit j of a byte value, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -38,27 +38,6 @@ _CHUNK = 8192
 BLOCK = 16384
 #: Runs up to this length are compared in one vector pass.
 _SHORT = 48
-#: A member with more partners than this in one cell counts as part of a dense group there.
-DENSE = 8
-
-
-def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each shingle of ``size`` words, repeats included, after lower-casing A-Z.
-
-    With fewer words the whole sequence is the one shingle; with none there is
-    no shingle.
-    """
-    tokens = text.lower().split() if text else []
-    if not tokens:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(tokens)
-    if len(tokens) <= size:
-        return np.array([digest(joined, seed)], np.uint64)
-    ends = list(itertools.accumulate(map(len, tokens), lambda a, n: a + n + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    count = len(tokens) - size + 1
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :])), np.uint64, count)
 
 
 def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -116,20 +95,6 @@ def _cells_exact(fps: np.ndarray, max_bits: int, groups: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _cells_sampled(fps: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Cells of ``tables`` fixed random samples of ``bits`` bits of a wide fingerprint."""
-    width = fps.shape[1]
-    random = np.random.default_rng(20240229)
-    out = []
-    for i in range(tables):
-        at = random.choice(width * 64, bits, replace=False)
-        value = np.zeros(len(fps), np.uint64)
-        for j, b in enumerate(at):
-            value |= ((fps[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
-        out.append(_spread(value, i + 1))
-    return np.stack(out, axis=1).view(np.int64)
-
-
 def _unpack(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
 
@@ -153,30 +118,8 @@ def _link_long(reps: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[i
     return edges
 
 
-def _link_sparse(reps: np.ndarray, fps: np.ndarray, wide_bits: int, sure_bits: int) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
-    """All pairs within ``wide_bits`` of the members of one cell with few of them; and which members have many."""
-    pairs, dense = [], np.zeros(len(reps), bool)
-    for i in range(len(reps)):
-        apart = _apart(fps, fps[i])
-        apart[i] = wide_bits + 1
-        near = np.flatnonzero(apart <= wide_bits)
-        if len(near) > DENSE:
-            dense[i] = True
-        else:
-            pairs += [(int(reps[i]), int(reps[j]), bool(apart[j] <= sure_bits)) for j in near]
-    return pairs, dense
-
-
-def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_bits: int | None = None):
-    """A function over rows sorted by cell that gives the links inside each cell, ``u, v, sure``.
-
-    Without ``wide_bits`` all links are sure. With it, pairs up to that
-    distance are given, those within ``sure_bits`` as sure, if one of the two has
-    ``DENSE`` such partners or fewer in the cell. Members with more are joined
-    among themselves by sure links within ``max_bits``, without listing their pairs.
-    """
-    wide = max_bits if wide_bits is None else wide_bits
-    certain = max_bits if sure_bits is None else sure_bits
+def _link_sorted(max_bits: int, width: int):
+    """A function over rows sorted by cell that gives the links inside each cell, ``u, v``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -186,45 +129,21 @@ def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_b
             lengths = np.diff(bounds)
             found = []
 
-            def join(members):
-                if pairs := _link_long(reps[members], fps[members], max_bits):
-                    a, b = np.array(pairs, np.int64).T
-                    found.append((a, b, np.ones(len(a), bool)))
-
             longest = int(lengths.max(initial=0))
             short = np.repeat(lengths <= _SHORT, lengths)
-            first, second, distance = [], [], []
             for d in range(1, min(longest, _SHORT + 1)):
                 at = np.flatnonzero((cells[d:] == cells[:-d]) & short[:-d])
                 for part in np.array_split(at, max(1, len(at) // 200_000)):
-                    apart = _apart(fps[part], fps[part + d])
-                    near = apart <= wide
-                    first.append(part[near])
-                    second.append(part[near] + d)
-                    distance.append(apart[near])
-            if first:
-                p, q, apart = (np.concatenate(x) for x in (first, second, distance))
-                dense = np.zeros(len(cells), bool)
-                if wide_bits is not None:
-                    dense = np.bincount(np.concatenate([p, q]), minlength=len(cells)) > DENSE
-                listed = ~(dense[p] & dense[q])
-                found.append((reps[p[listed]], reps[q[listed]], apart[listed] <= certain))
-                crowded = np.flatnonzero(dense)
-                for members in np.split(crowded, np.flatnonzero(np.diff(cells[crowded])) + 1):
-                    join(members)
+                    near = part[_apart(fps[part], fps[part + d]) <= max_bits]
+                    found.append((reps[near], reps[near + d]))
             for i in np.flatnonzero(lengths > _SHORT):
-                members = np.arange(bounds[i], bounds[i + 1])
-                if wide_bits is not None:
-                    pairs, dense = _link_sparse(reps[members], fps[members], wide, certain)
-                    if pairs:
-                        a, b, c = zip(*pairs)
-                        found.append((np.array(a, np.int64), np.array(b, np.int64), np.array(c, bool)))
-                    members = members[dense]
-                join(members)
+                members = slice(bounds[i], bounds[i + 1])
+                if pairs := _link_long(reps[members], fps[members], max_bits):
+                    found.append(tuple(np.array(pairs, np.int64).T))
             if found:
-                u, v, sure = (np.concatenate(x) for x in zip(*found))
+                u, v = (np.concatenate(x) for x in zip(*found))
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -244,8 +163,8 @@ def _link_sorted(max_bits: int, width: int, wide_bits: int | None = None, sure_b
     return scan
 
 
-def _links(distinct: DataFrame, width: int, max_bits: int, cells, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
-    """Links ``u, v, sure`` between representatives (see ``_link_sorted``): for each connected part of sure ones enough to join it.
+def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
+    """Links ``u, v`` between representatives: for each connected part enough to join it.
 
     ``distinct`` has ``rep`` (long) and ``fp``. A cell of more than ``BLOCK``
     members is split into blocks, each pair of which is a cell of its own, so
@@ -271,7 +190,7 @@ def _links(distinct: DataFrame, width: int, max_bits: int, cells, wide_bits: int
             F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "rep", "fp"
         )
     together = dealt.repartition("cell").sortWithinPartitions("cell", "rep")
-    return together.mapInArrow(_link_sorted(max_bits, width, wide_bits, sure_bits), "u long, v long, sure boolean")
+    return together.mapInArrow(_link_sorted(max_bits, width), "u long, v long")
 
 
 def groups_for(rows: int, max_bits: int, wanted: int = 64) -> int:
@@ -314,74 +233,14 @@ def hamming_components(docs: DataFrame, shingle_words: int = 4, max_bits: int =
     return out.select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id"))
 
 
-def bits_for_similarity(similarity: float, width: int) -> int:
-    """Most differing bits of ``width`` words at a set resemblance: sets with resemblance J meet at the angle of cosine 2J / (1 + J)."""
-    return int(width * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def resembling(docs: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (``u, v``, ids) whose texts' sets of shingles resemble each other by ``similarity`` or more, counted exactly.
-
-    Only texts that stand in a pair are hashed; ids grow with the table, so
-    they are joined by sort-merge, not broadcast. Of rows that share an id the least text counts.
-    """
-    ship(docs.sparkSession)
-    wanted = pairs.select(F.col("u").alias("_i")).union(pairs.select("v")).distinct().hint("merge")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("id") == F.col("_i"), "left_semi")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py().encode("utf-8", "replace"), shingle_words)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = materialise(texts.mapInArrow(hashed, "id long, set binary"), "shingle-sets")
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")).hint("merge"), "u")
-    both = left.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")).hint("merge"), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
-
-
-def near_duplicates(
-    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, slack: float = 0.1, width: int = 8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id`` where rows whose shingle sets resemble each other by ``similarity`` are linked.
 
-    Candidates come from a fingerprint of ``width`` words, 512 bits, whose
-    distance estimates the resemblance with a standard error of 0.04. Pairs up to
-    ``slack`` below ``similarity`` are verified exactly on the texts' shingle
-    sets (``resembling``), pairs ``slack`` or more above it are taken as they
-    are. At that distance a sixth of the bits differ, so cells are samples of
-    bits: each of ``tables`` samples joins a pair at exactly ``similarity`` with
-    chance p ** bits, and there are enough tables that it meets in one with chance
-    ``recall``; nearer pairs are surer. The sample grows with the logarithm of
-    the rows, which keeps the cells of unrelated rows small at any size. Two texts
-    that both have more than ``DENSE`` such partners in one cell, in a large group of near copies, are
-    linked there by the estimate, so that no group is listed pair by pair.
+    Every link is counted exactly on the texts' sets of distinct shingles, and
+    every pair that reaches ``similarity`` is joined (see ``resemblance``).
     Nulls, ties, repeats, empty tables: as ``hamming_components``.
     """
-    wide = bits_for_similarity(similarity - slack, width)
-    most = bits_for_similarity(similarity, width)
-    sure = bits_for_similarity(min(1.0, similarity + slack), width)
-
-    def linker(distinct: DataFrame, rows: int) -> DataFrame:
-        bits = max(14, math.ceil(math.log2(max(2, rows))) - 10)
-        meets = (1 - most / (width * 64)) ** bits
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - meets))
-        found = _links(distinct, width, most, lambda fps: _cells_sampled(fps, bits, tables), wide, sure)
-        found = materialise(found.groupBy("u", "v").agg(F.bool_or("sure").alias("sure")), "links")
-        certain = found.where("sure").select("u", "v")
-        return certain.union(resembling(docs, found.where("not sure").select("u", "v"), shingle_words, similarity, id_col, text_col))
-
-    return _classes(fingerprints(docs, shingle_words, width, id_col, text_col), id_col, linker).select(id_col, "component_id")
+    return resemblance_components(docs, shingle_words, similarity, id_col, text_col)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
