@@ -47,6 +47,13 @@ def test_boilerplate_family_stays_apart(spark):
     assert components(spark, texts) == {i: i for i in range(120)}
 
 
+def test_repeated_line_makes_no_copies(spark):
+    random = np.random.default_rng(4)
+    line = words(random, 9)
+    texts = [(i, " ".join(line * 40 + words(random, 60))) for i in range(30)]
+    assert components(spark, texts) == {i: i for i in range(30)}
+
+
 @pytest.mark.parametrize("block", [16384, 16])
 def test_chains_in_crowded_cells(spark, monkeypatch, block):
     """Families whose members drift away from each other: some pairs link, most don't."""
