@@ -54,6 +54,17 @@ def test_repeated_line_makes_no_copies(spark):
     assert components(spark, texts) == {i: i for i in range(30)}
 
 
+@pytest.mark.parametrize(("body", "times"), [(300, 10), (200, 5), (600, 10)])
+def test_repeats_hide_no_copy(spark, body, times):
+    random = np.random.default_rng(5)
+    texts = []
+    for i in range(20):
+        start, line = words(random, body), words(random, 12)
+        texts += [(2 * i, " ".join(start + line)), (2 * i + 1, " ".join(start + line * times))]
+    got = components(spark, texts)
+    assert slow_components(texts) == got == {i: i - i % 2 for i in range(40)}
+
+
 @pytest.mark.parametrize("block", [16384, 16])
 def test_chains_in_crowded_cells(spark, monkeypatch, block):
     """Families whose members drift away from each other: some pairs link, most don't."""
