@@ -11,6 +11,7 @@ rounded from rates so that every source's words follow its target closely.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -53,19 +54,25 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-9, steps: int = 60) -> DataFrame:
+def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-9, steps: int = 200) -> DataFrame:
     """Adds ``rate`` to ``classes`` (``source, size, n``), given ``targets`` (``source, source_size, target``).
 
     One dual variable for each source; every Newton step of all sources is one
-    grouped sum of the gap and its slope. A step that leaves the bracket known
-    to hold the solution is replaced by its middle. Sources with a target at
-    ``most`` times their size take every document ``most`` times.
+    grouped sum of the gap and its slope. The bracket starts where the source's
+    shortest text alone bounds all rates, so it holds the solution whatever the
+    sizes. A step that leaves it, and every other step when many were taken, is
+    replaced by its middle. Sources with a target at ``most`` times their size
+    take every document ``most`` times. A source that misses its target raises.
     """
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    scales = classes.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
+    scales = classes.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest"))
+    # At ``low`` every rate is target / source_size at most, at ``high`` every rate is ``most``.
+    reach = F.greatest("scale", F.lit(1.0)) / F.coalesce("shortest", F.lit(1))
+    low = F.least(F.lit(0.0), F.log(F.greatest("target", F.lit(1e-7)) / F.greatest("source_size", F.lit(1)))) * reach - 1
+    high = F.lit(max(0.0, math.log(most)) if most > 0 else 0.0) * reach + 1
     state = materialise(
         targets.join(scales.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("low"), F.lit(64.0).alias("high"),
+            "source", "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("tilt"), low.alias("low"), high.alias("high"),
             (F.col("target") >= F.col("source_size") * most * (1 - 1e-12)).alias("full"), F.lit(False).alias("done"),
         ),
         "dual",
@@ -74,10 +81,10 @@ def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, toler
 
     def rated(state: DataFrame) -> DataFrame:
         pull = F.col("tilt") * F.col("size") / F.col("scale")
-        raw = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(pull, F.lit(8.0)))))
+        raw = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(pull, F.lit(max(8.0, most))))))
         return rows.join(state, F.col("_s").eqNullSafe(F.col("source"))).withColumn("rate", raw)
 
-    for _ in range(steps):
+    for step in range(steps):
         open_rows = rated(state.where(~F.col("full") & ~F.col("done")))
         slope = F.when(F.col("rate") < most, F.col("n") * F.col("rate") * F.col("size") * F.col("size") / F.col("scale")).otherwise(0.0)
         sums = open_rows.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("n") * F.col("rate") * F.col("size")).alias("taken"), F.sum(slope).alias("slope"))
@@ -85,8 +92,8 @@ def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, toler
         low, high = F.when(gap <= 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap >= 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         middle = (low + high) / 2
-        following = F.when((newton > low) & (newton < high), newton).otherwise(middle)
-        settled = F.col("done") | F.col("full") | F.coalesce(F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6)), F.lit(True)) | (high - low < 1e-12)
+        following = F.when((newton > low) & (newton < high) & F.lit(step < 20 or step % 2 == 0), newton).otherwise(middle)
+        settled = F.col("done") | F.col("full") | F.coalesce(F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6)), F.lit(True))
         state = materialise(
             state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").select(
                 "source", "source_size", "target", "scale", F.when(settled, F.col("tilt")).otherwise(following).alias("tilt"), F.when(settled, F.col("low")).otherwise(low).alias("low"),
@@ -96,6 +103,9 @@ def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, toler
         )
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        missed = state.where(~F.col("done")).select("source", "target").limit(5).collect()
+        raise ValueError(f"after {steps} steps these sources miss their targets: {[(r['source'], r['target']) for r in missed]}")
     return rated(state).select("source", "size", "n", "rate", "source_size", "target")
 
 

@@ -79,3 +79,18 @@ def test_a_hot_class_is_ranked_in_parts(spark):
     rows = [(i, "same words here", "hot") for i in range(400)] + [(1000 + i, "w " * (i + 1), f"s{i % 3}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     check(mixing.mix(docs).collect(), {i: t for i, t, _ in rows})
+
+
+@pytest.mark.parametrize("wanted", [0.03, 0.3, 1.9])
+def test_one_very_long_text_does_not_hide_the_root(spark, wanted):
+    classes = spark.createDataFrame([("a", 200, 20_000), ("a", 1_000_000, 1)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 5_000_000, wanted * 5_000_000)], "source string, source_size long, target double")
+    taken = sum(r.n * r.rate * r["size"] for r in mixing.solve_rates(classes, targets).collect())
+    assert taken == pytest.approx(wanted * 5_000_000, rel=1e-8)
+
+
+def test_a_missed_target_raises(spark):
+    classes = spark.createDataFrame([("a", 200, 20_000), ("a", 1_000_000, 1)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 5_000_000, 150_000.0)], "source string, source_size long, target double")
+    with pytest.raises(ValueError, match="miss their targets"):
+        mixing.solve_rates(classes, targets, steps=2)
