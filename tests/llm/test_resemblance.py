@@ -65,6 +65,16 @@ def test_repeats_hide_no_copy(spark, body, times):
     assert slow_components(texts) == got == {i: i - i % 2 for i in range(40)}
 
 
+def test_short_texts_at_the_threshold_all_meet(spark):
+    random = np.random.default_rng(6)
+    texts = []
+    for i in range(300):
+        body = words(random, 9 if i % 2 else 19)
+        texts += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body[: 8 if i % 2 else 16]))]
+    got = components(spark, texts)
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 @pytest.mark.parametrize("block", [16384, 16])
 def test_chains_in_crowded_cells(spark, monkeypatch, block):
     """Families whose members drift away from each other: some pairs link, most don't."""
