@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: While a table is written: shuffle files go once the job has ended (nothing else reads them), and Python workers get small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside leave no shuffle files behind and hand Python workers batches of 16 MB at most."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
-    This cuts lineage: the table outlives any executor.
+    This cuts lineage: the table outlives any executor. The shuffle files behind it are deleted with the end of the job.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._landmarq_path = path  # noqa: SLF001
     return out
@@ -38,9 +57,17 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialise`` wrote."""
     path = getattr(df, "_landmarq_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +120,17 @@ def with_prefix(df: DataFrame, order: Sequence[Column], size: str | None = None,
     )
 
 
+def has_unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null and none comes twice; only ids are read and moved."""
+    counts = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where("_id is null or _n > 1").isEmpty()
+
+
+def numbered(df: DataFrame, id_col: str, number: str = "_number") -> DataFrame:
+    """``df`` with a number of its own for each row, in the order of ``id_col`` (nulls last), written to the shared folder."""
+    return materialise(with_prefix(df, [F.col(id_col).asc_nulls_last()], name="numbered").withColumnRenamed("_index", number).drop("_before"), "numbered")
+
+
 def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns renamed so that no name can clash with an operator's own, and the new name of each."""
     names = {c: f"_given_{i}" for i, c in enumerate(df.columns)}

@@ -6,8 +6,9 @@ of its segments' bit counts. The Manhattan distance of two such vectors never
 exceeds the number of differing bits, so links lie within that distance. The
 segments are dealt into groups; two vectors at distance r or less agree wholly
 in all but r of them, so the grid whose cells are the count vectors of (groups
-- r) groups brings every linked pair together in some cell. Each cell's pairs
-are then checked on the bits themselves.
+- r) groups brings every linked pair together in some cell. Pairs of a cell
+whose count vectors lie further apart are left out by the Manhattan distance;
+what it leaves is checked on the bits themselves.
 
 Links at a set similarity differ in many bits, where no count vector tells
 copies from strangers; that mode joins the sets themselves, exactly (see
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import materialise
+from ._common import has_unique_ids, materialise, numbered, shielded, unshielded
 from .components import connected_components
 from .resemblance import resemblance_components
 from .shingles import shingle_hashes
@@ -80,11 +81,21 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, width: int = 1, id_col
     return narrow.mapInArrow(scan, f"id {kind}, fp binary").withColumnRenamed("id", id_col)
 
 
+def embed(x: np.ndarray) -> np.ndarray:
+    """The bit counts of the 32 two-bit segments of each fingerprint, in unary: 0 is 00, 1 is 01 and 2 is 11."""
+    low = np.uint64(0x5555555555555555)
+    one, two = x & low, (x >> np.uint64(1)) & low
+    return (one | two) | ((one & two) << np.uint64(1))
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distance of two embedded count vectors: unary counts differ in as many bits as they lie apart."""
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
 def _cells_exact(fps: np.ndarray, max_bits: int, groups: int) -> np.ndarray:
     """Cells of the count grid, one column for each choice of (groups - max_bits) groups of segments."""
-    x = fps[:, 0]
-    low = np.uint64(0x5555555555555555)
-    counts = (x & low) + ((x >> np.uint64(1)) & low)  # 32 fields of two bits: 0, 1 or 2
+    counts = embed(fps[:, 0])
     masks = []
     for part in np.array_split(np.arange(32), groups):
         masks.append(np.uint64(sum(3 << int(2 * s) for s in part)))
@@ -99,18 +110,22 @@ def _unpack(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def _linked(counts_a: np.ndarray, counts_b: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs are linked: the Manhattan distance of their counts rules out most, the bits decide the rest."""
+    near = manhattan(counts_a, counts_b) <= max_bits
+    left = np.flatnonzero(near)
+    near[left] = np.bitwise_count(a[left] ^ (b[left] if b.shape else b)) <= max_bits
+    return near
 
 
-def _link_long(reps: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def _link_long(reps: np.ndarray, counts: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that join the members of each connected part of one cell, without listing all pairs."""
     edges, left = [], np.arange(len(reps))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = _apart(fps[left], fps[at]) <= max_bits
+            near = _linked(counts[left], counts[at], fps[left], fps[at], max_bits)
             for other in left[near]:
                 edges.append((int(reps[at]), int(reps[other])))
                 queue.append(other)
@@ -118,7 +133,7 @@ def _link_long(reps: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[i
     return edges
 
 
-def _link_sorted(max_bits: int, width: int):
+def _link_sorted(max_bits: int):
     """A function over rows sorted by cell that gives the links inside each cell, ``u, v``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +143,18 @@ def _link_sorted(max_bits: int, width: int):
             bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
             lengths = np.diff(bounds)
             found = []
+            counts = embed(fps)
 
             longest = int(lengths.max(initial=0))
             short = np.repeat(lengths <= _SHORT, lengths)
             for d in range(1, min(longest, _SHORT + 1)):
                 at = np.flatnonzero((cells[d:] == cells[:-d]) & short[:-d])
                 for part in np.array_split(at, max(1, len(at) // 200_000)):
-                    near = part[_apart(fps[part], fps[part + d]) <= max_bits]
+                    near = part[_linked(counts[part], counts[part + d], fps[part], fps[part + d], max_bits)]
                     found.append((reps[near], reps[near + d]))
             for i in np.flatnonzero(lengths > _SHORT):
                 members = slice(bounds[i], bounds[i + 1])
-                if pairs := _link_long(reps[members], fps[members], max_bits):
+                if pairs := _link_long(reps[members], counts[members], fps[members], max_bits):
                     found.append(tuple(np.array(pairs, np.int64).T))
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found))
@@ -149,7 +165,7 @@ def _link_sorted(max_bits: int, width: int):
             if not batch.num_rows:
                 continue
             cells, reps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            fps = _unpack(batch.column(2), width)
+            fps = _unpack(batch.column(2), 1)[:, 0]
             held.append((cells, reps, fps))
             if cells[0] == cells[-1] and held[0][0][0] == cells[0]:
                 continue  # one cell goes on
@@ -163,7 +179,7 @@ def _link_sorted(max_bits: int, width: int):
     return scan
 
 
-def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
+def _links(distinct: DataFrame, max_bits: int, cells) -> DataFrame:
     """Links ``u, v`` between representatives: for each connected part enough to join it.
 
     ``distinct`` has ``rep`` (long) and ``fp``. A cell of more than ``BLOCK``
@@ -175,7 +191,7 @@ def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                fps = _unpack(part.column(1), width)
+                fps = _unpack(part.column(1), 1)
                 grid = cells(fps)
                 rows = np.repeat(np.arange(len(fps)), grid.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(grid.ravel()), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["cell", "rep", "fp"])
@@ -190,13 +206,14 @@ def _links(distinct: DataFrame, width: int, max_bits: int, cells) -> DataFrame:
             F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "rep", "fp"
         )
     together = dealt.repartition("cell").sortWithinPartitions("cell", "rep")
-    return together.mapInArrow(_link_sorted(max_bits, width), "u long, v long")
+    return together.mapInArrow(_link_sorted(max_bits), "u long, v long")
 
 
 def groups_for(rows: int, max_bits: int, wanted: int = 64) -> int:
     """The least number of segment groups whose cells hold about ``wanted`` unrelated fingerprints at most.
 
-    Two random segments of two bits have equal counts in 3/8 of all cases.
+    Two random segments of two bits have equal counts in 3/8 of all cases. Any number of groups brings all linked
+    pairs together; it sets the work alone.
     """
     for groups in range(max_bits + 1, max_bits + 5):
         if rows * 0.375 ** (32 * (groups - max_bits) / groups) <= wanted:
@@ -214,23 +231,43 @@ def _classes(fps: DataFrame, id_col: str, linker) -> DataFrame:
     return fps.join(named, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def _by_number(docs: DataFrame, id_col: str, text_col: str, classify) -> DataFrame:
+    """What ``classify`` makes of documents of which each has an id of its own.
+
+    Where ids repeat or are null the rows get numbers in the order of their ids (nulls last), and
+    the least number's id names the component: null where no row of it has an id.
+    """
+    if has_unique_ids(docs, id_col):
+        return classify(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumnRenamed("id", id_col)
+    rows = numbered(docs.select(F.col(id_col).alias("_given"), F.col(text_col).alias("text")), "_given", "id")
+    named = rows.select(F.col("id").alias("_n"), "_given").hint("merge")
+    found = classify(rows.select("id", "text")).withColumnRenamed("component_id", "_least")
+    least = rows.select(F.col("id").alias("_l"), F.col("_given").alias("component_id")).hint("merge")
+    out = found.join(named, F.col("id") == F.col("_n")).join(least, F.col("_least") == F.col("_l"))
+    return out.drop("id", "_n", "_least", "_l").withColumnRenamed("_given", id_col)
+
+
 def hamming_components(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row of ``docs``.
 
     Two rows are linked when their 64-bit fingerprints differ in ``max_bits``
     bits or fewer; ``component_id`` is the smallest id reachable over links.
     Ids are integers. Null and empty texts have fingerprint zero and are linked
-    like any other; repeated rows come back as often as they came; a row with a
-    null id gets the component of its fingerprint (null if no row with an id
-    has it). Other columns are ignored. An empty table gives an empty one.
+    like any other. Each row is a document of its own: repeated rows come back
+    as often as they came, a repeated id doesn't link different texts, and rows
+    with a null id link like others (a component without any id has a null
+    one). Other columns are ignored. An empty table gives an empty one.
     """
 
     def linker(distinct: DataFrame, rows: int) -> DataFrame:
         groups = groups_for(rows, max_bits)
-        return _links(distinct, 1, max_bits, lambda fps: _cells_exact(fps, max_bits, groups))
+        return _links(distinct, max_bits, lambda fps: _cells_exact(fps, max_bits, groups))
+
+    def classify(rows: DataFrame) -> DataFrame:
+        out = _classes(fingerprints(rows, shingle_words, 1, "id", "text"), "id", linker)
+        return out.select("id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
-    out = _classes(fingerprints(docs, shingle_words, 1, id_col, text_col), id_col, linker)
-    return out.select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id"))
+    return _by_number(docs, id_col, text_col, classify).select(id_col, "fingerprint", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,20 +275,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Every link is counted exactly on the texts' sets of distinct shingles, and
     every pair that reaches ``similarity`` is joined (see ``resemblance``).
-    Nulls, ties, repeats, empty tables: as ``hamming_components``.
+    Nulls, ties, repeats, empty tables: as ``hamming_components``; texts without words are alike.
     """
-    return resemblance_components(docs, shingle_words, similarity, id_col, text_col)
+    return _by_number(docs, id_col, text_col, lambda rows: resemblance_components(rows, shingle_words, similarity)).select(id_col, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest id.
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates (see ``near_duplicates``): that with the smallest id.
 
-    Rows with a null id are kept. Of rows that repeat the kept id, all stay.
+    Of rows that share that id one stays; rows with a null id come last, so one of a group without any id stays.
+    All columns of ``docs`` come back under their names. An empty table gives an empty one.
     """
-    id_col = options.get("id_col", "doc_id")
-    classes = near_duplicates(docs, **options)
-    kept = materialise(classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept")
-    alone = docs.where(F.col(id_col).isNull())
+    rows, names = shielded(docs)
+    key, text = names[id_col], names[text_col]
+    if not has_unique_ids(rows, key):
+        rows = numbered(rows, key, "_row")
+        key = "_row"
+    classes = near_duplicates(rows, shingle_words, similarity, key, text)
+    kept = materialise(classes.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")), "kept")
     # The ids kept grow with the table, so they are never broadcast, however few they are now.
-    kept = kept.hint("merge")
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").union(alone)
+    return unshielded(rows.join(kept.hint("merge"), F.col(key) == F.col("_kept"), "left_semi"), names)

@@ -99,9 +99,44 @@ def test_matches_every_pair_counted(spark, sf):
     assert components(spark, texts) == slow_components(texts)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_planted_copies_are_all_found(spark, similarity):
+    """Pairs of 12 to 400 words whose resemblance is the least that still counts, or just below."""
+    random = np.random.default_rng(9)
+    texts, want = [], {}
+    for i in range(120):
+        n = int(random.integers(12, 400))
+        body = words(random, n)
+        fewer = next(k for k in range(n - 4) if (n - 5 - k) / (n - 4) < similarity) if i % 2 else int((1 - similarity) * (n - 4) + 1e-9)
+        texts += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body[: n - fewer - (i % 2)]))]
+        both = len(grams(texts[-1][1]) & grams(texts[-2][1])) / len(grams(texts[-1][1]) | grams(texts[-2][1]))
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (both < 0.8 - 1e-9)}
+    assert components(spark, texts) == want == slow_components(texts)
+
+
 def test_parities_never_exceed_the_difference():
     random = np.random.default_rng(8)
-    for n in (1, 30, 3000):
-        both, a, b = (np.unique(random.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, n // 3 + 1, n // 4))
+    for n in (1, 30, 3000, 40000):
+        both, a, b = (np.unique(random.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, n // 12 + 1, n // 14))
         x, y = (resemblance.parities(np.union1d(both, z)) for z in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b)
+        assert len(x) in (len(y), 2 * len(y), len(y) // 2)
+        assert resemblance._apart(x, y) <= len(a) + len(b)
+    wide = resemblance.parities(both)
+    assert (resemblance._folded(wide) == np.packbits((np.bincount((both >> np.uint64(32)).astype(int) % (len(wide) * 32), minlength=len(wide) * 32) & 1).astype(bool), bitorder="little").view(np.uint64)).all()
+
+
+def test_bounds_rule_out_no_link_and_most_strangers():
+    """Of sets of like sizes with a given resemblance, all at 0.8 or more stay open and few below 0.75 do, at any length."""
+    random = np.random.default_rng(10)
+    for n in (40, 400, 5000, 20000):
+        for wanted, least, most in ((0.8, 1, 1), (0.9, 1, 1), (0.72, 0, 0.35), (0.5, 0, 0.05)):
+            open_pairs = 0
+            for _ in range(10):
+                both = int(np.ceil(2 * n * wanted / (1 + wanted)))
+                pool = np.unique(random.integers(0, 2**63, 2 * n - both + 50, dtype=np.uint64))
+                random.shuffle(pool)
+                x, y = pool[:n], np.r_[pool[:both], pool[n : 2 * n - both]]
+                bits = np.empty(2, object)
+                bits[:] = [resemblance.parities(s).tobytes() for s in (x, y)]
+                open_pairs += len(resemblance.Members(np.array([len(x), len(y)]), bits).near(0, np.array([1]), 0.8))
+            assert least * 10 <= open_pairs <= most * 10

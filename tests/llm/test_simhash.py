@@ -67,7 +67,7 @@ def test_dense_cells_are_split(spark, monkeypatch):
     values = {int(sum(1 << int(b) for b in random.choice(20, random.integers(0, 7), replace=False))) for _ in range(300)}
     rows = [(i, v.to_bytes(8, "big")) for i, v in enumerate(sorted(values))]
     distinct = spark.createDataFrame(rows, "rep long, fp binary")
-    links = simhash._links(distinct, 1, 4, lambda fps: simhash._cells_exact(fps, 4, 6))
+    links = simhash._links(distinct, 4, lambda fps: simhash._cells_exact(fps, 4, 6))
     parts = {r.node: r.component for r in simhash.connected_components(links).collect()}
     want = slow_components([(i, int.from_bytes(f, "big")) for i, f in rows])
     assert {i: parts.get(i, i) for i, _ in rows} == want
@@ -93,10 +93,29 @@ def test_similar_documents_meet_and_strangers_do_not(spark):
     assert kept == {2 * i for i in range(60)}
 
 
-def test_keep_one_keeps_columns_and_null_ids(spark, odd_docs):
-    extra = odd_docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
-    kept = simhash.keep_one(odd_docs.union(extra))
+def test_keep_one_keeps_columns_and_one_row_of_a_group(spark, odd_docs):
+    """A repeated row, a copy without an id, a text that only rows without ids hold, and a repeated id with another text."""
+    new = spark.createDataFrame([(None, "own text without any id"), (None, "own text without any id"), (None, "one"), (5, "a text of another kind under the same id")], "doc_id long, text string")
+    more = odd_docs.limit(0).unionByName(new, allowMissingColumns=True)
+    kept = simhash.keep_one(odd_docs.union(more))
     assert kept.columns == odd_docs.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == [0, 0, 1, 5, 6, 7, 8, 9, 10]
-    assert kept.where("doc_id is null").count() == 1
+    rows = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect())
+    assert [r[0] for r in rows] == [-1, 0, 1, 5, 5, 6, 7, 8, 9, 10] and rows[0][1] == "own text without any id"
+    classes = simhash.near_duplicates(odd_docs.union(more)).collect()
+    assert len(classes) == odd_docs.count() + 4
+    assert [r.component_id for r in classes if r.doc_id is None].count(None) == 2
+
+
+def test_the_same_id_links_no_different_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (0, "a b c d e f"), (2, "u v w x y z"), (None, "q r s t u v"), (3, "q r s t u v")]
+    got = simhash.hamming_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.component_id, r.doc_id or -1) for r in got) == [(0, -1), (0, 1), (1, 1), (1, 2), (3, -1), (3, 3)]
+
+
+def test_manhattan_is_a_lower_bound():
+    random = np.random.default_rng(3)
+    a, b = random.integers(0, 2**63, (2, 2000), dtype=np.uint64)
+    counts = [[(int(x) >> 2 * i & 1) + (int(x) >> 2 * i + 1 & 1) for i in range(32)] for x in np.r_[a, b]]
+    slow = [sum(abs(p - q) for p, q in zip(x, y)) for x, y in zip(counts[:2000], counts[2000:])]
+    got = simhash.manhattan(simhash.embed(a), simhash.embed(b))
+    assert got.tolist() == slow and (got <= np.bitwise_count(a ^ b)).all()
