@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import materialise, shared_dir
+from ._common import materialise, remove, shared_dir
 
 #: Bytes of a record's block before it is split.
 SEGMENT_BYTES = 16 * 1024
@@ -33,6 +34,7 @@ LEAST_REVISIT = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _CRLF = b"\r\n"
+_HEX, _DIGITS = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(r"[0-9]{1,15}")
 
 
 def _base32(digest: bytes) -> str:
@@ -49,11 +51,14 @@ def frame(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 
 def unframe(body: bytes) -> bytes:
-    """The payload of a chunked body; ValueError if the framing is broken."""
+    """The payload of a chunked body; ValueError if the framing is broken. A chunk's size is hexadecimal digits alone, without a sign."""
     out, at = bytearray(), 0
     while True:
         end = body.index(_CRLF, at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not _HEX.fullmatch(digits):
+            raise ValueError("no chunk size")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             if body[at:].strip() and b":" not in body[at:]:
@@ -71,6 +76,15 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def whole_number(text: str | None, what: str) -> int | None:
+    """The number that ASCII digits alone write; None for None, ValueError for anything else."""
+    if text is None:
+        return None
+    if not _DIGITS.fullmatch(text):
+        raise ValueError(f"bad {what}")
+    return int(text)
+
+
 def _clean(text: str) -> str:
     return "".join(c for c in text if c.isprintable())
 
@@ -95,18 +109,19 @@ def _records(key: str, url: str | None, payload: bytes, refers: str | None, segm
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """``_id, _digest, _bytes, _response``: the id whose record holds each row's payload.
+    """``_id, _digest, _bytes, _rows, _response``, one row for each id and payload: the id whose record holds the payload.
 
     Of rows with equal payloads of ``least`` bytes or more the largest id is
-    the response; the others revisit it. A row that repeats another (same id
-    and payload) has the same record. Only ids and digests move, never payloads;
-    one group of copies combines ahead of the shuffle, and the join
-    back is split by the engine where one digest holds many rows.
+    the response; the others revisit it. ``_rows`` says how many rows of ``pages`` share the id
+    and the payload. Here only ids and digests move, no payloads; one group of
+    copies combines ahead of the shuffle, and the join back is split by the
+    engine where one digest holds many rows.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = materialise(pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes")).distinct(), "digests")
+    narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"))
+    rows = materialise(narrow.groupBy("_id", "_digest", "_bytes").agg(F.count(F.lit(1)).alias("_rows")), "digests")
     shared = rows.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.max("_id").alias("_response"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return rows.join(shared.select("_digest", "_response"), "_digest", "left").select("_id", "_digest", "_bytes", "_response")
+    return rows.join(shared.select("_digest", "_response"), "_digest", "left").select("_id", "_digest", "_bytes", "_rows", "_response")
 
 
 def write_archives(
@@ -115,18 +130,20 @@ def write_archives(
     """Writes gzipped archives under ``path`` with a record (or its segments) for each row of ``pages``.
 
     Payloads are UTF-8 texts or binaries; a null payload is empty, a null URL
-    is left out, a null id is written as ``null``. The engine's own text writer
+    is left out, a null id is written as ``~``. A record is named by its row's id (URL-encoded) and
+    the payload's digest; rows that repeat both have the writing task and a
+    running number besides, and a revisit of such a response names it without them. The engine's own text writer
     stores the records, so ``path`` may be in any store that it reaches; a lost
-    task is written again. Only the planned ids join the payloads, by the id.
+    task is written again. Payloads move once, to meet the plan by id and digest.
     """
     ship(pages.sparkSession)
     plan = plan_records(pages, id_col, payload_col)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("_page"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload")).withColumn("_sha", F.sha1("_payload"))
     joined = rows.join(plan, F.col("_page").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")))
-    ident = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d)
+    ident = lambda i, d: F.concat_ws(":", F.coalesce(F.url_encode(i.cast("string")), F.lit("~")), d)
     ready = joined.select(
-        ident(F.col("_id"), F.col("_digest")).alias("key"), "_url", "_payload",
+        F.concat(ident(F.col("_id"), F.col("_digest")), F.when(F.col("_rows") > 1, F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))).otherwise("")).alias("key"), "_url", "_payload",
         F.when(F.col("_response").isNotNull() & ~F.col("_response").eqNullSafe(F.col("_id")), ident(F.col("_response"), F.col("_digest"))).alias("refers"),
     )
 
@@ -162,12 +179,7 @@ class _Members:
             return part
         while True:
             if self.inflate.eof:
-                rest = self.inflate.unused_data
-                if not rest:
-                    if self.at >= len(self.data):
-                        return b""
-                    rest = b""
-                self.at -= len(rest)
+                self.at -= len(self.inflate.unused_data)
                 if self.at >= len(self.data):
                     return b""
                 self.inflate = zlib.decompressobj(31)
@@ -176,8 +188,11 @@ class _Members:
                 fed = self.data[self.at : self.at + (1 << 18)]
                 self.at += len(fed)
                 if not fed:
-                    return b""
-            out = self.inflate.decompress(fed, size)
+                    raise ValueError("a gzip member is cut off")
+            try:
+                out = self.inflate.decompress(fed, size)
+            except zlib.error as wrong:
+                raise ValueError(f"gzip: {wrong}") from wrong
             if out:
                 return out
 
@@ -220,7 +235,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 name, _, value = line.partition(":")
                 name = name.strip().lower()
                 headers[name] = value.strip()
-        length = int(headers["content-length"])
+        length = whole_number(headers.get("content-length", ""), "Content-Length")
         if not fill(end + 4 + length):
             raise ValueError("a block is cut off")
         yield headers, bytes(held[end + 4 : end + 4 + length])
@@ -229,34 +244,52 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 _FIELDS = pa.schema([
     ("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("refers", pa.string()),
-    ("payload_digest", pa.string()), ("block_digest", pa.string()), ("block", pa.binary()),
+    ("payload_digest", pa.string()), ("block_digest", pa.string()), ("block", pa.binary()), ("error", pa.string()),
 ])
-_FIELDS_SQL = "record_id string, type string, uri string, segment int, origin string, total long, refers string, payload_digest string, block_digest string, block binary"
+_FIELDS_SQL = "record_id string, type string, uri string, segment int, origin string, total long, refers string, payload_digest string, block_digest string, block binary, error string"
+
+
+def _fields(h: dict[str, str], block: bytes) -> tuple:
+    """A row of ``_FIELDS``; a record whose numbers are no numbers is of type ``broken``."""
+    kind, own = h.get("warc-type"), h.get("warc-record-id")
+    try:
+        number, total = whole_number(h.get("warc-segment-number"), "segment number"), whole_number(h.get("warc-segment-total-length"), "total length")
+        if number is not None and number >= 1 << 31:
+            raise ValueError("bad segment number")
+    except ValueError as wrong:
+        return own, "broken", h.get("warc-target-uri"), None, own, None, None, None, None, None, str(wrong)
+    origin = h.get("warc-segment-origin-id") if kind == "continuation" else own
+    return own, kind, h.get("warc-target-uri"), number, origin, total, h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("warc-block-digest"), block, None
 
 
 def scan_records(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
-    """Every record of the archives under ``path`` as a row; a file is read a part at a time.
+    """Every record of the archives under ``path`` as a row; a file is unpacked a part at a time.
 
-    ``split`` keeps only segments (true) or only whole records (false).
+    ``split`` keeps only segments (true) or only whole records (false). Where a file is damaged its
+    records up to that place come back and then one of type ``broken`` with
+    the file as ``uri`` and the reason in ``error``; a record with a bad number is ``broken`` too, and reading goes on.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+    def rows_of(name: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for headers, block in parse_records(data):
+                row = _fields(headers, block)
+                if split is None or split == (row[1] == "continuation" or row[3] is not None):
+                    yield row
+        except ValueError as wrong:
+            if not split:
+                yield None, "broken", name, None, None, None, None, None, None, None, str(wrong)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(batch.column(0), batch.column(1)):
                 held, size = [], 0
-                for h, block in parse_records(content.as_py()):
-                    number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                    kind = h.get("warc-type")
-                    if split is not None and split != (number is not None or kind == "continuation"):
-                        continue
-                    held.append((
-                        h.get("warc-record-id"), kind, h.get("warc-target-uri"), int(number) if number else None, h.get("warc-segment-origin-id") if kind == "continuation" else h.get("warc-record-id"),
-                        int(total) if total else None, h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("warc-block-digest"), block,
-                    ))
-                    size += len(block)
-                    if size > 8 << 20:
+                for row in rows_of(name.as_py(), content.as_py()):
+                    held.append(row)
+                    size += len(row[9] or b"")
+                    if size > 8 << 20 or len(held) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _FIELDS)], schema=_FIELDS)
                         held, size = [], 0
                 if held:
@@ -271,8 +304,10 @@ _OUT_SQL = "record_id string, type string, uri string, refers string, segments i
 
 def _finish(rows: list[tuple]) -> tuple:
     """One logical record of its segments (rows of ``_FIELDS``), ordered by number."""
-    record_id, kind, uri, number, _, _, refers, payload_digest, block_digest, _ = rows[0]
+    record_id, kind, uri, number, _, _, refers, payload_digest, block_digest, _, error = rows[0]
     count = len(rows)
+    if kind == "broken":
+        return record_id, kind, uri, None, count, None, error
     fail = lambda why: (record_id or rows[0][4], kind, uri, refers, count, None, why)
     if kind == "continuation":
         return (rows[0][4], kind, uri, None, count, None, "its first segment is missing")
@@ -306,12 +341,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     move, grouped by origin and sorted by segment number, and a task holds one
     record's segments at a time. A segment that repeats counts once. A record
     with a missing segment, a wrong total length, broken framing or a digest
-    that differs comes back with null ``payload`` and the reason in ``error``.
+    that differs comes back with null ``payload`` and the reason in ``error``; so does a damaged
+    file or record (type ``broken``, see ``scan_records``).
     Records of other types (warcinfo and so on) are left out. An empty folder
     of archives gives an empty table.
     """
     # The archives are scanned once for whole records and once for segments: blocks are not stored a second time.
-    known = F.col("type").isin("response", "revisit", "continuation")
+    known = F.col("type").isin("response", "revisit", "continuation", "broken")
     whole, parts = scan_records(spark, path, False).where(known), scan_records(spark, path, True).where(known)
 
     def out(done: list[tuple]) -> pa.RecordBatch:
@@ -345,21 +381,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back: ``id, payload_bytes, payload_digest, record_type, refers_to, segments, error``.
+    """Writes ``pages`` to archives in the shared folder, reads them back and removes them: ``id, payload_bytes, payload_digest, record_type, refers_to, segments, error``.
 
     Lengths and digests are those of the payload read back, for a revisit those
-    of the response that it refers to. A row that repeats another (same id and
-    payload) writes the same record again, which counts once here. An empty
-    table gives an empty one.
+    of the response that it refers to. Every row of ``pages`` comes back as a row, those that repeat another too.
+    An empty table gives an empty one.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_archives(pages, path, id_col, url_col, payload_col, segment_bytes)
     back = read_archives(spark, path)
     kind = pages.schema[id_col].dataType.simpleString()
-    page_of = lambda c: F.nullif(F.regexp_extract(c, "^<urn:landmarq:(.*):[0-9a-f]*>$", 1), F.lit("null")).cast(kind)
-    found = materialise(back.select("record_id", "type", "refers", "segments", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"), "error").dropDuplicates(["record_id"]), "read-back")
-    held = found.where("type = 'response'").select(F.col("record_id").alias("_of"), F.col("bytes").alias("_bytes"), F.col("digest").alias("_digest"))
+    page_of = lambda c: F.url_decode(F.nullif(F.regexp_extract(c, "^<urn:landmarq:([^:]*):[0-9a-f]*(?:#[0-9]*)?>$", 1), F.lit("~"))).cast(kind)
+    found = materialise(back.select("record_id", "type", "refers", "segments", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"), "error"), "read-back")
+    remove(spark, path)
+    # Rows that repeat a response hold one payload: any of them answers for it.
+    held = found.where("type = 'response'").select(F.regexp_replace("record_id", "#[0-9]*>$", ">").alias("_of"), F.col("bytes").alias("_bytes"), F.col("digest").alias("_digest")).groupBy("_of").agg(
+        F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")
+    )
     joined = found.join(held, F.when(F.col("type") == "revisit", F.col("refers")) == F.col("_of"), "left")
     return joined.select(
         page_of(F.col("record_id")).alias(id_col), F.coalesce("bytes", "_bytes").alias("payload_bytes"), F.coalesce("digest", "_digest").alias("payload_digest"), F.col("type").alias("record_type"),
