@@ -26,6 +26,10 @@ _TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC = 256, 257, 258, 259, 262
 _STRIP_OFFSETS, _SAMPLES, _ROWS_PER_STRIP, _STRIP_COUNTS, _PLANAR = 273, 277, 278, 279, 284
 _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT = 317, 322, 323, 324, 325, 339
+#: Bytes that a byte of each codec's data can give at most: two bytes of PackBits give 128, nine bits of LZW a string of the table's 3,838 new entries.
+_MOST_OUT = {NONE: 1, PACKBITS: 64, LZW: 3839, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Bytes of pixels in a page, and of a strip or tile: a page is one cell of a column, which holds no more.
+MOST_PAGE = 1 << 30
 
 
 class BadTiff(ValueError):
@@ -233,12 +237,14 @@ def _fields(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
     return found, following
 
 
-def _page(data: bytes, order: str, f: dict[int, tuple]) -> Page:
+def _page(data: bytes, order: str, f: dict[int, tuple], most: int) -> Page:
     one = lambda tag, default=None: f.get(tag, (default,))[0]
     width, height, samples = one(_WIDTH), one(_HEIGHT), one(_SAMPLES, 1)
     bits, compression, predictor = f.get(_BITS, (1,)), one(_COMPRESSION, NONE), one(_PREDICTOR, 1)
-    if not width or not height or not samples:
+    if not width or not height or not samples or min(width, height, samples) < 0:
         raise BadTiff("no size")
+    if compression not in _MOST_OUT:
+        raise BadTiff(f"compression {compression}")
     if len(set(bits)) != 1 or bits[0] not in (8, 16, 32):
         raise BadTiff(f"bits {bits}")
     kind = {1: "u", 2: "i", 3: "f"}.get(one(_FORMAT, 1))
@@ -254,26 +260,36 @@ def _page(data: bytes, order: str, f: dict[int, tuple]) -> Page:
     else:
         wide, high = width, min(one(_ROWS_PER_STRIP, height) or height, height)
         offsets, counts = f.get(_STRIP_OFFSETS, ()), f.get(_STRIP_COUNTS, ())
-    if not wide or not high:
+    if not wide or not high or min(wide, high) < 0:
         raise BadTiff("no tile size")
     across, down = -(-width // wide), -(-height // high)
     if len(offsets) < across * down * planes or len(counts) < across * down * planes:
         raise BadTiff("strips or tiles are missing")
+    if any(at < 0 or n < 0 or at + n > len(data) for at, n in zip(offsets, counts)):
+        raise BadTiff("a strip or tile lies beyond the end")
+    # What is declared is held against what the stored bytes can give before anything is set aside for it.
+    if max(width * height * samples, wide * high * depth) * dtype.itemsize > most:
+        raise BadTiff(f"a page or tile of over {most} bytes")
+    if width * height * samples * dtype.itemsize > sum(counts) * _MOST_OUT[compression]:
+        raise BadTiff("more pixels than its bytes can hold")
     image = np.empty((height, width, samples), dtype)
     for plane in range(planes):
         for k in range(across * down):
             i = plane * across * down + k
             top, left = k // across * high, k % across * wide
             rows = high if tiled else min(high, height - top)
-            raw = _decode(data[offsets[i] : offsets[i] + counts[i]], compression, rows * wide * depth * dtype.itemsize)
+            size = rows * wide * depth * dtype.itemsize
+            if size > counts[i] * _MOST_OUT[compression]:
+                raise BadTiff(f"{counts[i]} bytes can't hold a strip or tile of {size}")
+            raw = _decode(data[offsets[i] : offsets[i] + counts[i]], compression, size)
             block = _undo(np.frombuffer(raw, dtype).reshape(rows, wide, depth), predictor, raw, order)
             block = block[: height - top, : width - left]
             image[top : top + rows, left : left + wide, plane * depth if planes > 1 else 0 : (plane + 1) * depth if planes > 1 else samples] = block
     return Page(image.astype(dtype.newbyteorder("="), copy=False), compression, predictor, tiled)
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of one file, in the order of its directories."""
+def read_pages(data: bytes, most: int = MOST_PAGE) -> Iterator[Page]:
+    """The pages of one file, in the order of its directories; BadTiff at the first that is damaged or has over ``most`` bytes of pixels."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
     if order is None or len(data) < 8:
         raise BadTiff("no TIFF header")
@@ -284,7 +300,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
             raise BadTiff("directories in a ring")
         seen.add(at)
         found, at = _fields(data, order, at)
-        yield _page(data, order, found)
+        yield _page(data, order, found, most)
 
 
 # -- writing --------------------------------------------------------------
@@ -360,7 +376,8 @@ def decode_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     with the reason in ``error`` and nulls beside it; so does a null (reason
     "null"). Columns of ``media`` that have one of these names give way. Repeated
     rows come back as often as they came, an empty table gives an empty one.
-    One file is held at a time.
+    A page that declares over ``MOST_PAGE`` bytes of pixels, or more than its
+    stored bytes can unpack to, counts as one that can't be read. One file is held at a time.
     """
     ship(media.sparkSession)
     added = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, feature string, error string"

@@ -89,3 +89,92 @@ def test_one_row_per_page(spark):
     rows = tiff.decode_pages(frame).collect()
     assert [(r.k, r.page, r.error) for r in sorted(rows, key=lambda r: (r.k, r.page or 0))] == [(1, 0, None), (1, 1, None), (1, 2, None), (2, None, "null"), (3, None, "no TIFF header")]
     assert [hashlib.sha1(bytes(r.pixels)).digest() for r in rows if r.k == 1] == [hashlib.sha1(i.tobytes()).digest() for i in images]
+
+
+HUGE = {
+    "more pixels than its bytes can hold": {256: 4, 257: 30_000_000, 258: 8, 259: 1, 277: 1, 278: 1},
+    "a page or tile of over 1073741824 bytes": {256: 1 << 31, 257: 1 << 31, 258: 8, 259: 1, 277: 1, 278: 1 << 31},
+    "strips or tiles are missing": {256: 4, 257: 1 << 31, 258: 8, 259: 1, 277: 1, 278: 1},
+    "a strip or tile lies beyond the end": {256: 4, 257: 2, 258: 8, 259: 1, 277: 1, 278: 2, 273: 1 << 30},
+    "no tile size": {256: 4, 257: 2, 258: 8, 259: 1, 277: 1, 322: 0, 323: 16, 324: 8, 325: 8},
+}
+
+
+@pytest.mark.parametrize("why", HUGE)
+def test_declared_sizes_are_held_against_the_bytes(spark, why):
+    tags = HUGE[why] | ({278: 30_000_000} if why.startswith("more") else {})
+    bad = _by_hand(b"\0" * 8, tags)
+    good = tiff.write_pages([np.zeros((4, 4, 3), np.uint8)], tiff.LZW)
+    rows = tiff.decode_pages(spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(good))], "k int, media binary")).collect()
+    assert sorted((r.k, r.error) for r in rows) == [(1, why), (2, None)]
+
+
+def test_negative_offsets():
+    """Signed field types are read, but no strip lies ahead of the file."""
+    body = _by_hand(b"\0" * 8, {256: 4, 257: 2, 258: 8, 259: 1, 277: 1, 278: 2})
+    signed = body.replace(struct.pack("<HHII", 273, 4, 1, 8), struct.pack("<HHIi", 273, 9, 1, -8))
+    with pytest.raises(tiff.BadTiff, match="beyond the end"):
+        list(tiff.read_pages(signed))
+
+
+def test_a_bomb_of_a_tile_is_refused():
+    """A tile size far beyond its page is bounded like a page."""
+    body = _by_hand(zlib.compress(b"\0" * 64), {256: 4, 257: 2, 258: 8, 259: 8, 277: 1, 322: 1 << 16, 323: 1 << 16, 324: 8, 325: 8})
+    with pytest.raises(tiff.BadTiff, match="a page or tile"):
+        list(tiff.read_pages(body))
+
+
+def _slow_lzw(data, size):
+    """Codes read off a string of bits, the table as a dictionary: a decoder of its own to hold the other against."""
+    bits, at, width, out = "".join(f"{b:08b}" for b in data), 0, 9, b""
+    table, before = {}, None
+    while True:
+        code = int(bits[at : at + width], 2)
+        at += width
+        if code == 256:
+            table, width, before = {i: bytes([i]) for i in range(256)}, 9, None
+            continue
+        if code == 257 or len(out) >= size:
+            return out
+        entry = table.get(code) or before + before[:1]
+        if before is not None:
+            table[len(table) + 2] = before + entry[:1]
+        out, before = out + entry, entry
+        width = 9 if len(table) + 2 < 511 else 10 if len(table) + 2 < 1023 else 11 if len(table) + 2 < 2047 else 12
+
+
+def test_payloads_by_a_decoder_of_its_own(spark, odd_docs):
+    """Stored files unpacked by plain code that shares nothing with the reader: strips and tiles, both byte orders, all codecs used."""
+    stored = tiff.encode_payloads(odd_docs).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in odd_docs.collect()}
+    seen = set()
+    for r in stored:
+        data, end = bytes(r.media), "<" if r.media[:2] == b"II" else ">"
+        (at,) = struct.unpack_from(end + "I", data, 4)
+        tags = {}
+        for i in range(struct.unpack_from(end + "H", data, at)[0]):
+            tag, kind, n = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
+            form = f"{end}{n}{'H' if kind == 3 else 'I'}"
+            place = at + 10 + 12 * i
+            place = struct.unpack_from(end + "I", data, place)[0] if struct.calcsize(form) > 4 else place
+            tags[tag] = struct.unpack_from(form, data, place)
+        width, height, codec = tags[256][0], tags[257][0], tags[259][0]
+        wide, high = (tags[322][0], tags[323][0]) if 324 in tags else (width, tags[278][0])
+        image = {}
+        for k, (start, size) in enumerate(zip(tags.get(324, tags.get(273)), tags.get(325, tags.get(279)))):
+            top, left = k // -(-width // wide) * high, k % -(-width // wide) * wide
+            rows = high if 324 in tags else min(high, height - top)
+            raw = data[start : start + size]
+            raw = zlib.decompress(raw) if codec == 8 else _slow_lzw(raw, rows * wide * 3) if codec == 5 else tiff.unpack_bits(raw, rows * wide * 3)
+            for y in range(rows):
+                before = [0, 0, 0]
+                for x in range(wide):
+                    pixel = list(raw[(y * wide + x) * 3 :][:3])
+                    if tags[317][0] == 2:
+                        pixel = before = [(a + b) % 256 for a, b in zip(pixel, before)]
+                    image[top + y, left + x] = pixel
+        payload = bytes(v for y in range(height) for x in range(width) for v in image[y, x])
+        text = texts[r.doc_id]
+        assert payload == text.ljust(max(1, -(-len(text) // 192)) * 192)
+        seen.add((codec, 324 in tags))
+    assert len(seen) > 2
