@@ -8,20 +8,22 @@ of distinct shingles; texts with fewer than ``k`` distinct shingles are compared
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE
+from ._common import SPACE, has_unique_ids, materialise, with_prefix
 
 #: Hashes in a sketch: a standard error of 0.044 at a resemblance of one half.
 K = 128
 SHINGLE_WORDS = 5
 _BLANKS = " \t\n\x0b\f\r"
-#: Parts of the id range in which rows are counted to cut it evenly.
-_BINS = 16384
+#: Sampled ids for each cut of the order into stretches, stretches for each task, rows that make a stretch worth while.
+_PER_CUT, _EACH_TASK, _LEAST_STRETCH = 32, 8, 64
 
 
 def _word_hashes(text: Column) -> Column:
@@ -87,42 +89,55 @@ def merge_groups(sketched: DataFrame, keys: Sequence[str], sketch_col: str = "sk
     return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("_hash")).alias(sketch_col))
 
 
+def _cuts(rows: DataFrame, key: str, stretches: int) -> list:
+    """Keys, descending, that cut ``rows`` into about even ``stretches``: each is some row's, taken from a bounded sample by hash."""
+    sample = rows.select(key).orderBy(F.xxhash64(key), key).limit(stretches * _PER_CUT)
+    placed = sample.withColumn("_place", F.row_number().over(Window.orderBy(F.col(key).desc())) - 1)
+    return [r[0] for r in placed.where((F.col("_place") % _PER_CUT == 0) & (F.col("_place") > 0)).orderBy("_place").select(key).collect()]
+
+
+def _stretch(key: Column, kind: str, cuts: Sequence) -> tuple[Column, Column]:
+    """How many cuts aren't below ``key``, and whether it is one itself: first the block of cuts is found, then the place inside it."""
+    if not cuts:
+        return F.lit(0), F.lit(False)
+    size = math.isqrt(len(cuts) - 1) + 1
+    blocks = [list(map(str, cuts[i : i + size])) for i in range(0, len(cuts), size)]
+    heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<string>").cast(f"array<{kind}>")
+    whole = F.from_json(F.lit(json.dumps(blocks)), "array<array<string>>").cast(f"array<array<{kind}>>")
+    block = F.size(F.filter(heads, lambda c: c >= key))
+    own = F.element_at(whole, F.greatest(block, F.lit(1)))
+    inside = F.size(F.filter(own, lambda c: c >= key))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + inside), (block > 0) & (F.element_at(own, F.greatest(inside, F.lit(1))) == key)
+
+
 def with_next(docs: DataFrame, columns: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``next_<column>`` of the next row in descending ``id_col``; after the last comes the first.
 
-    Rows with one id go in order of text, null ids come last. The range of ids
-    is cut into stretches of about equal row counts, which a grouped count of
-    at most 16,385 bins sets; a stretch's first row is dealt to the stretch ahead
-    of it as well, so one exchange of the rows serves and no task holds them all.
+    The order is cut into stretches at ids of a sample, so they hold about as many rows each,
+    however the ids are spread and of whatever type they are. Each cut is a row's id: that row, its stretch's
+    first, is dealt to the stretch ahead of it as well, so one exchange of the rows
+    serves and a task holds a few stretches. Rows with one id go in order of text, null ids come last; where there are such,
+    rows are first numbered by range partitions, and the numbers stand for the ids.
     """
-    spark = docs.sparkSession
-    ends = docs.agg(F.min(id_col).cast("double").alias("low"), F.max(id_col).cast("double").alias("high")).first()
-    low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (0.0, 1.0)
-    scaled = (F.col(id_col).cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0)) * (_BINS - 1)
-    bin_of = F.coalesce(F.floor(scaled).cast("int") + 1, F.lit(0))
-    bins = docs.groupBy(bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.max(id_col).alias("_first"))
-    ahead = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    total = docs.count()
-    stretch = max(256, -(-total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    dealt = bins.withColumn("_stretch", F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / F.lit(stretch)).cast("int"))
-    # Stretch numbers may leave gaps; dense ones let a stretch name its neighbour.
-    dealt = dealt.withColumn("_stretch", F.dense_rank().over(Window.orderBy("_stretch")) - 1)
-    of_stretch = Window.partitionBy("_stretch")
-    leads = F.max("_bin").over(of_stretch) == F.col("_bin")
-    dealt = dealt.select("_bin", "_stretch", F.when(leads, F.col("_first")).alias("_first"), leads.alias("_leads"), F.max("_stretch").over(Window.partitionBy()).alias("_last"))
-    rows = docs.withColumn("_bin", bin_of).join(F.broadcast(dealt), "_bin")
-    heads = F.col("_leads") & F.col(id_col).eqNullSafe(F.col("_first"))
+    rows, key = docs, id_col
+    if not has_unique_ids(docs, id_col):
+        ranked = with_prefix(docs, [F.col(id_col).desc_nulls_last(), F.col(text_col)], name="ranked")
+        rows, key = materialise(ranked.withColumn("_key", -F.col("_index")).drop("_index", "_before"), "ranked"), "_key"
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).first()
+    cuts = _cuts(rows, key, max(1, min(_EACH_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found["n"] // _LEAST_STRETCH)))
+    stretch, leads = _stretch(F.col(key), dict(rows.dtypes)[key], cuts)
+    rows = rows.withColumn("_stretch", stretch).withColumn("_leads", leads)
     place = lambda at, lap, extra: F.struct(at.cast("int").alias("at"), F.lit(lap).alias("lap"), F.lit(extra).alias("extra"))
     places = F.array_compact(
         F.array(
             place(F.col("_stretch"), 0, False),
-            F.when(heads & (F.col("_stretch") > 0), place(F.col("_stretch") - 1, 0, True)),
-            F.when(heads & (F.col("_stretch") == 0), place(F.col("_last"), 1, True)),
+            F.when(F.col("_leads"), place(F.col("_stretch") - 1, 0, True)),
+            F.when(F.col(key) == F.lit(found["top"]).cast(dict(rows.dtypes)[key]), place(F.lit(len(cuts)), 1, True)),
         )
     )
-    rows = rows.withColumn("_place", F.explode(places)).select(*docs.columns, "_place.*")
-    order = Window.partitionBy("at").orderBy("lap", F.col(id_col).desc_nulls_last(), text_col)
-    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("extra")).drop("at", "lap", "extra")
+    rows = rows.withColumn("_place", F.explode(places)).select(*docs.columns, F.col(key).alias("_key"), "_place.*")
+    order = Window.partitionBy("at").orderBy("lap", F.col("_key").desc())
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("extra")).drop("_key", "at", "lap", "extra")
 
 
 def edit_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = SHINGLE_WORDS) -> DataFrame:

@@ -63,6 +63,39 @@ def test_null_ids_come_last(spark):
     assert got == {k: hashlib.sha256(v).hexdigest() for k, v in {5: b"bbbcdd", -3: b"dddeaa", None: b"aab"}.items()}
 
 
+SPREADS = {
+    "one far id": [*range(4000), 2**60], "strings": [f"id-{i * i % 5003:05d}x" for i in range(2500)], "one id holds most": [7] * 1500 + list(range(100, 900)), "no ids": [None] * 2000 + [1, 2],
+    "negative": [-(3**i) for i in range(30)] + list(range(1000)),
+}
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+def test_stretches_are_even_however_ids_are_spread(spark, spread):
+    ids = SPREADS[spread]
+    kind = "string" if isinstance(ids[0], str) else "long"
+    docs = spark.createDataFrame([(i, f"t{n:05d}") for n, i in enumerate(ids)], f"doc_id {kind}, text string").repartition(3)
+    got = bottomk.with_next(docs, ["text"])
+    rows = sorted(ids_texts := [(i, f"t{n:05d}") for n, i in enumerate(ids)], key=lambda r: r[1])
+    present = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in rows if r[0] is None]
+    assert {r.text: r.next_text for r in got.collect()} == {a[1]: b[1] for a, b in zip(present, present[1:] + present[:1])}
+    assert got.count() == len(ids_texts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = bottomk.with_next(docs, ["text"]).groupBy(F.spark_partition_id()).agg(F.max("next_text"), F.count(F.lit(1)).alias("count")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in tasks) < 0.7 * len(ids)
+
+
+def test_cuts_find_every_place(spark):
+    """The look-up in blocks gives what counting all cuts gives."""
+    cuts = sorted({(i * 7919) % 100_003 for i in range(700)}, reverse=True)
+    frame = spark.createDataFrame([(i,) for i in [*range(0, 100_003, 37), *cuts[:40], -5, 2**40]], "k long")
+    at, leads = bottomk._stretch(F.col("k"), "bigint", cuts)
+    for r in frame.select("k", at.alias("at"), leads.alias("leads")).collect():
+        assert (r["at"], r.leads) == (sum(c >= r.k for c in cuts), r.k in cuts)
+
+
 def test_sketches_merge(spark):
     """A sketch of a whole is the merge of its parts' sketches, by columns and by groups."""
     frame = spark.createDataFrame([(k, i, [hash((k, i, j)) for j in range(300)]) for k in (1, 2, None) for i in range(4)], "k int, i int, h array<long>")
