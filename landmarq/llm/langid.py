@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from ._common import materialise, shielded, unshielded
 
 #: Classes of byte trigrams.
 BUCKETS = 1 << 15
-#: At most so many labelled rows of a language train its model, and a language needs so many.
+#: At most so many distinct labelled texts of a language train its model, and a language needs so many labelled rows.
 SAMPLE_ROWS, LEAST_ROWS = 4000, 12
 #: Languages with the most labelled rows that are told apart: bounds the model at BUCKETS * LANGUAGES numbers.
 LANGUAGES = 200
@@ -33,8 +34,8 @@ WEIGHT, MOST_TRIGRAMS = 1 / 3, 3000
 HOST_SMOOTHING, SUFFIX_SMOOTHING = 8.0, 40.0
 #: The class of texts that fit no language better than noise, and its prior.
 UNKNOWN, UNKNOWN_PRIOR = "und", 0.01
-#: Hosts up to this many are broadcast; beyond, the join shuffles.
-BROADCAST_HOSTS = 50_000
+#: Bytes up to which hosts' sums and priors are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def trigram_classes(text: bytes | None) -> np.ndarray:
@@ -101,20 +102,23 @@ def markup_text(html: Column) -> Column:
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel | None:
     """A text model from rows ``text, declared`` with a declaration; None if no language has enough.
 
-    Per language the rows whose text has the least hash train it, ``sample_rows``
-    at most: a bounded sample that doesn't hang on the order of the rows. Whole texts
-    count. Counts come from one grouped sum; what reaches the driver is a number for each language and class.
+    Each language is trained on its distinct texts with the least hash, ``sample_rows`` at most: a
+    sample that is bounded, is never empty, hangs neither on the order of the rows nor on how often a text repeats.
+    Whole texts count. Counts come from one grouped sum; what reaches the driver is a number for each language and class.
+    Of languages with ``LEAST_ROWS`` rows the ``LANGUAGES`` with the most have a model; for others see ``identify``.
     """
     ship(rows.sparkSession)
-    # Hashes are uniform, so a threshold keeps about the wanted number ahead of any sort.
-    counts = {r["declared"]: r["n"] for r in rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()}
-    counts = {k: n for k, n in counts.items() if n >= LEAST_ROWS}
-    if not counts:
+    given = rows.where("declared is not null").select(F.coalesce("text", F.lit("")).alias("text"), "declared").withColumn("hash", F.xxhash64("text", F.lit(7)))
+    found = given.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
+    if not found:
         return None
-    languages = sorted(counts)
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_rows / counts[k])))))
-    place = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    chosen = rows.where(F.col("declared").isin(languages)).where(place < share[F.col("declared")]).select(F.col("text").cast("binary").alias("text"), "declared")
+    languages = sorted(r["declared"] for r in found)
+    # Hashes of distinct texts are uniform, so a threshold leaves about twice the wanted number of them to be ranked.
+    share = F.create_map(*(x for r in found for x in (F.lit(r["declared"]), F.lit(min(1.0, 2 * sample_rows / max(r["texts"], 1))))))
+    place = F.pmod("hash", F.lit(1 << 30)).cast("double") / float(1 << 30)
+    few = given.where(F.col("declared").isin(languages)).where(place < share[F.col("declared")]).dropDuplicates(["declared", "hash"])
+    first = F.row_number().over(Window.partitionBy("declared").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
+    chosen = few.withColumn("place", first).where(F.col("place") <= sample_rows).select(F.col("text").cast("binary").alias("text"), "declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: np.zeros(BUCKETS, np.int64) for k in languages}
@@ -169,7 +173,8 @@ def identify(
     expressions over ``docs`` (``text`` may be a column's name, which spares a copy) and may be null: a missing text says nothing, a
     missing declaration neither, and rows without host or suffix share the
     level above. ``accepted`` is false where the language is unknown: no
-    letters at all, noise, or a posterior below ``threshold``. Columns
+    letters at all, noise, or a posterior below ``threshold``. Where noise is likelier than
+    every language with a model, a declared language that has none is taken at its word, with noise's posterior. Columns
     of these names in ``docs`` give way. Without a language that has
     ``LEAST_ROWS`` declared rows all are unknown. Rows keep their number,
     repeats and ties included; an empty table gives an empty one.
@@ -214,7 +219,7 @@ def identify(
     )
     by_host = level("_host", "_suffix").join(by_suffix, F.col("_suffix").eqNullSafe(F.col("_s"))).drop("_s")
     by_host = materialise(by_host.select(F.col("_host").alias("_h"), F.col("_suffix").alias("_s"), F.col("_sum").alias("_host_sum"), "_above"), "host-priors")
-    if by_host.count() <= BROADCAST_HOSTS:
+    if by_host.count() * (2 * 8 * size + 128) <= BROADCAST_BYTES:
         by_host = F.broadcast(by_host)
 
     scored = with_own(_text_posteriors(rows, model, column)).withColumn("_said", known)
@@ -236,6 +241,8 @@ def identify(
     language = F.when(empty, F.lit(UNKNOWN)).otherwise(F.element_at(named, F.array_position("_raw", F.col("_top")).cast("int")))
     by_text = F.when(empty, F.lit(UNKNOWN)).otherwise(F.element_at(named, F.array_position("_own", F.array_max("_own")).cast("int")))
     confidence = F.when(empty, F.lit(0.0)).otherwise(F.col("_top") / F.col("_mass"))
+    spoken = (language == UNKNOWN) & ~empty & (F.col("_said") == "?")
+    language = F.when(spoken, F.col("_declared")).otherwise(language)
     result = joined.select(*back, language.alias("language"), confidence.alias("confidence"), by_text.alias("text_language"))
     return result.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= threshold))
 
