@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from ._common import materialise, n_words, shielded, unshielded, with_prefix
+from ._common import discard, has_unique_ids, materialise, n_words, numbered, shielded, unshielded, with_prefix
 
 #: Parts into which ranks inside a class of equal documents are counted.
 PARTS = 256
@@ -94,13 +94,14 @@ def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, toler
         middle = (low + high) / 2
         following = F.when((newton > low) & (newton < high) & F.lit(step < 20 or step % 2 == 0), newton).otherwise(middle)
         settled = F.col("done") | F.col("full") | F.coalesce(F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6)), F.lit(True))
-        state = materialise(
+        before, state = state, materialise(
             state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").select(
                 "source", "source_size", "target", "scale", F.when(settled, F.col("tilt")).otherwise(following).alias("tilt"), F.when(settled, F.col("low")).otherwise(low).alias("low"),
                 F.when(settled, F.col("high")).otherwise(high).alias("high"), "full", settled.alias("done"),
             ),
             "dual",
         )
+        discard(before)  # the steps leave one table behind, not one each
         if state.where(~F.col("done")).isEmpty():
             break
     else:
@@ -161,11 +162,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", (F.col("base") + more).cast("long").alias("copies"))
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; rows with a null id are taken once."""
-    counts = materialise(mix(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies")), "copies")
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, under the columns that it had.
+
+    Each row has copies of its own: rows that repeat an id, and rows with a null id, count
+    like any others (they are numbered first). An empty table gives an empty one.
+    """
     rows, names = shielded(docs)
+    key = names[id_col]
+    if not has_unique_ids(rows, key):
+        rows, key = numbered(rows, key, "_row"), "_row"
+    mixed = mix(rows, id_col=key, text_col=names[text_col], source_col=names[source_col], **options)
+    counts = materialise(mixed.where("copies > 0").select(F.col(key).alias("_id"), "copies"), "copies")
     # A row for each document: it grows with the table, so it is never broadcast.
-    joined = rows.join(counts.hint("merge"), F.col(names[id_col]) == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    copied = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    joined = rows.join(counts.withColumnRenamed("copies", "_copies").hint("merge"), F.col(key) == F.col("_id"))
+    copied = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return unshielded(copied, names)

@@ -68,10 +68,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
     taken = mixing.take_mix(odd_docs)
     assert taken.columns == odd_docs.columns
-    copies = {}
-    for r in rows:
-        copies.setdefault(r.doc_id, r.copies)
-    assert taken.where("doc_id = 8").count() == copies[8]
+    assert taken.where("doc_id = 8").count() == next(r.copies for r in rows if r.doc_id == 8)
+
+
+def test_repeated_and_null_ids_meet_the_target(spark):
+    """Every row counts for itself, so the words taken come near each source's target though ids repeat."""
+    rows = [(7, "w " * (3 + i % 5), "a") for i in range(60)] + [(None, "v " * (2 + i % 3), "b") for i in range(40)] + [(100 + i, "u " * 4, "c") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    taken = {s: 0 for s in sizes}
+    for r in mixing.take_mix(docs).collect():
+        taken[r.source] += len(r.text.split())
+    for source, target in slow_targets(sizes).items():
+        assert abs(taken[source] - target) <= 4
 
 
 def test_a_hot_class_is_ranked_in_parts(spark):
