@@ -1,14 +1,12 @@
 """Token sequences in training order: a keyed permutation and fixed-stride shards.
 
-Documents become token sequences of fixed length. A keyed Feistel network,
-walked until it falls inside the range, permutes all pairs (document id,
-sequence number) that the ids' range and the longest document allow, from the
-pair alone: no count of the sequences is needed ahead, and the order hangs on
-the key and the ids only, not on files or the cluster. Equal ranges of the
-permuted values are sorted and written as shards of records of one size; since
-the values are uniform, shards come out about even. A sequence's global slot is
-its place over all shards: the shards' sizes, summed up, tell where a slot
-lies, so reading can start or go on at any slot.
+Documents become token sequences of fixed length. The sequences are counted in
+each part of the table and the counts summed up, so each has an index in [0, N).
+A keyed Feistel network, walked until it falls inside the range, permutes [0, N):
+the permuted index is the sequence's global slot. A slot alone says where its
+record lies: shard ``slot // rows``, byte ``slot % rows * stride``. Shards are
+ranges of slots, all of one size but the last, so reading can start or go on at
+any slot and opens nothing that lies ahead of it.
 """
 
 from __future__ import annotations
@@ -23,27 +21,28 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from ._common import shared_dir, with_prefix
+from ._common import discard, materialise, shared_dir, tidy
 
 #: Tokens in a sequence.
 LENGTH = 256
-#: Least and most UTF-8 bytes of text that a shard holds on average, and how many shards are wanted between.
-LEAST_SHARD, MOST_SHARD, SHARDS = 8 << 20, 256 << 20, 10_000
+#: Records in a shard: at 256 tokens to a record 17 MB.
+SHARD_ROWS = 1 << 15
+#: The shards are written in so many runs, each of which moves only its own records: less lies on disk at a time.
+RUNS = 2
 #: Rounds of the Feistel network.
 ROUNDS = 6
-#: Permuted values stay below this, so that sums of them fit a long.
-MOST_VALUES = 1 << 62
 _M64 = (1 << 64) - 1
-#: Document id, sequence number, tokens in use, 1 if the id is null.
-_HEAD = "<qIHH"
+#: Slot, document id, sequence number, tokens in use, 1 if the id is null.
+_HEAD = ">QqIHB"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 #: Ends every record; a reader that is out of step notices.
-_MARK = "\nSEQ"
+_MARK = "\n"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,142 +80,161 @@ def _encoding(ranks: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs}, special_tokens={})
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, int, int, int, int]:
-    """``id, text, number`` with numbers in [0, count); that count, the most sequences of a document, the texts' bytes and the rows.
+def encoded(docs: DataFrame, ranks: str, pattern: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """``part, ahead, id, ids, n``: each document's tokens, how many sequences they fill and how many of its part's come before them.
 
-    An id's number is its distance from the least. Where the ids' range is too
-    wide for that, ids are ranked. A null id gets a number from its text's hash.
+    The table is written, so an index that goes by it never changes, whichever executor is lost.
     """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(ranks)  # a rank file: about a MB
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, ahead = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids = [np.array([*coder.encode_ordinary(x.as_py()), end_id], "<u2").tobytes() for x in some.column(1)]
+                counts = np.array([-(-len(x) // (2 * length)) for x in ids], np.int64)
+                before = ahead + np.cumsum(counts) - counts
+                ahead += int(counts.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before), some.column(0), pa.array(ids, pa.binary()), pa.array(counts)], names=["part", "ahead", "id", "ids", "n"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = F.octet_length("text").cast("long")
-    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(size).alias("longest"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    most = -(-((ends["longest"] or 0) + 1) // length)
-    low, high = ends["low"] or 0, ends["high"] or 0
-    if (high - low + 1) * most < MOST_VALUES:
-        number, count = F.col("id") - F.lit(low), high - low + 1
-    else:
-        ranks = with_prefix(rows.where("id is not null").select("id").distinct(), [F.col("id").asc()], name="ids").select(F.col("id").alias("_id"), F.col("_index").alias("_rank"))
-        count = ranks.count()
-        rows = rows.join(ranks, F.col("id") == F.col("_id"), "left")
-        number = F.col("_rank")
-    spare = F.pmod(F.xxhash64("text"), F.lit(count))
-    return rows.select("id", "text", F.coalesce(number, spare).alias("number")), count, most, ends["bytes"] or 0, ends["rows"]
+    return materialise(rows.mapInArrow(scan, "part int, ahead long, id long, ids binary, n long"), "encoded", compression="zstd")
 
 
 def write_order(
-    docs: DataFrame, path: str, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int | None = None, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, end_id: int | None = None, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict:
     """Writes ``docs`` as shards under ``path`` in the order set by ``key``; gives the manifest, which is written too.
 
-    A shard holds ``shard_bytes`` of text on average: without it 8 MB, more where that made over 10,000 shards, 256 MB at most.
-    ``ranks`` is the path of a rank file of at most 65,536 tokens, ``pattern``
-    its splitting pattern. Each whole text is encoded and closed by ``end_id``;
-    its last sequence is padded by zeros. A null text is an empty one, so
-    every row has a sequence. Ids are integers; rows with a null id stand where
-    their text's hash puts them; rows that repeat an id stand side by side. An empty table writes no shard.
-
-    One scan finds the ids' range and the longest text, one exchange takes every record to its
-    range. Nothing is stored but the exchange and the shards. A lost task is run
-    again from the table, and the engine's committer publishes whole files only.
+    ``ranks`` is the path of a rank file of fewer than 65,536 tokens, ``pattern``
+    its splitting pattern. Each whole text is encoded and closed by ``end_id`` (the number after the
+    last rank by default); its last sequence is padded by zeros. A null text is an empty one, so
+    every row has a sequence, rows that repeat an id or have none too. Ids are integers. Sequences are
+    indexed in the order in which the table is scanned: the same files, read in the same
+    splits, give the same order. An empty table writes no shard.
+
+    Texts are encoded once, into a table of tokens; sums over its parts give the
+    indices. Every record then moves once, in one of ``runs``, to the task that
+    writes its shard. A lost task is run again from the table of tokens, and the engine's
+    committer publishes whole files only.
     """
     spark = docs.sparkSession
-    ship(spark)
-    rows, numbers, most, size, given = _numbered(docs, id_col, text_col, length)
-    values = numbers * most
-    shards = max(1, -(-size // (shard_bytes or min(max(size // SHARDS, LEAST_SHARD), MOST_SHARD))))
-    width = -(-values // shards)
+    text = Path(ranks).read_text(encoding="ascii")
+    end_id = end_id if end_id is not None else 1 + max(int(line.split()[1]) for line in text.splitlines())
+    if not 0 <= end_id < 1 << 16 or length >= 1 << 16:
+        raise ValueError("tokens and lengths are stored in 16 bits")
+    tokens = encoded(docs, text, pattern, length, end_id, id_col, text_col)
+    sums = tokens.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each part of the table's scan
+    offsets = materialise(sums.select(F.col("part").alias("_p"), "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")), "offsets")
+    count = offsets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = -(-count // shard_rows)
     stride = _HEAD_BYTES + 2 * length + len(_MARK)
-    manifest = {"length": length, "stride": stride, "shards": shards, "key": key, "rounds": ROUNDS, "numbers": numbers, "most": most, "rows": given}
-    shared = spark.sparkContext.broadcast(Path(ranks).read_text(encoding="ascii"))  # a rank file: about a MB
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoding(shared.value, pattern)
-        for batch in batches:
-            index, records, held = [], [], 0
-            for i, text, number in zip(batch.column(0), batch.column(1), batch.column(2)):
-                ids = coder.encode_ordinary(text.as_py())
-                ids.append(end_id)
-                coded = np.array(ids, "<u2").tobytes()
-                ident = i.as_py()
-                base = number.as_py() * most
-                for k, at in enumerate(range(0, len(coded), 2 * length)):
-                    part = coded[at : at + 2 * length]
-                    records.append((struct.pack(_HEAD, ident or 0, k, len(part) // 2, ident is None) + part).ljust(stride - len(_MARK), b"\0"))
-                    index.append(base + k)
-                held += len(coded)
-                if held > 4 << 20:
-                    yield placed(index, records)
-                    index, records, held = [], [], 0
-            if records:
-                yield placed(index, records)
-
-    def placed(index: list[int], records: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(permute(np.array(index, np.int64), values, key)), pa.array(records, pa.binary())], names=["value", "record"])
-
-    coded = rows.mapInArrow(scan, "value long, record binary").withColumn("shard", F.floor(F.col("value") / F.lit(width)).cast("long"))
-    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = coded.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(shards)).cast("int")).sortWithinPartitions("shard", "value", "record")
-    out = ranged.select("shard", F.col("record").cast("string").alias("value"))
-    # The mark that ends a record is the writer's line separator.
-    out.write.partitionBy("shard").option("lineSep", _MARK).option("compression", "none").text(f"{path}/shards")
+    manifest = {"length": length, "stride": stride, "shard_rows": shard_rows, "shards": shards, "sequences": count, "key": key, "rounds": ROUNDS}
+    indexed = tokens.join(F.broadcast(offsets.select("_p", "offset")), F.col("part") == F.col("_p")).select((F.col("ahead") + F.col("offset")).alias("first"), "id", "ids", "n")
+
+    def records(low: int, high: int):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    first, n = part.column(0).to_numpy(), part.column(3).to_numpy()
+                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    slots = permute(np.repeat(first, n) + place, count, key)
+                    own = np.flatnonzero((slots >= low) & (slots < high))
+                    rows = np.repeat(np.arange(len(n)), n)[own]
+                    ids, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
+                    out = []
+                    for slot, row, k in zip(slots[own].tolist(), rows.tolist(), place[own].tolist()):
+                        used = texts[row][2 * length * k : 2 * length * (k + 1)]
+                        out.append((struct.pack(_HEAD, slot, ids[row] or 0, k, len(used) // 2, ids[row] is None) + used).ljust(stride - len(_MARK), b"\0"))
+                    yield pa.RecordBatch.from_arrays([pa.array(slots[own]), pa.array(out, pa.binary())], names=["slot", "record"])
+
+        return scan
+
+    for run in range(runs):
+        low, high = shards * run // runs, shards * (run + 1) // runs
+        if low == high:
+            continue
+        placed = indexed.mapInArrow(records(low * shard_rows, high * shard_rows), "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / F.lit(shard_rows)).cast("long"))
+        tasks = max(1, min(high - low, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        ranged = placed.repartitionById(tasks, F.floor((F.col("shard") - F.lit(low)) * tasks / F.lit(high - low)).cast("int")).sortWithinPartitions("shard", "slot")  # as the writer wants it, or it would sort by shard alone
+        # The mark that ends a record is the writer's line separator.
+        with tidy(spark):
+            ranged.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", _MARK).option("compression", "none").text(f"{path}/shards")
+    discard(tokens)
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return manifest
 
 
-def shard_table(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
-    """``shard, first_slot, rows`` of each shard, from the files' sizes: one row each."""
-    if not manifest["rows"]:
-        return spark.createDataFrame([], "shard long, first_slot long, rows long")
+def _from(low: int, count: int) -> list[str]:
+    """Path patterns of the shards from ``low`` to ``count - 1``: for each digit one, whatever the number of shards."""
+    width = len(str(count - 1))
+    text = str(low)
+    out = [f"shard={text}"]
+    for i in range(len(text) - 1, -1, -1):
+        if text[i] < "9":
+            out.append(f"shard={text[:i]}[{int(text[i]) + 1}-9]" + "[0-9]" * (len(text) - 1 - i))
+    return out + [f"shard=[1-9]{'[0-9]' * (w - 1)}" for w in range(len(text) + 1, width + 1)]
+
+
+def _number(field: Column) -> Column:
+    """A big-endian number of at most 63 bits, or a signed one of 64."""
+    return F.conv(F.hex(field), 16, -10).cast("long")
+
+
+def check_shards(spark: SparkSession, path: str, manifest: dict) -> None:
+    """ValueError unless each shard is one file of the size that the manifest sets; only file sizes are read."""
+    rows, count, shards = manifest["shard_rows"], manifest["sequences"], manifest["shards"]
     files = spark.read.format("binaryFile").load(f"{path}/shards").select(F.col("shard").cast("long").alias("shard"), "length")
-    rows = files.groupBy("shard").agg((F.sum("length") / manifest["stride"]).cast("long").alias("rows"))
-    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("first_slot"), "rows")
+    held = files.groupBy("shard").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    size = F.least(F.lit(rows), F.lit(count) - F.col("shard") * rows) * manifest["stride"]
+    bad = held.where((F.col("bytes") != size) | (F.col("files") != 1) | (F.col("shard") >= shards)).orderBy("shard").first()
+    if bad:
+        raise ValueError(f"shard {bad['shard']} has {bad['bytes']} bytes in {bad['files']} files")
+    if held.count() != shards:
+        raise ValueError("a shard is missing")
 
 
 def read_order(spark: SparkSession, path: str, manifest: dict, start: int = 0) -> DataFrame:
     """``slot, shard, byte_offset, id, seq_no, ids`` of all sequences from slot ``start`` on.
 
-    Shards ahead of ``start`` aren't opened. A shard that is no whole number of
-    records, or a record without its mark, raises ValueError.
+    Shards ahead of ``start`` aren't opened; the others are read in ranges of
+    whole records, so a task holds no shard. A shard that isn't of its size, or
+    a record without its mark or outside its slots, raises.
     """
-    stride = manifest["stride"]
     schema = "slot long, shard long, byte_offset long, id long, seq_no long, ids binary"
-    table = shard_table(spark, path, manifest).where(F.col("first_slot") + F.col("rows") > start)
-    if table.isEmpty():
+    stride, rows, count = manifest["stride"], manifest["shard_rows"], manifest["sequences"]
+    if start >= count:
         return spark.createDataFrame([], schema)
-    ship(spark)
-    files = spark.read.format("binaryFile").load(f"{path}/shards").select(F.col("shard").cast("long").alias("shard"), "content")
-    # A row for each shard, so its size is set by the shards' size and count.
-    files = files.join(F.broadcast(table.select("shard", "first_slot")), "shard").select("shard", "first_slot", "content")
-    mark = _MARK.encode()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = content.as_py()
-                if len(data) % stride:
-                    raise ValueError(f"shard {shard} has {len(data)} bytes")
-                held = []
-                for at in range(max(0, start - first) * stride, len(data), stride):
-                    if data[at + stride - len(mark) : at + stride] != mark:
-                        raise ValueError(f"shard {shard}: no record ends at byte {at + stride}")
-                    i, k, used, null = struct.unpack_from(_HEAD, data, at)
-                    held.append((first + at // stride, shard, at, None if null else i, k, data[at + _HEAD_BYTES : at + _HEAD_BYTES + 2 * used]))
-                    if len(held) == 8192:
-                        yield batch_of(held)
-                        held = []
-                if held:
-                    yield batch_of(held)
-
-    def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=["slot", "shard", "byte_offset", "id", "seq_no", "ids"])
-
-    return files.mapInArrow(scan, schema)
-
-
-def training_order(docs: DataFrame, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    check_shards(spark, path, manifest)
+    folders = ",".join(f"{path}/shards/{name}/part-*" for name in _from(start // rows, manifest["shards"]) if _held(spark, f"{path}/shards/{name}"))
+    context = spark._jsc.sc()  # noqa: SLF001
+    # The engine's input format for records of one length: it cuts files into ranges of whole records.
+    found = context.binaryRecords(folders, stride, context.hadoopConfiguration())
+    raw = DataFrame(spark._jsparkSession.createDataset(found, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("r")  # noqa: SLF001
+    field = lambda at, size: F.substring("r", at + 1, size)
+    out = raw.withColumn("slot", _number(field(0, 8)))
+    whole = (field(stride - len(_MARK), len(_MARK)) == F.lit(_MARK.encode())) & F.col("slot").between(0, count - 1)
+    out = out.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a record is out of step: slot "), F.coalesce(F.col("slot").cast("string"), F.lit("?"))))))
+    return out.where(F.col("slot") >= start).select(
+        "slot", F.floor(F.col("slot") / F.lit(rows)).cast("long").alias("shard"), ((F.col("slot") % rows) * stride).cast("long").alias("byte_offset"),
+        F.when(_number(field(22, 1)) == 0, _number(field(8, 8))).alias("id"), _number(field(16, 4)).alias("seq_no"),
+        F.substring(F.col("r"), F.lit(_HEAD_BYTES + 1), (_number(field(20, 2)) * 2).cast("int")).alias("ids"),
+    )
+
+
+def _held(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)  # noqa: SLF001
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)  # noqa: SLF001
+    return found is not None and len(found) > 0
+
+
+def training_order(docs: DataFrame, ranks: str, pattern: str, key: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards to the shared folder and reads them back (``read_order``)."""
     path = shared_dir(docs.sparkSession, "training-order")
-    manifest = write_order(docs, path, ranks, pattern, key, length, shard_bytes, id_col=id_col, text_col=text_col)
+    manifest = write_order(docs, path, ranks, pattern, key, length, shard_rows, id_col=id_col, text_col=text_col)
     return read_order(docs.sparkSession, path, manifest)
