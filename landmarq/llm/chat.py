@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, with_prefix
+from ._common import exists, materialise, shared_dir, with_prefix
 
 #: Tool name -> parameter name -> (type, required). Types: string, integer, number, boolean, array, object, any.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -71,10 +71,17 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     ``after`` lists the calls of the same conversation that must come first.
     Where every one of them stands at an earlier turn, the order of turns is
     already right and the level is 0 throughout. Only conversations in which
-    some call waits for a later one go through rounds: a round takes away all
-    calls that wait for none, one level each. What never gets free is on or
-    behind a ring: its level is null. Names of unknown calls and of the call itself are ignored.
+    some call waits for a later one are levelled: a call's level is the
+    longest way to it over what it waits for. What waits on a ring has no
+    level. Names of unknown calls and of the call itself are ignored.
+
+    Each round settles the calls that wait for none that is open, and every
+    wait for a call that itself waits for one other alone then reaches past it, twice as
+    far each round. So a chain takes a number of rounds that grows with the logarithm of its
+    length, and only calls that wait for several open ones at once cost a round for each level.
+    Rounds go by call, so a conversation that holds most rows is no single task's.
     """
+    spark = calls.sparkSession
     nodes = materialise(calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn")), "calls")
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).where(F.col("before").isNotNull() & (F.col("before") != F.col("call_id"))).distinct()
     target = nodes.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b"), F.col("turn").alias("_t"))
@@ -86,19 +93,32 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     done = nodes.join(late, same("conv_id"), "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
     if late.isEmpty():
         return done
-    left = materialise(nodes.join(late, same("conv_id"), "left_semi").select("conv_id", "call_id"), "left")
-    waits = materialise(known.join(late, same("conv_id"), "left_semi").select("conv_id", "call_id", "before"), "left-waits")
-    level = 0
-    while not left.isEmpty():
-        blocked = waits.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b")).distinct()
-        free = materialise(left.join(blocked, same("conv_id") & (F.col("call_id") == F.col("_b")), "left_anti"), "free")
+    # ``least``: the level that what is already settled asks for; a wait reaches back over ``steps`` levels.
+    left = materialise(nodes.join(late, same("conv_id"), "left_semi").select("conv_id", "call_id", F.lit(0).cast("long").alias("least")), "left")
+    waits = materialise(known.join(late, same("conv_id"), "left_semi").select("conv_id", "call_id", "before", F.lit(1).cast("long").alias("steps")), "left-waits")
+    settled = shared_dir(spark, "settled")  # each round adds its calls here, so no plan grows with the rounds
+    most = F.lit(1 << 40)  # no conversation is as long; it stops what goes round a ring from growing
+    at = lambda call: F.col("conv_id").eqNullSafe(F.col("_c")) & F.col(call).eqNullSafe(F.col("_b"))
+    while True:
+        open_calls = waits.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b")).distinct()
+        free = materialise(left.join(open_calls, at("call_id"), "left_anti"), "free")
         if free.isEmpty():
             break
-        done = done.union(free.select("conv_id", "call_id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
-        gone = free.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b"))
-        left = materialise(left.join(gone, same("conv_id") & (F.col("call_id") == F.col("_b")), "left_anti"), "left")
-        waits = materialise(waits.join(gone, same("conv_id") & (F.col("before") == F.col("_b")), "left_anti"), "left-waits")
-        level += 1
+        free.write.mode("append").parquet(settled)
+        now = free.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b"), F.col("least").alias("_level"))
+        kept = waits.join(now, at("before"), "left")
+        asked = kept.where("_level is not null").groupBy("conv_id", "call_id").agg(F.max(F.col("_level") + F.col("steps")).alias("_asked"))
+        still = materialise(left.join(now.select("_c", "_b"), at("call_id"), "left_anti").join(asked.withColumnsRenamed({"conv_id": "_c", "call_id": "_b"}), at("call_id"), "left").select("conv_id", "call_id", F.greatest("least", F.coalesce("_asked", F.lit(0))).alias("least")), "left")
+        rest = materialise(kept.where("_level is null").select("conv_id", "call_id", "before", "steps"), "left-waits")
+        # What a call with one open wait asks for is known but for that wait: who waits for it takes over both.
+        single = rest.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("_n"), F.first("before").alias("_q"), F.first("steps").alias("_w")).where("_n = 1").join(
+            still.withColumnsRenamed({"conv_id": "_c", "call_id": "_b", "least": "_least"}), at("call_id")).select("_c", "_b", "_q", "_w", "_least")
+        reached = materialise(rest.join(single, at("before"), "left"), "reached")
+        raised = reached.where("_least > 0").groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b")).agg(F.max(F.least(F.col("_least") + F.col("steps"), most)).alias("_asked"))
+        left = materialise(still.join(raised, at("call_id"), "left").select("conv_id", "call_id", F.greatest("least", F.coalesce("_asked", F.lit(0))).alias("least")), "left")
+        waits = materialise(reached.select("conv_id", "call_id", F.coalesce("_q", "before").alias("before"), F.least(F.col("steps") + F.coalesce("_w", F.lit(0)), most).alias("steps")).groupBy("conv_id", "call_id", "before").agg(F.max("steps").alias("steps")), "left-waits")
+    levelled = spark.read.schema(left.schema).parquet(settled) if exists(spark, settled) else left.limit(0)
+    done = done.union(levelled.select("conv_id", "call_id", F.col("least").cast("int").alias("level"), F.lit(False).alias("cyclic")))
     return done.union(left.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic")))
 
 

@@ -61,6 +61,49 @@ def test_order_respects_every_dependency(spark):
         assert all(place[conv, a] < place[conv, name] for a in after)
 
 
+def slow_levels(calls):
+    """Longest ways by the definition; None on or behind a ring."""
+    after = {c: {a for a in (x or []) if a != c} for c, x in calls}
+    after = {c: {a for a in x if a in after} for c, x in after.items()}
+    out, left = {}, set(after)
+    while free := [c for c in left if not after[c] & left]:
+        out |= {c: max((out[a] + 1 for a in after[c]), default=0) for c in free}
+        left -= set(free)
+    return out | dict.fromkeys(left)
+
+
+def test_levels_by_the_definition(spark):
+    """Random graphs with late waits and rings, some calls of many waits, all conversations levelled."""
+    import random
+
+    random.seed(5)
+    calls = []
+    for conv in range(8):
+        n = 30
+        for i in range(n):
+            pool = range(max(0, i - 6), i) if conv % 2 else range(i)
+            after = [f"n{x}" for x in random.sample(list(pool), min(len(pool), random.choice([0, 1, 1, 1, 2, 3])))]
+            if conv > 5 and random.random() < 0.3:
+                after.append(f"n{random.randrange(n)}")
+            calls.append((conv, n - i if i else 99, f"n{i}", "f", '{"x":1}', [*after, "n0"] if i else []))
+    got = {(r.conv_id, r.call_id): r.level for r in chat.topological_levels(spark.createDataFrame([(*c, 1) for c in calls], CALLS)).collect()}
+    want = {(conv, c): v for conv in range(8) for c, v in slow_levels([(x[2], x[5]) for x in calls if x[0] == conv]).items()}
+    assert got == want and None in want.values() and max(v for v in want.values() if v) > 6
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """600 calls one after the other with one late wait, a ring beside them: far fewer tables than calls."""
+    written = []
+    monkeypatch.setattr(chat, "materialise", lambda df, name, real=chat.materialise: written.append(name) or real(df, name))
+    calls = [(1, i, f"c{i:03d}", "f", '{"x":1}', [f"c{i - 1:03d}"] if i > 1 else [] if i else ["c600"], 1) for i in range(601)]
+    calls[1] = (1, 1, "c001", "f", '{"x":1}', [], 1)
+    calls += [(1, 700, "r1", "f", "{}", ["r2"], 1), (1, 701, "r2", "f", "{}", ["r1"], 1), (1, 702, "r3", "f", "{}", ["r1", "c600"], 1)]
+    got = {r.call_id: r.level for r in chat.topological_levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == slow_levels([(c[2], c[5]) for c in calls])
+    assert got["c000"] == 600 and got["r3"] is None
+    assert written.count("free") < 16
+
+
 def test_conversations(spark, sf):
     conversations = spark.read.parquet(f"{sf}/conversations.parquet")
     turns = {(r.conv_id, r.turn): r for r in conversations.collect()}
