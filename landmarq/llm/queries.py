@@ -98,10 +98,20 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         r AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last_id FROM p),
-        d AS (SELECT *, payload_bytes >= 1000 AND page_id <> last_id AS again FROM r)
+        d AS (SELECT *, payload_bytes >= 1000 AND last_id IS NOT NULL AND page_id IS DISTINCT FROM last_id AS again FROM r)
         SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last_id END AS refers_to
         FROM d
     """,
+    # CRC-32 byte by byte, its table worked out from the polynomial.
+    "op3_sharding": """
+        WITH tab AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) ORDER BY i) AS v FROM range(256) r(i)),
+        d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (SELECT doc_id, octet_length(b) + 16 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::UBIGINT)), lambda c, y: xor(c >> 8, v[((xor(c, y) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, tab),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM s),
+        c AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total)) AS shard FROM p)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM c
+    """,
     "op4_tool_calls": """
         WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user' AND turn IS NOT NULL),
         a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL),
