@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from ._common import discard, has_unique_ids, materialise, n_words, numbered, shielded, unshielded, with_prefix
 
-#: Parts into which ranks inside a class of equal documents are counted.
-PARTS = 256
+#: Parts into which ranks inside a class of equal documents are counted: the first two digits of a hash.
+PARTS = 16**2
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,7 +54,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-9, steps: int = 200) -> DataFrame:
+def solve_rates(classes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-12, steps: int = 200) -> DataFrame:
     """Adds ``rate`` to ``classes`` (``source, size, n``), given ``targets`` (``source, source_size, target``).
 
     One dual variable for each source; every Newton step of all sources is one
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     takes the document: 0 to ``most`` whole times. A source's total comes to
     within half of its smallest document that rounding can still move of its target.
     Documents of one source and size share their copies; which of them take
-    one more goes by a hash of the id, so reruns agree. A source of a hundred
+    one more goes by the MD5 of the id, so reruns agree, on any engine. A source of a hundred
     million documents is one row for each distinct size by then, and ranks
     inside a class of equal size are counted in ``PARTS`` parts, so no class
     meets in one task. Null sources are a source of their own. Rows that tie on
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "rate", F.floor(F.col("copies") / F.col("n")).alias("base"), (F.col("copies") % F.col("n")).alias("extra")
     )
     plan = materialise(plan, "plan")
-    keyed = sized.withColumn("_hash", F.xxhash64("id")).withColumn("_part", F.pmod(F.col("_hash"), F.lit(PARTS)))
+    keyed = sized.withColumn("_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("_part", F.substring("_hash", 1, 2))  # PARTS of them, in the order of the hash
     parts = keyed.groupBy("source", "size", "_part").agg(F.count(F.lit(1)).alias("_rows"))
     ahead = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("source").alias("_s2"), F.col("size").alias("_z2"), F.col("_part").alias("_p2"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))

@@ -70,7 +70,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -95,6 +95,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Targets by filling up to the caps in order; rates by bisection; copies size by size from the largest, what one leaves over going to the next.
+    "op9_mixing": """
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight, source_size * 2.0::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+        r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM w),
+        lv AS (SELECT k, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+        lev AS (SELECT coalesce(min_by(level, k) FILTER (level <= ratio), max(ratio)) AS level FROM lv),
+        t AS MATERIALIZED (SELECT source, source_size, least(cap, weight * level) AS target, least(cap, weight * level) >= source_size * 2.0::DOUBLE * (1 - 1e-12) AS capped FROM w, lev),
+        c AS MATERIALIZED (SELECT source, size, count(*) AS n FROM d GROUP BY ALL),
+        z AS (SELECT source, min(size) FILTER (size > 0) AS least_size FROM c GROUP BY source),
+        b(step, source, lo, hi) AS (
+            SELECT 0, t.source, least(0, ln(greatest(target, 1e-7) / greatest(source_size, 1))) / coalesce(least_size, 1)::DOUBLE - 1e-9, ln(2) / coalesce(least_size, 1)::DOUBLE + 1e-9 FROM t JOIN z ON z.source IS NOT DISTINCT FROM t.source WHERE NOT t.capped
+            UNION ALL
+            SELECT step + 1, source, CASE WHEN f > target THEN lo ELSE (lo + hi) / 2 END, CASE WHEN f > target THEN (lo + hi) / 2 ELSE hi END FROM (
+                SELECT b.step, b.source, b.lo, b.hi, t.target, sum(c.n * least(2.0::DOUBLE, exp((b.lo + b.hi) / 2 * c.size)) * c.size) AS f
+                FROM b JOIN c ON c.source IS NOT DISTINCT FROM b.source JOIN t ON t.source IS NOT DISTINCT FROM b.source WHERE b.step < 120 GROUP BY b.step, b.source, b.lo, b.hi, t.target)),
+        p AS MATERIALIZED (SELECT c.source, c.size, c.n, CASE WHEN t.capped THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, exp((b.lo + b.hi) / 2 * c.size)) END AS rate, row_number() OVER (PARTITION BY c.source ORDER BY c.size DESC) AS i
+            FROM c JOIN t ON t.source IS NOT DISTINCT FROM c.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM c.source AND b.step = 120),
+        q(i, source, size, n, copies, owed) AS (
+            SELECT 0::BIGINT, source, NULL::BIGINT, NULL::BIGINT, 0::DOUBLE, 0::DOUBLE FROM t
+            UNION ALL
+            SELECT i, source, size, n, copies, CASE WHEN size > 0 THEN due - copies * size ELSE due END FROM (
+                SELECT *, CASE WHEN size > 0 THEN least(2.0::DOUBLE * n, greatest(0, floor(due / size + 0.5))) ELSE n END AS copies FROM (
+                    SELECT p.i, p.source, p.size, p.n, q.owed + p.n * p.rate * p.size AS due FROM q JOIN p ON p.source IS NOT DISTINCT FROM q.source AND p.i = q.i + 1))),
+        x AS (SELECT d.*, row_number() OVER (PARTITION BY source, size ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS place FROM d),
+        y AS (SELECT x.*, t.source_size, t.target, (q.copies::BIGINT // q.n) + CASE WHEN x.place < q.copies::BIGINT % q.n THEN 1 ELSE 0 END AS copies
+            FROM x JOIN t ON t.source IS NOT DISTINCT FROM x.source JOIN q ON q.source IS NOT DISTINCT FROM x.source AND q.size = x.size)
+        SELECT doc_id, size, source_size, round(target, 6) AS target, (size * copies)::BIGINT AS taken, source, copies::BIGINT AS copies FROM y
+    """,
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         r AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last_id FROM p),
