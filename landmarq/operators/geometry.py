@@ -1,21 +1,30 @@
 """Distances between units and chosen units, and how well a selection covers and represents the whole.
 
 ``units`` has ``unit_id`` and ``vec`` (an array of numbers). A selection is small
-beside the units (its size is asked for), so its vectors are broadcast: after a
-check of their count, beyond which the plain join is left to the engine.
+beside the units (its size is asked for), so its vectors go to every task, as one
+matrix: after a check of their count. Larger sides are dealt into blocks of
+vectors, and every batch of units meets one block at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import shuffle_key
 from ..functions.vectors import gaussian_kernel, squared_distance
+from ..shipping import ship
+from .kernels import squared_distances, sum_matrix, vectors_of
 
 #: Chosen vectors up to this many are broadcast.
 BROADCAST_ROWS = 20_000
+#: Distances that are held at a time.
+_AT_ONCE = 1 << 21
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -26,11 +35,90 @@ def chosen_vectors(units: DataFrame, selection: DataFrame) -> DataFrame:
     return units.join(F.broadcast(selection.select("unit_id").distinct()) if selection.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else selection.select("unit_id").distinct(), "unit_id", "left_semi")
 
 
+def _nearest(block: list, points: np.ndarray, vectors: np.ndarray, ids: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows of ``vectors`` their places, and the places and exact distances of the ``k`` nearest ``points``, nearest first, the smaller id of several.
+
+    ``block`` holds the points' ids, ascending; a point with the row's own id (``ids``) is left out. A product of matrices finds candidates, whose
+    distances are then worked out by differences, since the product loses digits.
+    """
+    place = {b: i for i, b in enumerate(block)}
+    scale = float((points**2).sum(axis=1).max(initial=0.0))
+    for start in range(0, len(vectors), max(1, _AT_ONCE // max(len(points), 1))):
+        part = vectors[start : start + max(1, _AT_ONCE // max(len(points), 1))]
+        near = squared_distances(part, points)
+        if ids is not None:
+            for i, own in enumerate(ids[start : start + len(part)]):
+                if own in place:
+                    near[i, place[own]] = np.inf
+        want = min(k, len(points))
+        limit = np.partition(near, want - 1, axis=1)[:, want - 1]
+        slack = 1e-9 * (scale + (part**2).sum(axis=1))
+        for i in range(len(part)):
+            some = np.flatnonzero((near[i] <= limit[i] + slack[i]) & np.isfinite(near[i]))
+            exact = np.sqrt(((points[some] - part[i]) ** 2).sum(axis=1))
+            best = np.lexsort((some, np.round(exact, 12)))[:k]
+            yield start + i, some[best], exact[best]
+
+
+def _neighbours(queries: DataFrame, points: DataFrame, k: int, others: bool) -> DataFrame:
+    """``unit_id, neighbour, distance``: the ``k`` nearest points of each query, itself left out with ``others``.
+
+    A batch of queries meets the points as one matrix where they are few. More points are dealt into blocks of ``BROADCAST_ROWS``, each a
+    task of its own for every batch that it meets; each pair of batch and block leaves k rows for each query, of which the k nearest stay.
+    """
+    ship(queries.sparkSession)
+    kind, other = dict(queries.dtypes)["unit_id"], dict(points.dtypes)["unit_id"]
+    fields = f"unit_id {kind}, neighbour {other}, distance double"
+
+    def found(ids: list, vectors: np.ndarray, block: list, matrix: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        rows, at, far = [], [], []
+        for i, places, distances in _nearest(block, matrix, vectors, ids if others else None, k) if block else ():
+            rows += [ids[i]] * len(places)
+            at += [block[p] for p in places]
+            far.append(distances)
+        return pa.RecordBatch.from_arrays([pa.array(rows, schema.field(0).type), pa.array(at, schema.field(1).type), pa.array(np.concatenate(far) if far else [], pa.float64())], schema=schema)
+
+    few = points.select("unit_id", F.col("vec").cast("array<double>").alias("vec")).limit(BROADCAST_ROWS + 1).toArrow()
+    given = queries.select("unit_id", F.col("vec").cast("array<double>").alias("vec"))
+    schema = pa.schema([("unit_id", given.limit(0).toArrow().schema.field(0).type), ("neighbour", few.schema.field(0).type), ("distance", pa.float64())])
+    if few.num_rows <= BROADCAST_ROWS:
+        few = few.sort_by("unit_id").combine_chunks()
+        held = queries.sparkSession.sparkContext.broadcast((few.column(0).to_pylist(), vectors_of(few.column(1).combine_chunks()) if few.num_rows else np.empty((0, 0))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield found(batch.column(0).to_pylist(), vectors_of(batch.column(1)), *held.value, schema)
+
+        return given.mapInArrow(scan, fields)
+    return _blockwise(given, points, k, fields, found, schema)
+
+
+def _blockwise(queries: DataFrame, points: DataFrame, k: int, fields: str, found, schema: pa.Schema) -> DataFrame:
+    """Every batch of queries against every block of points, as rows of a table of pairs of block numbers."""
+    counts = [max(1, -(-x.count() // BROADCAST_ROWS)) for x in (queries, points)]
+    dealt = [x.select("unit_id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("unit_id"), F.lit(n)).alias("block")) for x, n in zip((queries, points), counts)]
+    # Each block goes once to each block of the other side: the pairs that an exact answer needs, a task for each.
+    left = dealt[0].withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
+    right = dealt[1].withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.sort_by("point").combine_chunks()
+        if not one.num_rows or not two.num_rows:
+            return schema.empty_table()
+        batch = found(one.column("query").to_pylist(), vectors_of(one.column("query_vec").combine_chunks()), two.column("point").to_pylist(), vectors_of(two.column("point_vec").combine_chunks()), schema)
+        return pa.Table.from_batches([batch])
+
+    # Names of their own, since both sides may come from one table.
+    named = [x.select(F.col("unit_id").alias(i), F.col("vec").alias(v), F.col("block").alias("of"), F.col("other").alias("by")) for x, i, v in ((left, "query", "query_vec"), (right, "point", "point_vec"))]
+    pairs = named[0].groupBy("of", "by").cogroup(named[1].groupBy("of", "by")).applyInArrow(meet, fields)
+    best = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.round("distance", 12), "neighbour"))
+    return pairs.withColumn("_place", best).where(F.col("_place") <= k).drop("_place")
+
+
 def nearest_chosen(units: DataFrame, selection: DataFrame) -> DataFrame:
     """``unit_id, nearest, distance``: each unit's nearest chosen unit (the smaller id of several). Chosen units are their own."""
-    chosen = chosen_vectors(units, selection).select(F.col("unit_id").alias("_s"), F.col("vec").alias("_v"))
-    pairs = units.select("unit_id", "vec").crossJoin(_small(chosen)).select("unit_id", F.struct(squared_distance(F.col("vec"), F.col("_v")).alias("d"), F.col("_s").alias("s")).alias("_p"))
-    return pairs.groupBy("unit_id").agg(F.min("_p").alias("_p")).select("unit_id", F.col("_p.s").alias("nearest"), F.sqrt("_p.d").alias("distance"))
+    return _neighbours(units, chosen_vectors(units, selection), 1, False).withColumnRenamed("neighbour", "nearest")
 
 
 def coverage(units: DataFrame, selection: DataFrame, weight: str | None = None) -> DataFrame:
@@ -56,15 +144,32 @@ def diversity(units: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def representation_error(units: DataFrame, selection: DataFrame) -> DataFrame:
-    """One row: ``mean_error, covariance_error``: norms of the differences of mean vectors and of covariances."""
-    marked = units.join(selection.select("unit_id").distinct().withColumn("_in", F.lit(True)), "unit_id", "left").select("unit_id", "vec", F.coalesce("_in", F.lit(False)).alias("_in"))
-    entries = marked.select("_in", F.posexplode("vec").alias("i", "x"))
-    means = entries.groupBy("i").agg(F.avg("x").alias("m"), F.avg(F.when(F.col("_in"), F.col("x"))).alias("s"))
-    first = means.agg(F.sqrt(F.sum((F.col("m") - F.col("s")) * (F.col("m") - F.col("s")))).alias("mean_error"))
-    # One row for each unit and pair of dimensions, summed ahead of the shuffle.
-    pairs = marked.select("_in", "vec", F.posexplode("vec").alias("i", "x")).select("_in", "i", "x", F.posexplode("vec").alias("j", "y"))
-    gaps = pairs.groupBy("i", "j").agg((F.covar_samp("x", "y") - F.covar_samp(F.when(F.col("_in"), F.col("x")), F.when(F.col("_in"), F.col("y")))).alias("g"))
-    return first.crossJoin(gaps.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("covariance_error")))
+    """One row: ``mean_error, covariance_error``: norms of the differences of mean vectors and of covariances.
+
+    Two passes: means of all and of the chosen units, then one matrix of centred cross products from each task for either.
+    Without a unit on either side, and for covariances with fewer than two, the value is null.
+    """
+    marked = units.join(selection.select("unit_id").distinct().withColumn("_in", F.lit(True)), "unit_id", "left").select("vec", F.coalesce("_in", F.lit(False)).alias("_in"))
+
+    def both(batch: pa.RecordBatch) -> np.ndarray:
+        v, chosen = vectors_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        return np.array([np.r_[float(len(v)), v.sum(axis=0)], np.r_[float(chosen.sum()), v[chosen].sum(axis=0)]])
+
+    sums = sum_matrix(marked, both)
+    out = "mean_error double, covariance_error double"
+    if sums is None or not sums[1, 0]:
+        return units.sparkSession.createDataFrame([(None, None)], out)
+    counts, means = sums[:, 0], sums[:, 1:] / sums[:, :1]
+
+    def spread(batch: pa.RecordBatch) -> np.ndarray:
+        v, chosen = vectors_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        every, some = v - means[0], v[chosen] - means[1]
+        return np.vstack([every.T @ every, some.T @ some])
+
+    crossed = sum_matrix(marked, spread)
+    d = means.shape[1]
+    gap = crossed[:d] / (counts[0] - 1) - crossed[d:] / (counts[1] - 1) if counts.min() > 1 else None
+    return units.sparkSession.createDataFrame([(float(np.linalg.norm(means[0] - means[1])), None if gap is None else float(np.linalg.norm(gap)))], out)
 
 
 def mmd_exact(x: DataFrame, y: DataFrame, sigma_sq: float) -> DataFrame:
@@ -112,13 +217,9 @@ def subset_symmetric_kl(units: DataFrame, selection: DataFrame, least: float = 1
 
 
 def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """``unit_id, neighbour, distance, place``: the k nearest points of each query, nearest first, itself left out.
-
-    ``points`` is broadcast where small; each task keeps k rows for each query ahead of the shuffle.
-    """
-    named = points.select(F.col("unit_id").alias("neighbour"), F.col("vec").alias("_v"))
-    pairs = queries.select("unit_id", "vec").join(_small(named), F.col("unit_id") != F.col("neighbour")).select("unit_id", "neighbour", F.sqrt(squared_distance(F.col("vec"), F.col("_v"))).alias("distance"))
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("unit_id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
+    """``unit_id, neighbour, distance, place``: the k nearest points of each query, nearest first, itself left out."""
+    place = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.round("distance", 12), "neighbour"))
+    return _neighbours(queries, points, k, True).withColumn("place", place)
 
 
 def knn_predict(queries: DataFrame, points: DataFrame, k: int, target: str) -> DataFrame:
