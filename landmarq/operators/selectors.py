@@ -1,10 +1,13 @@
-"""Selectors: eight ways of choosing k units, from the whole table or by group quotas.
-
-The numeric selectors work on at most ``POOL`` vectors at a time. A larger table
-or group is dealt into parts of that size, each part proposes units by the same
-selector, and the selector chooses among all proposals; this repeats until they
-fit (the two-round scheme of distributed greedy selection). Groups run side by
-side.
+"""Selectors: nine ways of choosing k units, from the whole table or by group quotas.
+
+Up to ``pool`` vectors of a group are chosen from in one task; groups run side by
+side. The greedy selectors (farthest-first, determinantal, herding, seeding) and
+the leverage draw choose the same units from a table of any size: beyond ``pool``
+they go over the table instead and keep only the chosen vectors (see ``_passes``).
+Clusterings and thinning have no such form: beyond ``pool`` a group is dealt into
+parts of that size, each part proposes units by the same selector, and the
+selector chooses among all proposals until they fit (the two-round scheme of
+distributed greedy selection). For them ``pool`` is a parameter of the result.
 """
 
 from __future__ import annotations
@@ -14,17 +17,21 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import shuffle_key
 from ..shipping import ship
 from ..storage import materialise
-from .kernels import RandomFeatures, gaussian, leverage_scores, squared_distances
+from .kernels import RandomFeatures, gaussian, hashed_uniform, leverage_scores, squared_distances, sum_matrix, vectors_of
 from .quotas import quota_sample, uniform_sample
 
 #: Vectors that one task chooses from.
 POOL = 20_000
+#: Rows that a pass over the table brings back in all, and for a group.
+BACK, BACK_EACH = 20_000, 512
 #: Random features behind herding, determinantal and leverage selection.
 FEATURES = 256
 
@@ -45,9 +52,9 @@ def _plus_plus(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray
     return np.array(chosen)
 
 
-def lloyd(x: np.ndarray, k: int, random: np.random.Generator, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and labels of k-means; an empty cluster keeps its centre."""
-    centres = x[_plus_plus(x, k, random)].copy()
+def lloyd(x: np.ndarray, k: int, random: np.random.Generator, steps: int = 50, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and labels of k-means from seeded centres, or from the members ``first``; an empty cluster keeps its centre."""
+    centres = x[_plus_plus(x, k, random) if first is None else first].copy()
     labels = np.full(len(x), -1)
     for _ in range(steps):
         after = squared_distances(x, centres).argmin(axis=1)
@@ -61,28 +68,32 @@ def lloyd(x: np.ndarray, k: int, random: np.random.Generator, steps: int = 50) -
     return centres, labels
 
 
-def _fill(chosen: list[int], n: int, k: int, random: np.random.Generator) -> np.ndarray:
-    """Distinct indices, topped up at random to k."""
+def _fill(chosen: list[int], n: int, k: int, random: np.random.Generator, keys: np.ndarray | None = None) -> np.ndarray:
+    """Distinct indices, topped up to k at random or by least key."""
     out = list(dict.fromkeys(chosen))[:k]
-    if len(out) < k:
+    if len(out) < k and keys is not None:
+        rest = np.setdiff1d(np.arange(n), out)
+        out += rest[np.argsort(keys[rest], kind="stable")][: k - len(out)].tolist()
+    elif len(out) < k:
         out += random.choice(np.setdiff1d(np.arange(n), out), k - len(out), replace=False).tolist()
     return np.array(out)
 
 
-def kmeans_members(x: np.ndarray, k: int, random: np.random.Generator, **_) -> np.ndarray:
-    """The member nearest each centre."""
-    centres, labels = lloyd(x, k, random)
+def kmeans_members(x: np.ndarray, k: int, random: np.random.Generator, keys: np.ndarray | None = None, **options) -> np.ndarray:
+    """The member nearest each centre. With keys the centres start from ``plus_plus``."""
+    centres, labels = lloyd(x, k, random, first=None if keys is None else plus_plus(x, k, random, keys=keys, **options))
     distance = squared_distances(x, centres)
     chosen = []
     for c in range(k):
         own = np.flatnonzero(labels == c)
         if len(own):
             chosen.append(int(own[distance[own, c].argmin()]))
-    return _fill(chosen, len(x), k, random)
+    return _fill(chosen, len(x), k, random, keys)
 
 
-def farthest_first(x: np.ndarray, k: int, random: np.random.Generator, **_) -> np.ndarray:
-    chosen = [int(random.integers(len(x)))]
+def farthest_first(x: np.ndarray, k: int, random: np.random.Generator, keys: np.ndarray | None = None, **_) -> np.ndarray:
+    """Starts with the member whose key is least, then takes the one farthest from all chosen (the first of several)."""
+    chosen = [int(random.integers(len(x))) if keys is None else int(np.argmin(keys))]
     near = squared_distances(x, x[chosen])[:, 0]
     while len(chosen) < k:
         near[chosen] = -1
@@ -96,22 +107,35 @@ def _phi(x: np.ndarray, sigma_sq: float, seed: int) -> np.ndarray:
     return RandomFeatures.build(x.shape[1], FEATURES, sigma_sq, seed)(x)
 
 
-def herding(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, **_) -> np.ndarray:
-    """Greedily follows the mean embedding; of a tie (within 1e-10) one at random."""
+def herding(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, keys: np.ndarray | None = None, **_) -> np.ndarray:
+    """Greedily follows the mean embedding; of a tie (within 1e-10) the member with the least key, else one at random."""
     phi = _phi(x, sigma_sq, seed)
     mean, total = phi.mean(axis=0), np.zeros(phi.shape[1])
     free, chosen = np.ones(len(x), bool), []
     for t in range(k):
         gain = phi @ ((t + 1) * mean - total)
         gain[~free] = -np.inf
-        i = int(random.choice(np.flatnonzero(gain >= gain.max() - 1e-10)))
+        tied = np.flatnonzero(gain >= gain.max() - 1e-10)
+        i = int(random.choice(tied)) if keys is None else int(tied[np.argmin(keys[tied])])
         chosen.append(i)
         free[i] = False
         total += phi[i]
     return np.array(chosen)
 
 
-def determinantal(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, **_) -> np.ndarray:
+def _residuals(phi: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Squared lengths of what is left of each row outside the span of ``chosen``, in the order in which they were chosen."""
+    rest, basis = (phi**2).sum(axis=1), np.zeros((0, phi.shape[1]))
+    for row in chosen:
+        direction = row - basis.T @ (basis @ row)
+        size = np.linalg.norm(direction)
+        if size > 1e-9:
+            basis = np.vstack([basis, direction / size])
+            rest = np.maximum(rest - (phi @ basis[-1]) ** 2, 0.0)
+    return rest
+
+
+def determinantal(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, keys: np.ndarray | None = None, **_) -> np.ndarray:
     """Greedy maximum of the determinant of random-feature inner products, by residual norms."""
     phi = _phi(x, sigma_sq, seed)
     rest = (phi**2).sum(axis=1)
@@ -131,14 +155,16 @@ def determinantal(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq:
             rest = np.maximum(rest - (phi @ basis[-1]) ** 2, 0.0)
         else:
             rest[i] = 0.0
-    return _fill(chosen, len(x), k, random)
+    return _fill(chosen, len(x), k, random, keys)
 
 
-def leverage_sample(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, penalty: float = 1e-3, **_) -> np.ndarray:
-    """Weighted draw without replacement by ridge leverage."""
+def leverage_sample(x: np.ndarray, k: int, random: np.random.Generator, sigma_sq: float = 1.0, seed: int = 0, penalty: float = 1e-3, keys: np.ndarray | None = None, **_) -> np.ndarray:
+    """Weighted draw without replacement by ridge leverage; the noise comes from the keys, if any."""
     phi = _phi(x, sigma_sq, seed)
-    score = np.einsum("ij,jk,ik->i", phi, np.linalg.inv(phi.T @ phi + penalty * np.eye(phi.shape[1])), phi)
-    return np.argsort(-(np.log(np.maximum(score, 1e-12)) + random.gumbel(size=len(x))), kind="stable")[:k]
+    half = np.linalg.solve(np.linalg.cholesky(phi.T @ phi + penalty * np.eye(phi.shape[1])), np.eye(phi.shape[1])).T
+    score = ((phi @ half) ** 2).sum(axis=1)
+    noise = random.gumbel(size=len(x)) if keys is None else -np.log(-np.log((np.array([int(key[:8], 16) for key in keys]) + 0.5) / 2**32))
+    return np.argsort(-(np.log(np.maximum(score, 1e-12)) + noise), kind="stable")[:k]
 
 
 def _halve(order: np.ndarray, x: np.ndarray, sigma_sq: float, random: np.random.Generator, delta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +256,18 @@ def select(units: DataFrame, method: str, k: int | None = None, quotas: DataFram
         frame = frame.sort_values("unit_id", ignore_index=True)
         x, want, name = np.array(frame["vec"].tolist(), float), int(frame["c"].iloc[0]), frame["_key"].iloc[0]
         if want < len(frame):
-            picked = chooser(x, want, np.random.default_rng(_seed(seed, method, name)), sigma_sq=sigma_sq, seed=seed)
+            keys = np.array([hashlib.md5(f"{seed}|{u}".encode()).hexdigest() for u in frame["unit_id"]])  # as shuffle_key has them
+            picked = chooser(x, want, np.random.default_rng(_seed(seed, method, name)), sigma_sq=sigma_sq, seed=seed, keys=keys, ids=frame["unit_id"].to_numpy())
             frame = frame.iloc[np.sort(picked)]
         return frame[["unit_id", "grp", "vec", "c", "_key"]]
 
+    if method in _STEPS or method == "leverage":
+        largest = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"] or 0
+        if largest > pool:
+            if method == "leverage" and quotas is None:
+                return leverage_select(units, k, sigma_sq, FEATURES, seed=seed).select("unit_id", "grp")
+            if method in _STEPS:
+                return _passes(rows, method, sigma_sq, seed)
     while True:
         sizes = rows.groupBy(F.col("_key").alias("_k"), F.col("c").alias("_want")).agg(F.count(F.lit(1)).alias("_n"))
         largest = sizes.agg(F.max("_n").alias("n"), F.max("_want").alias("c")).first()
@@ -248,6 +282,127 @@ def select(units: DataFrame, method: str, k: int | None = None, quotas: DataFram
     return rows.groupBy("_key").applyInPandas(choose, schema).select("unit_id", "grp")
 
 
+# -- over tables of any size -----------------------------------------------
+
+
+def _score_farthest(x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, seed: int, **_) -> np.ndarray:
+    return squared_distances(x, chosen).min(axis=1)
+
+
+def _score_determinantal(x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, seed: int, sigma_sq: float, **_) -> np.ndarray:
+    return _residuals(_phi(x, sigma_sq, seed), _phi(chosen, sigma_sq, seed)) if len(chosen) else (_phi(x, sigma_sq, seed) ** 2).sum(axis=1)
+
+
+def _score_herding(x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, seed: int, sigma_sq: float, mean: np.ndarray, **_) -> np.ndarray:
+    phi = _phi(x, sigma_sq, seed)
+    held = _phi(chosen, sigma_sq, seed).sum(axis=0) if len(chosen) else 0.0
+    return phi @ ((len(chosen) + 1) * mean - held)
+
+
+def _score_plus_plus(x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, seed: int, **_) -> np.ndarray:
+    near = squared_distances(x, chosen).min(axis=1)
+    noise = -np.log(-np.log(np.array([hashed_uniform(seed, len(chosen), u) for u in ids])))
+    return np.where(near > 0, np.log(np.maximum(near, 1e-300)) + noise, -np.inf)
+
+
+#: Score of a step, whether scores never rise as more are chosen, whether the least key starts, and the least score that counts.
+_STEPS = {
+    "farthest": (_score_farthest, True, True, -1.0), "determinantal": (_score_determinantal, True, False, 1e-12),
+    "herding": (_score_herding, False, False, -np.inf), "plus_plus": (_score_plus_plus, False, True, -1e300),
+}
+
+
+def _passes(rows: DataFrame, method: str, sigma_sq: float, seed: int) -> DataFrame:
+    """A greedy selector over groups of any size, with the picks that it makes in memory.
+
+    ``rows``: ``unit_id, grp, vec, c, _key``. A pass scores every unit against its group's chosen vectors and brings back
+    each group's best few. Where scores never rise, a unit that stays above the worst of those is the best of all, so one pass
+    gives many picks; otherwise one. The driver holds chosen and returned vectors only: ``BACK`` rows beside the selection.
+    """
+    score, lazy, keyed, least = _STEPS[method]
+    spark = rows.sparkSession
+    key_of = lambda unit: hashlib.md5(f"{seed}|{unit}".encode()).hexdigest()
+    wanted = {r["_key"]: (int(r["c"]), int(r["n"])) for r in rows.groupBy("_key").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    chosen: dict[str, list[tuple]] = {g: [] for g in wanted}
+    means: dict[str, np.ndarray] = {}
+    options = {"sigma_sq": sigma_sq}
+    if method == "herding":
+        names = sorted(wanted)
+        place = {g: i for i, g in enumerate(names)}
+
+        def sums(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((len(names), FEATURES + 1))
+            phi = _phi(vectors_of(batch.column(1)), sigma_sq, seed)
+            np.add.at(out, [place[g] for g in batch.column(0).to_pylist()], np.column_stack([phi, np.ones(len(phi))]))
+            return out
+
+        total = sum_matrix(rows.select("_key", "vec"), sums)
+        means = {g: total[i, :-1] / total[i, -1] for g, i in place.items()}
+    if keyed:
+        first = rows.groupBy("_key").agg(F.min_by(F.struct("unit_id", "vec"), F.struct(shuffle_key(seed, F.col("unit_id")), "unit_id")).alias("_f"))
+        for r in first.collect():
+            chosen[r["_key"]].append((r["_f"]["unit_id"], np.array(r["_f"]["vec"], float)))
+    each = max(2, min(BACK_EACH if lazy else 8, BACK // max(len(wanted), 1)))
+    kind = dict(rows.dtypes)["unit_id"]
+    open_groups = {g for g, (c, n) in wanted.items() if len(chosen[g]) < min(c, n)}
+    while open_groups:
+        held = spark.sparkContext.broadcast({g: ([u for u, _ in chosen[g]], np.array([v for _, v in chosen[g]])) for g in open_groups})
+
+        def scored(batches):
+            for batch in batches:
+                groups = np.array(batch.column(1).to_pylist(), object)
+                x, units = vectors_of(batch.column(2)), batch.column(0).to_pylist()
+                for g in set(groups) & set(held.value):
+                    at = np.flatnonzero(groups == g)
+                    taken, vectors = held.value[g]
+                    value = np.asarray(score(x[at], np.array(units, object)[at], vectors, seed, mean=means.get(g), **options), float)
+                    free = ~np.isin(np.array(units)[at], taken) & (value > least) if taken else value > least
+                    own = np.flatnonzero(free)
+                    # Only a batch's own best can be among its group's.
+                    own = own[np.lexsort((np.array(units)[at][own], -value[own]))[:each]]
+                    best = pa.array(at[own])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(best) for i in range(3)), pa.array(value[own])], names=["unit_id", "_key", "vec", "score"])
+
+        found = rows.select("unit_id", "_key", "vec").mapInArrow(scored, f"unit_id {kind}, _key string, vec array<double>, score double")
+        rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("score").desc(), "unit_id"))
+        back: dict[str, list] = {}
+        for r in found.withColumn("_rank", rank).where(F.col("_rank") <= each).collect():
+            back.setdefault(r["_key"], []).append((r["score"], r["unit_id"], np.array(r["vec"], float)))
+        for g in list(open_groups):
+            some = sorted(back.get(g, []), key=lambda r: (-r[0], r[1]))
+            goal = min(wanted[g])
+            limit = min(goal, FEATURES) if method == "determinantal" else goal
+            if not some or len(chosen[g]) >= limit:
+                open_groups.discard(g)
+                continue
+            whole, floor = len(some) < each, some[-1][0]
+            ids, x = [r[1] for r in some], np.array([r[2] for r in some])
+            value = np.array([r[0] for r in some])
+            while len(chosen[g]) < limit:
+                top = value.max()
+                tied = np.flatnonzero(value >= top - (1e-10 if method == "herding" else 0.0))
+                i = int(min(tied, key=lambda j: key_of(ids[j]))) if method == "herding" else int(tied[0])
+                if not top > least or not np.isfinite(top):
+                    break
+                chosen[g].append((ids[i], x[i]))
+                value[i] = -np.inf
+                if not lazy:
+                    break
+                left = np.isfinite(value)
+                if left.any():
+                    value[left] = score(x[left], np.array(ids, object)[left], np.array([v for _, v in chosen[g]]), seed, mean=means.get(g), **options)
+                if not whole and not value.max() > floor:
+                    break
+            if len(chosen[g]) >= limit or (lazy and whole):
+                open_groups.discard(g)
+    picked = [(g, u) for g, units in chosen.items() for u, _ in units]
+    taken = spark.createDataFrame(pd.DataFrame({"_unit": [u for _, u in picked]}), f"_unit {kind}")
+    base = rows.select("unit_id", "grp", "_key", "c").join(F.broadcast(taken.withColumn("_in", F.lit(True))), F.col("unit_id") == F.col("_unit"), "left")
+    # Groups whose scores ran out are filled up by key, as in memory.
+    order = Window.partitionBy("_key").orderBy(F.col("_in").desc_nulls_last(), shuffle_key(seed, F.col("unit_id")), "unit_id")
+    return base.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("c")).select("unit_id", "grp")
+
+
 def leverage_select(units: DataFrame, k: int, sigma_sq: float = 1.0, features: int = FEATURES, penalty: float = 1e-3, seed: int = 0, quotas: DataFrame | None = None) -> DataFrame:
     """Leverage selection with scores over the whole table, however large: one Gram sum, one scoring pass, one draw."""
     dimension = units.select(F.size("vec").alias("d")).limit(1).first()["d"]
@@ -278,9 +433,20 @@ def kmeans_select(units: DataFrame, k: int, seed: int = 0, steps: int = 20) -> D
     return project_to_size(units, chosen, k, seed)
 
 
-def plus_plus(x: np.ndarray, k: int, random: np.random.Generator, **_) -> np.ndarray:
-    """Squared-distance seeding as a selector of its own."""
-    return _fill(_plus_plus(x, k, random).tolist(), len(x), k, random)
+def plus_plus(x: np.ndarray, k: int, random: np.random.Generator, seed: int = 0, keys: np.ndarray | None = None, ids: np.ndarray | None = None, **_) -> np.ndarray:
+    """Squared-distance seeding as a selector of its own. With ``keys`` and ``ids`` it starts with the least key, and each draw's noise is a digest of the step and the id."""
+    if keys is None or ids is None:
+        return _fill(_plus_plus(x, k, random).tolist(), len(x), k, random)
+    chosen = [int(np.argmin(keys))]
+    near = squared_distances(x, x[chosen])[:, 0]
+    while len(chosen) < k:
+        near[chosen] = 0.0
+        if not near.max() > 0:
+            break
+        noise = -np.log(-np.log(np.array([hashed_uniform(seed, len(chosen), u) for u in ids])))
+        chosen.append(int(np.argmax(np.where(near > 0, np.log(np.maximum(near, 1e-300)) + noise, -np.inf))))
+        near = np.minimum(near, squared_distances(x, x[chosen[-1:]])[:, 0])
+    return _fill(chosen, len(x), k, random)
 
 
 METHODS["plus_plus"] = plus_plus
