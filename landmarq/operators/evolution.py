@@ -9,6 +9,7 @@ larger tables search among a quota sample of them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..storage import delete, exists
 
 MOST_UNITS = 1_000_000
 Evaluate = Callable[[list[np.ndarray]], np.ndarray]
@@ -260,6 +262,45 @@ def population_diversity(population: Sequence[np.ndarray], random: np.random.Gen
     return float(np.mean([len(np.setxor1d(population[a], population[b])) for a, b in picks]))
 
 
+# -- first selections --------------------------------------------------------
+
+
+def weighted_start(random: np.random.Generator, weights: np.ndarray, k: int) -> np.ndarray:
+    """``k`` units drawn without replacement by weight; units of no weight only where others run out."""
+    return np.sort(np.argsort(-(np.log(np.maximum(weights, 1e-300)) + random.gumbel(size=len(weights))), kind="stable")[:k])
+
+
+def shares_of(count: int, parts: Sequence[tuple[str, float]]) -> list[str]:
+    """The kind of each of ``count`` starts: whole shares of each kind, rounded down, and the rest of the last."""
+    total = sum(share for _, share in parts)
+    if not parts or total <= 0 or min(share for _, share in parts) < 0:
+        raise ValueError("shares of starts must be positive")
+    kinds = [kind for kind, share in parts[:-1] for _ in range(int(count * share / total + 1e-9))]
+    return kinds + [parts[-1][0]] * (count - len(kinds))
+
+
+# -- checkpoints -------------------------------------------------------------
+
+
+def _state_path(path: str, generation: int) -> str:
+    return f"{path.rstrip('/')}/generation-{generation:06d}"
+
+
+def _save(spark, path: str, generation: int, state: dict) -> None:
+    """Writes the state after ``generation`` and deletes the one before; the engine's committer marks it when it is whole."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(_state_path(path, generation))
+    if generation:
+        delete(spark, _state_path(path, generation - 1))
+
+
+def _saved(spark, path: str, generations: int) -> tuple[int, dict] | None:
+    """The last whole state, if any, and its generation."""
+    for generation in range(generations - 1, -1, -1):
+        if exists(spark, _state_path(path, generation) + "/_SUCCESS"):
+            return generation, json.loads(spark.read.text(_state_path(path, generation)).first()["value"])
+    return None
+
+
 # -- the search -------------------------------------------------------------
 
 
@@ -283,6 +324,7 @@ class Search:
 def search(
     units: DataFrame, k: int, objectives: Callable[[DataFrame], DataFrame], names: Sequence[str], limits: dict[str, float] | None = None, quotas: DataFrame | None = None, population: int = 40, generations: int = 20,
     crossover_chance: float = 0.9, mutation_chance: float = 0.2, swaps: int = 1, alpha: float = 1.0, seed: int = 0, patience: int = 0, start: Sequence[np.ndarray] = (), on_generation: Callable[[int, list[np.ndarray], np.ndarray], None] | None = None,
+    starts: Sequence[tuple[str, float]] = (("uniform", 1.0),), start_weight: str = "weight", harm: Callable[[np.ndarray], float] | None = None, checkpoint: str | None = None,
 ) -> Search:
     """Searches selections of ``k`` units for small ``names``.
 
@@ -290,9 +332,21 @@ def search(
     ``names``, for all new selections of a generation at once; known ones come
     from a cache. ``limits`` bounds divergences by ``count`` or ``weight``; with ``quotas`` every
     selection meets them exactly. The result is the feasible first front, or the 50 least violating selections.
+
+    ``starts`` mixes kinds of first selections by share: ``uniform``, ``weighted`` (by the column ``start_weight``) and ``greedy``
+    (towards the limits). With ``harm``, a cheap figure for an array of unit ids, sizes and quotas are
+    repaired by the moves that raise it least, at random otherwise. With ``checkpoint``, a folder in the shared store, the state of
+    each generation is kept there, and a search of the same arguments goes on from the last whole one, to the same result.
     """
     spark = units.sparkSession
-    own = units.select("unit_id", F.coalesce(F.col("grp").cast("string"), F.lit("null")).alias("grp"), *([F.greatest(F.coalesce(finite(F.col("weight")), F.lit(0.0)), F.lit(0.0)).alias("weight")] if "weight" in units.columns else []))
+    unknown = {kind for kind, _ in starts} - {"uniform", "weighted", "greedy"}
+    if unknown:
+        raise ValueError(f"unknown starts: {sorted(unknown)}")
+    positive = lambda c: F.greatest(F.coalesce(finite(F.col(c)), F.lit(0.0)), F.lit(0.0))
+    by_weight = any(kind == "weighted" for kind, _ in starts)
+    own = units.select(
+        "unit_id", F.coalesce(F.col("grp").cast("string"), F.lit("null")).alias("grp"), *([positive("weight").alias("weight")] if "weight" in units.columns else []), *([positive(start_weight).alias("start")] if by_weight else [])
+    )
     table = own.orderBy("unit_id").limit(MOST_UNITS + 1).toPandas()
     if len(table) > MOST_UNITS:
         raise ValueError(f"over {MOST_UNITS} units; search among a sample of them")
@@ -315,7 +369,11 @@ def search(
 
     def repaired(s: np.ndarray) -> np.ndarray:
         given = s
-        s = repair_quotas(random, s, groups, members, want) if want is not None else repair_size(random, s, n, k)
+        if harm is None:
+            s = repair_quotas(random, s, groups, members, want) if want is not None else repair_size(random, s, n, k)
+        else:
+            cost = lambda x: harm(ids[x])
+            s = least_harm_quotas(s, groups, members, want, cost, random) if want is not None else least_harm_size(s, n, k, cost, random)
         s = repair_constraints(s, groups, members, constraints, random, want is not None) if constraints else s
         repairs.append(len(np.setxor1d(given, s)))
         return s
@@ -335,15 +393,32 @@ def search(
 
     violations = lambda pop: np.array([sum(c.violation(s, groups) for c in constraints) for s in pop])
     place = {u: i for i, u in enumerate(ids.tolist())}
-    pop = [repaired(np.sort([place[u] for u in s])) for s in start]
-    if constraints and want is None:
-        pop.append(greedy_start(groups, members, constraints, k, random))
-    pop += [repaired(np.sort(random.choice(n, k, replace=False))) for _ in range(population - len(pop))]
-    f, cv = evaluated(pop), violations(pop)
-    kept, ranks, crowd = survivors(f, cv, population)
-    pop, f, cv = [pop[i] for i in kept], f[kept], cv[kept]
-    log, best, idle = [], np.inf, 0
-    for generation in range(generations):
+    log, best, idle, first = [], np.inf, 0, 0
+    saved = _saved(spark, checkpoint, generations) if checkpoint else None
+    if saved:
+        first, state = saved[0] + 1, saved[1]
+        if (state["k"], state["seed"], state["names"], state["units"]) != (k, seed, list(names), n):
+            raise ValueError(f"{checkpoint} holds another search")
+        pop, f, cv, ranks, crowd = [np.array(s, np.int64) for s in state["population"]], np.array(state["objectives"]), np.array(state["violations"]), np.array(state["ranks"]), np.array(state["crowding"])
+        log, best, idle = state["log"], state["best"], state["idle"]
+        random.bit_generator.state = state["random"]
+        cache |= {s.tobytes(): v for s, v in zip(pop, f)}
+    else:
+        pop = [repaired(np.sort([place[u] for u in s])) for s in start]
+        if constraints and want is None:
+            pop.append(greedy_start(groups, members, constraints, k, random))
+        for kind in shares_of(max(0, population - len(pop)), starts):
+            if kind == "greedy" and constraints:
+                s = greedy_start(groups, members, constraints, k, random)
+            else:
+                s = weighted_start(random, table["start"].to_numpy(), k) if kind == "weighted" else np.sort(random.choice(n, k, replace=False))
+            pop.append(repaired(s))
+        f, cv = evaluated(pop), violations(pop)
+        kept, ranks, crowd = survivors(f, cv, population)
+        pop, f, cv = [pop[i] for i in kept], f[kept], cv[kept]
+    for generation in range(first, generations):
+        if patience and idle >= patience:
+            break
         parents = tournament(random, ranks, crowd, population + population % 2)
         children, _ = [], repairs.clear()
         for a, b in parents.reshape(-1, 2):
@@ -362,8 +437,11 @@ def search(
             on_generation(generation, [ids[s] for s in pop], f)
         idle = idle + 1 if level >= best * (1 - 1e-6) else 0
         best = min(best, level)
-        if patience and idle >= patience:
-            break
+        if checkpoint:
+            _save(spark, checkpoint, generation, {
+                "k": k, "seed": seed, "names": list(names), "units": n, "population": [s.tolist() for s in pop], "objectives": f.tolist(), "violations": cv.tolist(), "ranks": ranks.tolist(),
+                "crowding": crowd.tolist(), "log": log, "best": best, "idle": idle, "random": random.bit_generator.state,
+            })
     good = np.flatnonzero(cv <= 0)
     final = good[fronts(f[good])[0]] if len(good) else np.argsort(cv, kind="stable")[:50]
     unique = list({pop[i].tobytes(): i for i in final}.values())
