@@ -102,39 +102,66 @@ class MixedColumns:
 
 
 class Autoencoder:
-    """A variational autoencoder of one hidden layer with Gaussian, Bernoulli and categorical outputs.
+    """A variational autoencoder with hidden layers of given widths and Gaussian, Bernoulli and categorical outputs.
 
-    Trained by Adam on the sum of negative log-likelihoods and a divergence whose
+    ``hidden`` is one width or several: the encoder's layers in order, which the decoder mirrors; their
+    ``activation`` is ``tanh`` or ``relu``. Trained by Adam on the sum of negative log-likelihoods and a divergence whose
     weight rises over the first epochs; stops when the held-out loss no longer falls.
     """
 
-    def __init__(self, columns: MixedColumns, latent: int = 8, hidden: int = 64, seed: int = 0):
-        self.columns, self.latent, self.hidden, self.seed = columns, latent, hidden, seed
+    def __init__(self, columns: MixedColumns, latent: int = 8, hidden: int | Sequence[int] = 64, seed: int = 0, activation: str = "tanh"):
+        self.columns, self.latent, self.seed = columns, latent, seed
+        self.hidden = (hidden,) if isinstance(hidden, int) else tuple(hidden)
+        if not self.hidden or min(self.hidden) < 1 or activation not in ("tanh", "relu"):
+            raise ValueError("hidden layers of positive width, tanh or relu")
+        self.activation = activation
         self.weights: dict[str, np.ndarray] = {}
         self.history: list[tuple[float, float]] = []
 
     def _start(self, width: int) -> None:
         random = np.random.default_rng(self.seed)
-        sizes = {"e": (width, self.hidden), "m": (self.hidden, self.latent), "v": (self.hidden, self.latent), "d": (self.latent, self.hidden), "o": (self.hidden, width)}
+        last = self.hidden[-1]
+        sizes = {f"e{i}": pair for i, pair in enumerate(zip((width, *self.hidden), self.hidden))} | {"m": (last, self.latent), "v": (last, self.latent)}
+        back = (self.latent, *self.hidden[::-1])
+        sizes |= {f"d{i}": pair for i, pair in enumerate(zip(back, back[1:]))} | {"o": (back[-1], width)}
         for name, (a, b) in sizes.items():
             self.weights[f"w{name}"] = random.normal(0, np.sqrt(2 / (a + b)), (a, b))
             self.weights[f"b{name}"] = np.zeros(b)
 
+    def _forward(self, x: np.ndarray, part: str) -> list[np.ndarray]:
+        """The input and every layer's output of the encoder (``e``) or decoder (``d``)."""
+        out = [x]
+        for i in range(len(self.hidden)):
+            z = out[-1] @ self.weights[f"w{part}{i}"] + self.weights[f"b{part}{i}"]
+            out.append(np.tanh(z) if self.activation == "tanh" else np.maximum(z, 0.0))
+        return out
+
+    def _backward(self, layers: list[np.ndarray], slope: np.ndarray, part: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """From the slope at the last layer's output to that at the input, with the layers' gradients."""
+        grads = {}
+        for i in range(len(self.hidden) - 1, -1, -1):
+            h = layers[i + 1]
+            slope = slope * (1 - h**2 if self.activation == "tanh" else h > 0)
+            grads |= {f"w{part}{i}": layers[i].T @ slope, f"b{part}{i}": slope.sum(0)}
+            slope = slope @ self.weights[f"w{part}{i}"].T
+        return slope, grads
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and log-variance of each row's code."""
         return self._encode_inputs(self.columns.inputs(x))[1:]
 
-    def _encode_inputs(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode_inputs(self, inputs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         w = self.weights
-        h = np.tanh(inputs @ w["we"] + w["be"])
-        return h, h @ w["wm"] + w["bm"], np.clip(h @ w["wv"] + w["bv"], -10, 2)
+        layers = self._forward(inputs, "e")
+        return layers, layers[-1] @ w["wm"] + w["bm"], np.clip(layers[-1] @ w["wv"] + w["bv"], -10, 2)
 
     def _loss(self, inputs: np.ndarray, noise: np.ndarray, beta: float) -> tuple[float, dict[str, np.ndarray]]:
         w, n = self.weights, len(inputs)
-        h, mean, logvar = self._encode_inputs(inputs)
+        layers, mean, logvar = self._encode_inputs(inputs)
         deviation = np.exp(logvar / 2)
         z = mean + deviation * noise
-        g = np.tanh(z @ w["wd"] + w["bd"])
+        back = self._forward(z, "d")
+        g = back[-1]
         out = g @ w["wo"] + w["bo"]
         c, b = len(self.columns.continuous), len(self.columns.binary)
         loss, d_out = 0.5 * ((out[:, :c] - inputs[:, :c]) ** 2).sum(), np.zeros_like(out)
@@ -154,15 +181,13 @@ class Autoencoder:
         loss += beta * 0.5 * (np.exp(logvar) + mean**2 - 1 - logvar).sum()
         d_out /= n
         grads = {"wo": g.T @ d_out, "bo": d_out.sum(0)}
-        d_g = d_out @ w["wo"].T * (1 - g**2)
-        grads |= {"wd": z.T @ d_g, "bd": d_g.sum(0)}
-        d_z = d_g @ w["wd"].T
+        d_z, more = self._backward(back, d_out @ w["wo"].T, "d")
         d_mean = d_z + beta * mean / n
         d_logvar = d_z * noise * deviation / 2 + beta * 0.5 * (np.exp(logvar) - 1) / n
         d_logvar = np.where((logvar <= -10) | (logvar >= 2), 0.0, d_logvar)
-        grads |= {"wm": h.T @ d_mean, "bm": d_mean.sum(0), "wv": h.T @ d_logvar, "bv": d_logvar.sum(0)}
-        d_h = (d_mean @ w["wm"].T + d_logvar @ w["wv"].T) * (1 - h**2)
-        return float(loss / n), grads | {"we": inputs.T @ d_h, "be": d_h.sum(0)}
+        h = layers[-1]
+        grads |= more | {"wm": h.T @ d_mean, "bm": d_mean.sum(0), "wv": h.T @ d_logvar, "bv": d_logvar.sum(0)}
+        return float(loss / n), grads | self._backward(layers, d_mean @ w["wm"].T + d_logvar @ w["wv"].T, "e")[1]
 
     def fit(self, units: DataFrame, epochs: int = 60, batch: int = 128, rate: float = 3e-3, warm_up: int = 20, patience: int = 10, beta: float = 1.0, sample: int = TRAIN_ROWS) -> Autoencoder:
         """Trains on a random sample of at most ``sample`` units, a tenth of it held out."""
