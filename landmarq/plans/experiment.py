@@ -15,14 +15,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import comparison, evolution, geometry, groups, kernels, metrics, prepare, quotas, selectors
+from ..operators import comparison, evolution, geometry, groups, kernels, metrics, objectives, prepare, quotas, selectors
 from ..operators.embedding import embed_space
 from ..sources.sinks import is_complete
 
 
 @dataclass(frozen=True)
 class Settings:
-    """One experiment: subset size, methods, spaces, regimes (``exact``, ``quota``, ``global_then_quota``) and replicates."""
+    """One experiment: subset size, methods, spaces, regimes (``exact``, ``quota``, ``global_then_quota``) and replicates.
+
+    ``hard`` names what quotas go by (``count`` or ``weight``; they hold exactly), ``limits`` the divergences that are bounded. ``grid`` are sizes, ``dimensions``
+    widths of the space and ``efforts`` pairs of population and generations that ``sweep_settings`` goes through.
+    """
 
     name: str = "default"
     k: int = 100
@@ -38,23 +42,64 @@ class Settings:
     population: int = 16
     limits: Mapping[str, float] = field(default_factory=dict)
     after: tuple[str, ...] = ()
+    objectives: tuple[str, ...] = ("mmd2", "sinkhorn")
+    hard: str = ""
+    grid: tuple[int, ...] = ()
+    dimension: int = 8
+    dimensions: tuple[int, ...] = ()
+    efforts: tuple[tuple[int, int], ...] = ()
 
     def key(self) -> str:
         return hashlib.md5(json.dumps(asdict(self), sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+#: Sizes and widths of the sweeps, and the divergence that a soft and a tight limit allow.
+SIZES, WIDTHS = (30, 50, 100, 200, 300, 400, 500), (4, 8, 16, 32, 64, 128)
+SOFT, TIGHT = 0.02, 0.001
+#: What a run's constraint code stands for: p or first place the weight, m or second place the count; s soft, h hard, 0 none.
+CONSTRAINTS: dict[str, dict] = {
+    "0": {}, "ps": {"limits": {"weight": SOFT}}, "ms": {"limits": {"count": SOFT}}, "ph": {"hard": "weight"}, "mh": {"hard": "count"},
+    "sh": {"hard": "count", "limits": {"weight": SOFT}}, "hs": {"hard": "weight", "limits": {"count": SOFT}}, "hh": {"hard": "count", "limits": {"weight": TIGHT}},
+}
+SPACES = {"r": "raw", "v": "vae", "p": "pca"}
+#: The numbered runs of the constraint grid, in order: blocks of searches (N) or selectors (B) in one space under some constraints.
+NUMBERED = (
+    ("N", "r", "ph mh hh 0"), ("B", "r", "ph mh hh 0"), ("N", "v", "ph mh hh 0"), ("B", "v", "ph mh hh 0"), ("N", "r", "ps ms"), ("N", "v", "ps ms"), ("N", "p", "ps ms"), ("N", "p", "ph mh hh 0"), ("B", "p", "ph mh hh 0"),
+    ("B", "r", "ps ms"), ("B", "v", "ps ms"), ("B", "p", "ps ms"), ("N", "r", "sh hs"), ("B", "r", "sh hs"), ("N", "v", "sh hs"), ("B", "v", "sh hs"), ("N", "p", "sh hs"), ("B", "p", "sh hs"),
+)
+
+
 def run_specs() -> dict[str, Settings]:
-    """Named experiments."""
-    base = Settings()
-    return {
-        "R0": replace(base, name="R0", methods=()),
-        "R1": replace(base, name="R1", search=True, methods=("uniform",), limits={"weight": 0.02}, after=("R0",)),
-        "R2": replace(base, name="R2", search=True, methods=("uniform",), limits={"count": 0.02}, after=("R0",)),
-        "R4": replace(base, name="R4", search=True, methods=("uniform",), limits={"count": 0.02, "weight": 0.02}, after=("R0",)),
-        "R8": replace(base, name="R8", spaces=("raw", "pca", "vae"), methods=("farthest", "herding")),
-        "R10": replace(base, name="R10", regimes=("exact", "quota")),
-        "R12": replace(base, name="R12", search=True, methods=(), generations=20),
+    """Named experiments: the numbered ones (R), the grid of kind, space and constraint (``N_r_ph`` and so on), its numbers (G), sweeps and diagnostics."""
+    base = Settings(search=True, methods=(), spaces=("vae",), limits={"weight": SOFT}, after=("R0",))
+    selectors_only = {"search": False, "methods": Settings.methods, "regimes": ("exact",)}
+    specs = {
+        "R0": Settings(methods=(), grid=SIZES), "R1": replace(base, grid=SIZES, replicates=5), "R2": replace(base, objectives=("mmd2",)), "R3": replace(base, objectives=("sinkhorn",)),
+        "R4": replace(base, limits={}, hard="count"), "R5": replace(base, **CONSTRAINTS["hh"]), "R6": replace(base, limits={}), "R7": replace(base, objectives=("mmd2", "sinkhorn", "skl")),
+        "R8": replace(base, spaces=("raw",), grid=SIZES), "R9": replace(base, spaces=("pca",), grid=SIZES), "R10": replace(base, **selectors_only, replicates=5), "R11": replace(base, search=False, after=("R1",)),
+        "R12": replace(base, efforts=((8, 5), (16, 5), (16, 20), (40, 20))), "R13": replace(base, dimensions=WIDTHS), "R14": replace(base, spaces=("pca",), dimensions=WIDTHS), "R15": replace(base, objectives=("mmd2", "sinkhorn", "logdet")),
     }
+    for kind in "NB":
+        for letter, space in SPACES.items():
+            for code, constraint in CONSTRAINTS.items():
+                one = replace(base, spaces=(space,), replicates=5, **{"limits": {}, **constraint})
+                specs[f"{kind}_{letter}_{code}"] = replace(one, **selectors_only) if kind == "B" else one
+    cells = [f"{kind}_{letter}_{code}" for kind, letter, codes in NUMBERED for code in codes.split()]
+    specs |= {f"G{i}": specs[cell] for i, cell in enumerate(cells, 1)}
+    specs |= {"K_vae": specs["R1"], "K_raw": specs["R8"], "K_pca": specs["R9"], "T_eff": specs["R12"], "T_vdim": specs["R13"], "T_pdim": specs["R14"]}
+    specs |= {f"D_{space}": replace(specs["R11"], spaces=(space,)) for space in SPACES.values()}
+    return {name: replace(spec, name=name) for name, spec in specs.items()}
+
+
+def sweep_settings(settings: Settings) -> list[Settings]:
+    """The single experiments of a sweep: one for each size, width and effort that is named."""
+    out = []
+    for k in settings.grid or (settings.k,):
+        for d in settings.dimensions or (settings.dimension,):
+            for population, generations in settings.efforts or ((settings.population, settings.generations),):
+                name = settings.name + f"_k{k}" * bool(settings.grid) + f"_d{d}" * bool(settings.dimensions) + f"_p{population}g{generations}" * bool(settings.efforts)
+                out.append(replace(settings, name=name, k=k, dimension=d, population=population, generations=generations, grid=(), dimensions=(), efforts=()))
+    return out
 
 
 def in_order(specs: Mapping[str, Settings]) -> list[list[str]]:
@@ -98,25 +143,46 @@ def evaluate_selection(units: DataFrame, chosen: DataFrame, target: str | None,
     return {k: float(v) for k, v in out.items() if v is not None}
 
 
-def select_by(units: DataFrame, method: str, regime: str, k: int, seed: int, sigma_sq: float) -> DataFrame:
+def hard_quotas(units: DataFrame, k: int, hard: str) -> DataFrame | None:
+    """Quotas by ``count`` or ``weight``; None for neither."""
+    if not hard:
+        return None
+    return quotas.quota_counts(groups.group_shares(units, weight="weight" if hard == "weight" else None), k, pi="pi_weight" if hard == "weight" else "pi")
+
+
+def select_by(units: DataFrame, method: str, regime: str, k: int, seed: int, sigma_sq: float, hard: str = "count") -> DataFrame:
     if regime == "exact":
         return selectors.select(units, method, k, seed=seed, sigma_sq=sigma_sq)
-    wanted = quotas.quota_counts(groups.group_shares(units, weight=None), k)
+    wanted = hard_quotas(units, k, hard)
     if regime == "quota":
         return selectors.select(units, method, quotas=wanted, seed=seed, sigma_sq=sigma_sq)
     return selectors.global_then_quota(units, method, wanted, k, seed=seed, sigma_sq=sigma_sq)
 
 
 def search_selection(units: DataFrame, settings: Settings, sigma_sq: float, seed: int) -> DataFrame:
-    """The knee of a search's front."""
-    dimension = units.select(F.size("vec").alias("d")).limit(1).first()["d"]
-    features = kernels.RandomFeatures.build(dimension, settings.features, sigma_sq, seed)
-    whole, anchors = features.mean(units), kernels.Anchors.build(units, 32, seed=seed)
-    score = lambda x: {"mmd2": float(((features(x).mean(axis=0) - whole) ** 2).sum()), "sinkhorn": anchors.divergence(x)}
-    found = evolution.search(units, settings.k, lambda c: kernels.per_candidate(units, c, score, ["mmd2", "sinkhorn"]), ["mmd2", "sinkhorn"], dict(settings.limits), population=settings.population, generations=settings.generations, seed=seed)
+    """The knee of a search's front, or the best selection for a single objective."""
+    names = list(settings.objectives)
+    built = objectives.Objectives.build(units, settings.features, 32, seed=seed)
+    found = evolution.search(
+        units, settings.k, lambda c: built.table(c, names), names, dict(settings.limits), hard_quotas(units, settings.k, settings.hard), settings.population, settings.generations, seed=seed
+    )
     front = found.frame(units.sparkSession)
-    best = comparison.knee(front, ["mmd2", "sinkhorn"]) if len(found.ids) > 1 else front
-    return best.select(F.explode("units").alias("unit_id"))
+    if len(found.ids) <= 1 or len(names) == 1:
+        return front.orderBy("violation", *names, "candidate").limit(1).select(F.explode("units").alias("unit_id"))
+    return comparison.knee(front, names).select(F.explode("units").alias("unit_id"))
+
+
+def constrained_selection(units: DataFrame, settings: Settings, method: str, regime: str, seed: int, sigma_sq: float) -> DataFrame:
+    """A selector's units under the settings' constraints: by hard quotas, then moved towards the limits."""
+    if not settings.hard and not settings.limits:
+        return select_by(units, method, regime, settings.k, seed, sigma_sq)
+    chosen = select_by(units, method, "quota" if settings.hard else regime, settings.k, seed, sigma_sq, settings.hard)
+    if not settings.limits:
+        return chosen
+    from .reports import repair_baseline
+
+    found = repair_baseline(units, chosen, settings.k, settings.limits, seed, keep_counts=bool(settings.hard))
+    return units.sparkSession.createDataFrame([(i,) for i in found], f"unit_id {dict(units.dtypes)['unit_id']}")
 
 
 def run_experiment(units: DataFrame, settings: Settings, target: str | None = None) -> DataFrame:
@@ -129,11 +195,11 @@ def run_experiment(units: DataFrame, settings: Settings, target: str | None = No
     for rep in range(settings.replicates):
         seed = settings.seed + rep
         for space in settings.spaces:
-            within = embed_space(units, space, seed=seed)
+            within = embed_space(units, space, settings.dimension, seed=seed)
             width = sigma_sq if space == "raw" else geometry.median_squared_distance(within, 500, seed=seed) / 2
             jobs = [(regime, method) for regime in settings.regimes for method in settings.methods] + [("limits", "search")] * settings.search
             for regime, method in jobs:
-                chosen = search_selection(within, settings, width, seed) if method == "search" else select_by(within, method, regime, settings.k, seed, width)
+                chosen = search_selection(within, settings, width, seed) if method == "search" else constrained_selection(within, settings, method, regime, seed, width)
                 chosen = units.sparkSession.createDataFrame([(r["unit_id"],) for r in chosen.select("unit_id").collect()], "unit_id long")  # k ids
                 figures = evaluate_selection(units, chosen, target, sigma_sq, settings.evaluation_rows, seed)
                 rows += [(settings.name, rep, space, regime, method, m, v) for m, v in sorted(figures.items())]
@@ -203,9 +269,10 @@ def run_all(units: DataFrame, specs: Mapping[str, Settings], path: str, target:
     spark = units.sparkSession
     for wave in in_order(specs):
         for name in wave:
-            folder = f"{path}/spec={specs[name].key()}"
-            if not is_complete(spark, folder) and (specs[name].methods or specs[name].search):
-                run_experiment(units, specs[name], target).write.mode("overwrite").parquet(folder)
+            for one in sweep_settings(specs[name]):
+                folder = f"{path}/spec={one.key()}"
+                if not is_complete(spark, folder) and (one.methods or one.search):
+                    run_experiment(units, one, target).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(path)
 
 

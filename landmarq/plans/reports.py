@@ -148,11 +148,13 @@ def time_methods(units: DataFrame, methods: Sequence[str], grid: Sequence[int],
     return units.sparkSession.createDataFrame(rows, "method string, k int, repeat int, seconds double")
 
 
-def repair_baseline(units: DataFrame, selection: DataFrame, k: int, limits: Mapping[str, float], seed: int = 0) -> list:
-    """Ids of a selection brought to ``k`` units and towards its limits."""
+def repair_baseline(units: DataFrame, selection: DataFrame, k: int, limits: Mapping[str, float], seed: int = 0, keep_counts: bool = False) -> list:
+    """Ids of a selection brought to ``k`` units and towards its limits, group counts as they are with ``keep_counts``; over ``evolution.MOST_UNITS`` units raise."""
     import numpy as np
 
-    table = units.select("unit_id", F.coalesce(F.col("grp").cast("string"), F.lit("null")).alias("grp"), F.greatest(F.coalesce(finite(F.col("weight")), F.lit(0.0)), F.lit(0.0)).alias("w")).orderBy("unit_id").limit(evolution.MOST_UNITS).toPandas()
+    table = units.select("unit_id", F.coalesce(F.col("grp").cast("string"), F.lit("null")).alias("grp"), (F.greatest(F.coalesce(finite(F.col("weight")), F.lit(0.0)), F.lit(0.0)) if "weight" in units.columns else F.lit(1.0)).alias("w")).orderBy("unit_id").limit(evolution.MOST_UNITS + 1).toPandas()
+    if len(table) > evolution.MOST_UNITS:
+        raise ValueError(f"over {evolution.MOST_UNITS} units; repair among a sample of them")
     ids = table["unit_id"].to_numpy()
     _, groups = np.unique(table["grp"].to_numpy(), return_inverse=True)
     members = [np.flatnonzero(groups == g) for g in range(groups.max() + 1)]
@@ -160,5 +162,5 @@ def repair_baseline(units: DataFrame, selection: DataFrame, k: int, limits: Mapp
     bounds = [evolution.Proportionality(np.bincount(groups, w) / w.sum() if kind == "weight" else np.bincount(groups) / len(groups), w if kind == "weight" else None, 1.0, limit) for kind, limit in sorted(limits.items())]
     random = np.random.default_rng(seed)
     chosen = np.flatnonzero(np.isin(ids, [r["unit_id"] for r in selection.select("unit_id").distinct().collect()]))
-    fixed = evolution.repair_constraints(evolution.repair_size(random, chosen, len(ids), k), groups, members, bounds, random)
+    fixed = evolution.repair_constraints(evolution.repair_size(random, chosen, len(ids), k), groups, members, bounds, random, keep_counts)
     return ids[fixed].tolist()

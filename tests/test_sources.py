@@ -81,6 +81,19 @@ def test_artifacts(spark, tmp_path):
     assert not sinks.is_complete(spark, f"{at}/sp")
 
 
+def test_constrained_runs(spark):
+    """Quotas hold exactly, limits are neared, a search of one objective gives one selection."""
+    units = readers.synthetic_units(spark, 150, 5, 3, seed=2).withColumnRenamed("target", "y").withColumn("weight", (F.col("unit_id") % 7 + 1).cast("double")).cache()
+    wanted = {r.grp: r.c for r in experiment.hard_quotas(units, 9, "weight").collect()}
+    base = experiment.Settings(k=9, methods=("farthest",), evaluation_rows=60, population=6, generations=1)
+    counts = lambda frame: {r.grp: r["count"] for r in units.join(frame, "unit_id").groupBy("grp").count().collect()}
+    assert counts(experiment.constrained_selection(units, experiment.replace(base, hard="weight"), "farthest", "exact", 0, 4.0).select("unit_id")) == wanted
+    assert experiment.constrained_selection(units, experiment.replace(base, limits={"count": 0.02}), "farthest", "exact", 0, 4.0).count() == 9
+    for one in (experiment.replace(base, objectives=("mmd2",)), experiment.replace(base, hard="weight", limits={"count": 0.5}, objectives=("mmd2", "sinkhorn", "skl"))):
+        found = experiment.search_selection(units, one, 4.0, 0)
+        assert found.count() == 9 and (not one.hard or counts(found) == wanted)
+
+
 def test_experiments(spark, tmp_path):
     units = readers.synthetic_units(spark, 150, 5, 3, seed=2).withColumnRenamed("target", "y").cache()
     settings = experiment.Settings(name="s", k=9, methods=("uniform", "farthest"), regimes=("exact", "quota"), evaluation_rows=80)
@@ -89,7 +102,14 @@ def test_experiments(spark, tmp_path):
     kl = {r.regime: r.v for r in rows.where("metric = 'geo_kl'").groupBy("regime").agg(F.max("value").alias("v")).collect()}
     assert kl["quota"] <= kl["exact"] + 1e-12
     assert experiment.championship_of(rows).count() == 2
-    assert experiment.in_order(experiment.run_specs())[0] == ["R0", "R10", "R12", "R8"]
+    specs = experiment.run_specs()
+    waves = experiment.in_order(specs)
+    assert waves[0] == ["R0"] and set(waves[2]) == {"R11", "D_raw", "D_vae", "D_pca"}
+    assert {f"R{i}" for i in range(16)} | {f"G{i}" for i in range(1, 49)} | {f"{a}_{b}_{c}" for a in "NB" for b in "rvp" for c in experiment.CONSTRAINTS} <= set(specs)
+    same = lambda a, b: experiment.replace(specs[a], name="") == experiment.replace(specs[b], name="")
+    assert same("G5", "B_r_ph") and same("G8", "B_r_0") and same("G17", "N_r_ps") and same("G31", "B_r_ps") and same("G40", "B_r_hs") and same("G48", "B_p_hs") and same("G13", "B_v_ph")
+    assert [x.k for x in experiment.sweep_settings(specs["R8"])] == list(experiment.SIZES) and [x.dimension for x in experiment.sweep_settings(specs["R13"])] == list(experiment.WIDTHS)
+    assert len({x.name for x in experiment.sweep_settings(specs["R12"])}) == 4 and experiment.sweep_settings(specs["R6"])[0].name == "R6"
     with pytest.raises(ValueError):
         experiment.in_order({"a": experiment.Settings(after=("b",)), "b": experiment.Settings(after=("a",))})
     assert experiment.quota_report(units, [5, 9]).count() == 6
