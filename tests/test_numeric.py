@@ -200,6 +200,105 @@ def test_search_beats_chance_and_keeps_limits(units):
     assert [s.tolist() for s in found.ids] == [s.tolist() for s in again.ids]
 
 
+@pytest.mark.parametrize("method", ["farthest", "determinantal", "herding", "plus_plus", "leverage"])
+def test_greedy_selectors_choose_the_same_beyond_the_pool(units, method):
+    """Passes over the table give the picks that one task makes, by size and by quota; some vectors come twice."""
+    rows = units.union(units.withColumn("unit_id", F.col("unit_id") + 100_000).limit(15))
+    ids = lambda frame: sorted(r.unit_id for r in frame.collect())
+    for k in (1, 9):
+        assert ids(selectors.select(rows, method, k, seed=4, sigma_sq=4.0, pool=30)) == ids(selectors.select(rows, method, k, seed=4, sigma_sq=4.0))
+    wanted = rows.groupBy("grp").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("c"))
+    if method != "leverage":
+        assert ids(selectors.select(rows, method, quotas=wanted, seed=4, sigma_sq=4.0, pool=3)) == ids(selectors.select(rows, method, quotas=wanted, seed=4, sigma_sq=4.0))
+
+
+def test_nearest_in_blocks(units, monkeypatch):
+    """Beyond the size that is broadcast, blocks meet blocks; nothing changes."""
+    few = units.where("unit_id % 3 = 0")
+    rows = lambda frame: sorted(map(tuple, frame.select("unit_id", "neighbour", "place").collect()))
+    near = lambda: sorted((r[0], r[1], round(r[2], 9)) for r in geometry.nearest_chosen(units, few.select("unit_id")).collect())
+    want, want_near = rows(geometry.nearest_neighbours(units, few, 4)), near()
+    monkeypatch.setattr(geometry, "BROADCAST_ROWS", 7)
+    assert rows(geometry.nearest_neighbours(units, few, 4)) == want
+    assert near() == want_near
+
+
+@pytest.mark.parametrize(("hidden", "activation"), [(5, "tanh"), ((7, 4), "tanh"), ((6, 5, 4), "relu")])
+def test_autoencoder_gradients(hidden, activation):
+    """Slopes of every layer against small differences of the loss."""
+    random = np.random.default_rng(1)
+    model = embedding.Autoencoder(embedding.MixedColumns((0, 1), (2,), ((3, 3),)), 2, hidden, 3, activation)
+    x = model.columns.inputs(np.column_stack([random.normal(size=(20, 2)), random.integers(0, 2, 20), random.integers(0, 3, 20)]))
+    model._start(x.shape[1])
+    model.weights |= {k: random.normal(0, 0.3, w.shape) for k, w in model.weights.items() if k[0] == "b"}  # off the corners of relu
+    noise = random.normal(size=(20, 2))
+    _, grads = model._loss(x, noise, 0.7)
+    assert set(grads) == set(model.weights)
+    for name, slope in grads.items():
+        at = tuple(random.integers(0, n) for n in slope.shape)
+        value = model.weights[name][at]
+        sides = []
+        for step in (1e-5, -1e-5):
+            model.weights[name][at] = value + step
+            sides.append(model._loss(x, noise, 0.7)[0])
+        model.weights[name][at] = value
+        assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(slope[at], abs=1e-5, rel=1e-4)
+
+
+def test_mixed_starts():
+    assert evolution.shares_of(10, [("a", 0.5), ("b", 0.25), ("c", 0.25)]) == ["a"] * 5 + ["b"] * 2 + ["c"] * 3
+    assert evolution.shares_of(3, [("a", 1)]) == ["a"] * 3 and evolution.shares_of(0, [("a", 1)]) == []
+    with pytest.raises(ValueError):
+        evolution.shares_of(3, [("a", 0.0)])
+    random = np.random.default_rng(0)
+    weights = np.r_[np.full(10, 100.0), np.full(90, 0.01), np.zeros(5)]
+    drawn = np.concatenate([evolution.weighted_start(random, weights, 8) for _ in range(50)])
+    assert (drawn < 10).mean() > 0.9 and (drawn < 100).all()
+    assert all(len(set(evolution.weighted_start(random, weights, 103).tolist())) == 103 for _ in range(3))
+
+
+def _spread(units):
+    return lambda c: c.join(units.select("unit_id", "vec"), "unit_id").groupBy("candidate").agg(F.abs(F.avg(F.col("vec")[0])).alias("a"), F.abs(F.avg(F.col("vec")[1])).alias("b"))
+
+
+def test_search_starts_by_weight_and_repairs_with_least_harm(units):
+    rows = units.withColumn("gain", F.when(F.col("unit_id") % 10 == 0, 1000.0).otherwise(0.001))
+    first = []
+    evolution.search(rows, 8, _spread(rows), ["a", "b"], population=6, generations=1, seed=2, starts=(("weighted", 1.0),), start_weight="gain", crossover_chance=0.0, mutation_chance=0.0, on_generation=lambda g, pop, f: first.extend(pop))
+    assert np.mean([i % 10 == 0 for s in first for i in s]) > 0.8
+    asked = []
+    harm = lambda s: asked.append(len(s)) or float(s.sum())
+    found = evolution.search(rows, 8, _spread(rows), ["a", "b"], population=6, generations=2, seed=2, harm=harm, starts=(("uniform", 0.5), ("weighted", 0.5)), start_weight="gain")
+    assert asked and all(len(set(s.tolist())) == 8 for s in found.ids)
+    with pytest.raises(ValueError, match="unknown starts"):
+        evolution.search(rows, 8, _spread(rows), ["a", "b"], starts=(("best", 1.0),))
+
+
+def test_search_goes_on_from_its_checkpoint(spark, units, tmp_path):
+    """A search that broke off after any generation ends as one that ran through."""
+    options = {"population": 8, "generations": 4, "seed": 3}
+    whole = evolution.search(units, 10, _spread(units), ["a", "b"], {"count": 0.05}, **options)
+    path = f"file://{tmp_path}/state"
+
+    class Stopped(Exception):
+        pass
+
+    def broken(generation, pop, f):
+        if generation == 2:
+            raise Stopped
+
+    with pytest.raises(Stopped):
+        evolution.search(units, 10, _spread(units), ["a", "b"], {"count": 0.05}, checkpoint=path, on_generation=broken, **options)
+    assert [p.name for p in (tmp_path / "state").iterdir()] == ["generation-000001"]
+    rest = []
+    resumed = evolution.search(units, 10, _spread(units), ["a", "b"], {"count": 0.05}, checkpoint=path, on_generation=lambda g, pop, f: rest.append(g), **options)
+    assert rest == [2, 3]
+    assert [s.tolist() for s in resumed.ids] == [s.tolist() for s in whole.ids] and np.allclose(resumed.objectives, whole.objectives)
+    assert resumed.log.columns.equals(whole.log.columns) and np.allclose(resumed.log.to_numpy(float), whole.log.to_numpy(float))
+    with pytest.raises(ValueError, match="another search"):
+        evolution.search(units, 11, _spread(units), ["a", "b"], {"count": 0.05}, checkpoint=path, **options)
+
+
 # -- linear models and panels -----------------------------------------------
 
 
@@ -274,7 +373,7 @@ def test_autoencoder(spark):
     inputs = columns.inputs(x[:20])
     noise, base = random.normal(size=(20, 2)), model._loss
     grads = base(inputs, noise, 0.7)[1]
-    for name in ("we", "wm", "wv", "wd", "wo", "bo"):  # gradients against differences
+    for name in ("we0", "wm", "wv", "wd0", "wo", "bo"):  # gradients against differences
         at = tuple(0 for _ in model.weights[name].shape)
         keep = model.weights[name][at]
         model.weights[name][at] = keep + 1e-5
