@@ -123,14 +123,24 @@ def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int
 
 
 def kendall(rows: DataFrame, x: str, y: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """``tau`` (tau-b) for each ``by``: meant for group means, whose pairs are few. 0 where either is constant."""
+    """``tau`` (tau-b) for each ``by``; 0 where either is constant.
+
+    No pair of rows is made where values repeat: rows with the same ``x`` and ``y`` count together, so
+    what is paired is one row for each distinct pair of values of a group. It is meant for group means and ranks, whose distinct
+    pairs are few; rows with a null or NaN on either side are left out. ``key`` is of no account beyond its being there.
+    """
     keys = list(by)
-    a = rows.select(*keys, F.col(key).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = rows.select(*keys, F.col(key).alias("_j"), F.col(x).alias("_u"), F.col(y).alias("_v"))
-    pairs = (a.join(b, keys) if keys else a.crossJoin(b)).where("_i < _j")
-    sx, sy = F.signum(F.col("_x") - F.col("_u")), F.signum(F.col("_y") - F.col("_v"))
-    base = F.sqrt(F.sum(F.abs(sx))) * F.sqrt(F.sum(F.abs(sy)))
-    return pairs.groupBy(*keys).agg(F.when(base > 0, F.sum(sx * sy) / base).otherwise(0.0).alias("tau"))
+    given = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    held = given.where(~F.isnan("_x") & ~F.isnan("_y")).groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    other = held.select(*keys, F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_n").alias("_m"))
+    pairs = (held.join(other, keys) if keys else held.crossJoin(other)).where((F.col("_x") < F.col("_u")) | ((F.col("_x") == F.col("_u")) & (F.col("_y") < F.col("_v"))))
+    sx, sy, weight = F.signum(F.col("_u") - F.col("_x")), F.signum(F.col("_v") - F.col("_y")), F.col("_n") * F.col("_m")
+    base = F.sqrt(F.sum(F.abs(sx) * weight)) * F.sqrt(F.sum(F.abs(sy) * weight))
+    found = pairs.groupBy(*keys).agg(F.when(base > 0, F.sum(sx * sy * weight) / base).otherwise(0.0).alias("tau"))
+    if not keys:
+        return found
+    several = held.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    return several.join(found, keys, "left").withColumn("tau", F.coalesce("tau", F.lit(0.0)))
 
 
 # -- stability of group figures -------------------------------------------

@@ -372,29 +372,39 @@ def _apply_label(rows: DataFrame, kind: str, columns: Sequence[str], out: str, p
     return {"tercile": tercile_bin, "quartile": quartile_bin, "quintile": quintile_bin, "extreme": extreme_bin}[kind](rows, columns[0], out)
 
 
+def _classes(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, float]]:
+    """How many classes each of ``names`` has (missing is one) and the share of its smallest: one count for all."""
+    labelled = F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.col(n).cast("string").alias("value")) for n in names)))
+    counts = rows.select(labelled.alias("_l")).groupBy("_l.label", "_l.value").count()
+    found = counts.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), (F.min("count") / F.sum("count")).alias("least")).collect()  # a row for each label
+    return {r["label"]: (r["classes"], r["least"]) for r in found}
+
+
 def derive_labels(rows: DataFrame, labels: Sequence[Label] = LABELS) -> tuple[DataFrame, list[str]]:
     """``rows`` with every label whose columns are there and whose smallest class is large enough, and their names.
 
-    A label that fails takes its fallback if that passes. One count of classes checks each.
+    A label that fails takes its fallback if that passes. One count of classes checks all labels, a second one all fallbacks.
     """
-    from .groups import smallest_class_share
-
-    made = []
+    present = {}
     for label in labels:
         columns = [resolve_column(rows, [c, c.replace(" ", "_")], required=False) for c in label.columns]
-        if None in columns:
+        if None not in columns:
+            present[label.name] = (label, columns)
+    made: dict[str, str] = {}
+    for first in (True, False):
+        kinds = {n: label.kind if first else label.fallback for n, (label, _) in present.items() if n not in made}
+        kinds = {n: kind for n, kind in kinds.items() if kind is not None}
+        if not kinds:
             continue
-        for kind in (label.kind, label.fallback):
-            if kind is None:
-                continue
-            tried = _apply_label(rows, kind, columns, label.name, label.parameter)
-            share = smallest_class_share(tried, label.name).first()["smallest"]
-            classes = tried.select(label.name).distinct().count()
-            if share is not None and classes >= 2 and share >= label.least_share:
-                rows = tried
-                made.append(label.name)
-                break
-    return rows, made
+        tried = rows
+        for name, kind in kinds.items():
+            tried = _apply_label(tried, kind, present[name][1], name, present[name][0].parameter)
+        found = _classes(tried, list(kinds))
+        made |= {n: kind for n, kind in kinds.items() if n in found and found[n][0] >= 2 and found[n][1] >= present[n][0].least_share}
+    for name in present:
+        if name in made:
+            rows = _apply_label(rows, made[name], present[name][1], name, present[name][0].parameter)
+    return rows, [n for n in present if n in made]
 
 
 def regression_targets(rows: DataFrame, names: Mapping[str, Sequence[str]]) -> DataFrame:
