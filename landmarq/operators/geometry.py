@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import shuffle_key
-from ..functions.vectors import gaussian_kernel, squared_distance
+from ..functions.vectors import squared_distance
 from ..shipping import ship
-from .kernels import squared_distances, sum_matrix, vectors_of
+from .kernels import against, chunks, column_sums, complete, gaussian, spread, squared_distances, sum_matrix, vectors_of
 
 #: Chosen vectors up to this many are broadcast.
 BROADCAST_ROWS = 20_000
@@ -175,15 +175,25 @@ def representation_error(units: DataFrame, selection: DataFrame) -> DataFrame:
 def mmd_exact(x: DataFrame, y: DataFrame, sigma_sq: float) -> DataFrame:
     """One row: ``mmd2``, the squared mean discrepancy of two sets of vectors under a Gaussian kernel, all pairs included.
 
-    Every pair is looked at, so this is for bounded sets; ``kernels.RandomFeatures`` serves whole tables.
+    Every pair is looked at, as matrix products of batches and chunks (see ``kernels.against``), so the work grows with the square of the rows;
+    ``kernels.RandomFeatures`` serves large tables. Null without a vector on either side.
     """
-
-    def mean(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        left, right = a.select(F.col("vec").alias("_a")), b.select(F.col("vec").alias("_b"))
-        return left.crossJoin(_small(right)).agg(F.avg(gaussian_kernel(F.col("_a"), F.col("_b"), sigma_sq)).alias(name))
-
-    parts = mean(x, x, "xx").crossJoin(mean(y, y, "yy")).crossJoin(mean(x, y, "xy"))
-    return parts.select((F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("mmd2"))
+    x, y = (complete(r).select("unit_id", F.col("vec").cast("array<double>").alias("vec")) for r in (x, y))
+    n, m = x.count(), y.count()
+    out = "mmd2 double"
+    if not n or not m:
+        return x.sparkSession.createDataFrame([(None,)], out)
+    # Distances don't hang on the origin, but products keep more digits near it.
+    total, _ = column_sums(x, "vec")
+    centre = total / n
+    all_x, all_y = (chunks(r, function=lambda v: v - centre) for r in (x, y))
+
+    def kernel(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return gaussian(v, points, sigma_sq).sum(axis=1, keepdims=True)
+
+    across, _ = column_sums(spread(x, n * (n + m)), "vec", lambda v: np.hstack([against(v - centre, all_x, kernel), against(v - centre, all_y, kernel)]))
+    inside, _ = column_sums(spread(y, m * m), "vec", lambda v: against(v - centre, all_y, kernel))
+    return x.sparkSession.createDataFrame([(float(across[0] / n / n + inside[0] / m / m - 2 * across[1] / n / m),)], out)
 
 
 def median_squared_distance(units: DataFrame, sample: int = 2048, seed: int | str = 0, least: float = 1e-6) -> float:

@@ -83,6 +83,19 @@ def test_log_determinant_prefers_spread():
     assert kernels.negative_log_determinant(X[:5] * 10, 1.0) < kernels.negative_log_determinant(X[:5] * 0.01, 1.0)
 
 
+def test_every_pair_in_chunks(units, monkeypatch):
+    """The discrepancy of all units by chunks is that of whole matrices; rows without a whole vector take no part."""
+    whole = kernels.gaussian(X, X, 4.0)
+    some = [i for i in range(120) if i % 7 == 0]
+    want = whole.mean() + whole[np.ix_(some, some)].mean() - 2 * whole[:, some].mean()
+    monkeypatch.setattr(kernels, "CHUNK", 32)
+    holed = units.select("unit_id", "vec").union(units.selectExpr("unit_id + 1000", "if(unit_id < 3, null, array(double(null)))").limit(5))
+    assert geometry.mmd_exact(holed, units.where("unit_id % 7 = 0"), 4.0).first().mmd2 == pytest.approx(want, abs=1e-12)
+    assert geometry.mmd_exact(units.where("false"), units, 4.0).first().mmd2 is None
+    plan = geometry.mmd_exact(units, units, 4.0)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_too_many_vectors(units):
     with pytest.raises(ValueError):
         kernels.matrix(units, most=10)
