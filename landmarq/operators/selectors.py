@@ -68,6 +68,30 @@ def lloyd(x: np.ndarray, k: int, random: np.random.Generator, steps: int = 50, f
     return centres, labels
 
 
+def lloyd_passes(units: DataFrame, centres: np.ndarray, steps: int = 50) -> np.ndarray:
+    """``lloyd`` from given centres over a table of any size: a sum for each centre at each step, until the centres rest."""
+    k = len(centres)
+
+    def step(now: np.ndarray) -> np.ndarray:
+        def sums(batch: pa.RecordBatch) -> np.ndarray:
+            x = vectors_of(batch.column(0))
+            out = np.zeros((k, x.shape[1] + 1))
+            np.add.at(out, squared_distances(x, now).argmin(axis=1), np.column_stack([x, np.ones(len(x))]))
+            return out
+
+        total = sum_matrix(units.select("vec"), sums)
+        after, some = now.copy(), total[:, -1] > 0
+        after[some] = total[some, :-1] / total[some, -1:]
+        return after
+
+    for _ in range(steps):
+        after = step(centres)
+        if np.array_equal(after, centres):
+            break
+        centres = after
+    return centres
+
+
 def _fill(chosen: list[int], n: int, k: int, random: np.random.Generator, keys: np.ndarray | None = None) -> np.ndarray:
     """Distinct indices, topped up to k at random or by least key."""
     out = list(dict.fromkeys(chosen))[:k]

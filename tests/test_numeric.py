@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from landmarq.functions import vectors
-from landmarq.operators import embedding, evolution, geometry, kernels, linear, models, panel, quotas, selectors
+from landmarq.operators import embedding, evolution, geometry, kernels, linear, models, objectives, panel, quotas, selectors
 from landmarq.operators.groups import group_shares
 from pyspark.sql import functions as F
 
@@ -431,6 +431,15 @@ def test_objectives_agree_with_their_parts(units):
         made.table(candidates, ["nothing"])
 
 
+@pytest.mark.parametrize("method", ["kmeans", "farthest"])
+def test_anchors_are_the_same_beyond_the_pool(units, method):
+    """All units stand behind the anchors, whether they are held or gone over."""
+    held, over = (kernels.Anchors.build(units, 8, method, pool=p) for p in (200, 20))
+    order = [a.points[np.lexsort(a.points.T)] for a in (held, over)]
+    assert order[0] == pytest.approx(order[1], abs=1e-9) and sorted(held.weights) == pytest.approx(sorted(over.weights))
+    assert held.divergence(X[:20]) == pytest.approx(over.divergence(X[:20]), abs=1e-9)
+
+
 def test_exact_determinantal_chances():
     """Chances of all pairs against determinants."""
     import itertools
