@@ -29,10 +29,10 @@ class Objectives:
     variance: np.ndarray
 
     @classmethod
-    def build(cls, units: DataFrame, features: int = 256, anchors: int = 64, scale: float = 1.0, seed: int = 0) -> Objectives:
-        """Bandwidth: half the median squared distance times ``scale``. One scan for the embedding, one for the moments, one for the anchors' weights."""
+    def build(cls, units: DataFrame, features: int = 256, anchors: int = 64, scale: float = 1.0, seed: int = 0, sample: int = 2048) -> Objectives:
+        """Bandwidth: half the median squared distance of the pairs of ``sample`` units, times ``scale``. One scan for the embedding, one for the moments, those of the anchors."""
         rows = units.select("unit_id", "vec")
-        sigma_sq = median_squared_distance(rows, seed=seed) / 2 * scale
+        sigma_sq = median_squared_distance(rows, sample, seed) / 2 * scale
         dimension = rows.select(F.size("vec").alias("d")).limit(1).first()["d"]
         mapped = RandomFeatures.build(dimension, features, sigma_sq, seed)
         sums, n = column_sums(map_vectors(rows.select("vec"), lambda x: np.hstack([x, x * x])))

@@ -18,6 +18,8 @@ from .queries import rounded
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 K, FEATURES = 40, 128
+#: Units whose pairs give a bandwidth, here and in the SQL.
+SAMPLE = 500
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,7 +28,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def _bandwidth(rows: DataFrame) -> float:
-    return geometry.median_squared_distance(rows, 500) / 2
+    return geometry.median_squared_distance(rows, SAMPLE) / 2
 
 
 def _candidates(rows: DataFrame, count: int = 12) -> DataFrame:
@@ -223,7 +225,7 @@ def bootstrap_targets(spark, d):
 @query
 def objective_table(spark, d):
     rows = tables.vectors(spark, d)
-    return objectives.Objectives.build(rows, FEATURES, 32).table(_candidates(rows))
+    return objectives.Objectives.build(rows, FEATURES, 32, sample=SAMPLE).table(_candidates(rows))
 
 
 @query

@@ -440,6 +440,11 @@ def test_anchors_are_the_same_beyond_the_pool(units, method):
     assert held.divergence(X[:20]) == pytest.approx(over.divergence(X[:20]), abs=1e-9)
 
 
+def test_bandwidth_of_objectives_goes_by_the_sample_asked_for(units):
+    built = objectives.Objectives.build(units, 16, 4, sample=30)
+    assert built.sigma_sq == geometry.median_squared_distance(units, 30) / 2 != objectives.Objectives.build(units, 16, 4).sigma_sq
+
+
 def test_exact_determinantal_chances():
     """Chances of all pairs against determinants."""
     import itertools
