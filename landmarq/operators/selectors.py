@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import shuffle_key
 from ..shipping import ship
 from ..storage import materialise
-from .kernels import RandomFeatures, gaussian, hashed_uniform, leverage_scores, squared_distances, sum_matrix, vectors_of
+from .kernels import RandomFeatures, complete, gaussian, hashed_uniform, leverage_scores, squared_distances, sum_matrix, vectors_of
 from .quotas import quota_sample, uniform_sample
 
 #: Vectors that one task chooses from.
@@ -511,3 +511,92 @@ def sample_determinantal(kernel: np.ndarray, k: int, random: np.random.Generator
         if basis.shape[1]:
             basis = np.linalg.qr(basis)[0]
     return np.array(chosen)
+
+
+def draw_determinantal(units: DataFrame, k: int, sigma_sq: float, seed: int = 0, draws: int = 1, least: float = 1e-7) -> DataFrame:
+    """``draw, unit_id``: exact draws of ``k`` units with chance in proportion to the determinant of their part of the Gaussian kernel, at any size.
+
+    The kernel's diagonal is 1, so by Hadamard's inequality no determinant exceeds 1: ``k`` units proposed at random and taken with the chance of
+    their determinant have that law, and only proposals are looked at. Equal vectors make a determinant 0, so they are one class, proposed with
+    the chance of its units, of which one is drawn in the end. How many proposals a draw takes hangs on how near the units lie, not on their
+    number. ValueError for fewer than ``k`` different vectors, or where under one proposal in 1 / ``least`` is taken.
+    """
+    spark = units.sparkSession
+    ship(spark)
+    kind = dict(units.dtypes)["unit_id"]
+    rows = complete(units).select("unit_id", F.col("vec").cast("array<double>").alias("vec"))
+    classes = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("w"), F.min("unit_id").alias("unit_id"))
+    # A class has a place in its bucket of those of its weight: no window goes over the whole table.
+    buckets = max(1, rows.count() // POOL)
+    place = F.row_number().over(Window.partitionBy("w", "bucket").orderBy("unit_id")) - 1
+    classes = materialise(classes.withColumn("bucket", F.pmod(F.xxhash64("unit_id"), F.lit(buckets)).cast("long")).withColumn("place", place.cast("long")), "classes")
+    sizes = classes.groupBy("w", "bucket").count().orderBy("w", "bucket").toPandas()
+    if sizes["count"].sum() < k:
+        raise ValueError(f"fewer than {k} different vectors")
+    weights, starts = np.unique(sizes["w"].to_numpy(), return_index=True)
+    ends = [np.cumsum(part) for part in np.split(sizes["count"].to_numpy(), starts[1:])]
+    shares = _weight_shares(weights, np.array([e[-1] for e in ends]), k)
+    random = np.random.default_rng(seed)
+    taken: list[int] = []
+    proposed, first = [], 0
+    while len(taken) < draws:
+        now = min(max(4096, 2 * first), 1 << 17)
+        some = []
+        for p in range(first, first + now):
+            left = k
+            for i in range(len(weights) - 1, -1, -1):
+                j = int(random.choice(left + 1, p=shares[i][left])) if i else left
+                for at in random.choice(int(ends[i][-1]), j, replace=False, shuffle=False) if j else ():
+                    bucket = int(np.searchsorted(ends[i], at, side="right"))
+                    some.append((p, int(weights[i]), int(sizes["bucket"][starts[i] + bucket]), int(at - (ends[i][bucket - 1] if bucket else 0))))
+                left -= j
+        wanted = spark.createDataFrame(pd.DataFrame(some, columns=["candidate", "w", "bucket", "place"]))
+        found = materialise(classes.join(F.broadcast(wanted), ["w", "bucket", "place"]).select("candidate", "unit_id", "vec", "w"), "proposals")
+        scored = found.repartition(16, "candidate").groupBy("candidate").applyInArrow(lambda t: _log_determinant(t, sigma_sq), "candidate long, value double").toPandas().set_index("candidate")["value"]
+        luck = np.log(random.random(now))
+        hit = [first + i for i in range(now) if luck[i] < scored[first + i]]
+        proposed += [found.where(F.col("candidate").isin(hit))]
+        taken += hit
+        first += now
+        if len(taken) < draws and first * least > max(1, len(taken)):
+            raise ValueError(f"{len(taken)} of {first} proposals taken")
+    order = {p: i for i, p in enumerate(taken[:draws])}
+    out = []
+    for r in sorted((r for part in proposed for r in part.collect() if r["candidate"] in order), key=lambda r: (r["candidate"], r["unit_id"])):
+        unit = r["unit_id"]
+        if r["w"] > 1:
+            nth = int(random.integers(r["w"]))
+            same = rows.join(F.broadcast(spark.createDataFrame([(r["vec"],)], "vec array<double>")), "vec", "left_semi")
+            unit = same.select("unit_id").orderBy("unit_id").limit(nth + 1).agg(F.max("unit_id").alias("u")).first()["u"]
+        out.append((order[r["candidate"]], unit))
+    return spark.createDataFrame(out, f"draw int, unit_id {kind}")
+
+
+def _log_determinant(rows: pa.Table, sigma_sq: float) -> pa.Table:
+    rows = rows.sort_by("unit_id").combine_chunks()
+    x = vectors_of(rows.column("vec").chunk(0))
+    x = x - x.mean(axis=0)
+    sign, value = np.linalg.slogdet(gaussian(x, x, sigma_sq))
+    return pa.table({"candidate": rows.column("candidate").slice(0, 1), "value": pa.array([float(value) if sign > 0 else -np.inf])})
+
+
+def _weight_shares(weights: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each weight the chances of how many of the ``left`` classes still to draw have it, where sets of ``k`` classes are as likely as the product of their weights."""
+    from math import lgamma, log
+
+    choose = lambda n, j: lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    so_far = np.full(k + 1, -np.inf)  # logarithms of the sums over sets of the weights up to here
+    so_far[0] = 0.0
+    out = []
+    for w, n in zip(weights, counts):
+        own = np.array([choose(n, j) + j * log(w) if j <= n else -np.inf for j in range(k + 1)])
+        shares, after = [], np.full(k + 1, -np.inf)
+        for left in range(k + 1):
+            terms = own[: left + 1] + so_far[left::-1]
+            top = terms.max()
+            chances = np.exp(terms - top) if np.isfinite(top) else np.eye(left + 1)[0]
+            after[left] = top + log(chances.sum())
+            shares.append(chances / chances.sum())
+        so_far = after
+        out.append(shares)
+    return out

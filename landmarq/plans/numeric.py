@@ -244,6 +244,8 @@ def mmd_between_selections(spark, d):
 @query
 def determinantal_sample(spark, d):
     rows = tables.vectors(spark, d)
+    if rows.count() > kernels.EIGEN_ROWS:
+        return selectors.draw_determinantal(rows, 20, _bandwidth(rows)).select("unit_id")
     ids, x = kernels.matrix(rows)
     chosen = selectors.sample_determinantal(kernels.gaussian(x, x, _bandwidth(rows)), 20, np.random.default_rng(0))
     return spark.createDataFrame([(int(ids[i]),) for i in chosen], "unit_id long")

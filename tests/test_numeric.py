@@ -459,6 +459,44 @@ def test_exact_determinantal_chances():
     assert np.abs(np.array([counts.get(p, 0) / 4000 for p in pairs]) - dets / dets.sum()).max() < 0.03
 
 
+def test_determinantal_draws_from_a_table(spark):
+    """Chances of all pairs of units against determinants, two copies among them; tables of any size have that way."""
+    import itertools
+
+    a = np.random.default_rng(0).normal(size=(5, 3))
+    a[4] = a[1]
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(a)], "unit_id long, vec array<double>")
+    rows = selectors.draw_determinantal(frame.select("unit_id", "vec"), 2, 2.0, seed=1, draws=60).collect()
+    assert len(rows) == 120 and {1, 4} not in [{r.unit_id for r in rows if r.draw == d} for d in range(60)]
+    apart = frame.where("unit_id < 4")
+    rows = selectors.draw_determinantal(apart, 2, 2.0, seed=1, draws=2500).collect()
+    found, counts = {}, {}
+    for r in rows:
+        found.setdefault(r.draw, []).append(r.unit_id)
+    for pair in found.values():
+        counts[tuple(sorted(pair))] = counts.get(tuple(sorted(pair)), 0) + 1
+    pairs = list(itertools.combinations(range(4), 2))
+    kernel = kernels.gaussian(a, a, 2.0)
+    dets = np.array([np.linalg.det(kernel[np.ix_(p, p)]) for p in pairs])
+    assert len(found) == 2500 and np.abs(np.array([counts.get(p, 0) / 2500 for p in pairs]) - dets / dets.sum()).max() < 0.04
+    with pytest.raises(ValueError):
+        selectors.draw_determinantal(frame, 5, 2.0)
+
+
+def test_weights_of_copies():
+    """How many classes of each weight are drawn, against every set."""
+    import itertools
+
+    weights = [1, 1, 1, 3, 3, 7]
+    shares = selectors._weight_shares(np.array([1, 3, 7]), np.array([3, 2, 1]), 3)
+    sets = list(itertools.combinations(range(6), 3))
+    mass = np.array([np.prod([weights[i] for i in s]) for s in sets], float)
+    assert shares[2][3][1] == pytest.approx(mass[[5 in s for s in sets]].sum() / mass.sum())
+    pairs = list(itertools.combinations(range(5), 2))
+    mass = np.array([np.prod([weights[i] for i in s]) for s in pairs], float)
+    assert shares[1][2] == pytest.approx([mass[[sum(i > 2 for i in s) == j for s in pairs]].sum() / mass.sum() for j in range(3)])
+
+
 def test_growing_limits_and_floors(units):
     floors = evolution.greedy_floors(units, 12)
     assert 0 <= floors["count"] < 0.05 and set(floors) == {"count", "weight"}
