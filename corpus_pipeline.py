@@ -15,7 +15,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that five-word shingles liken by 0.8 or more."""
+    """One document, that with the smallest id, of each group that five-word shingles liken by 0.8 or more: near fingerprints first, then the rest, all verified."""
     return simhash.keep_one(docs, shingle_words=5, similarity=0.8)
 
 
@@ -31,7 +31,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 
-#: No SQL has the fitted language model, the fingerprints' sampled cells or the merges.
+#: No SQL has the fitted language model, the fingerprints' cells or the merges.
 ORACLE_SQL = None
 
 

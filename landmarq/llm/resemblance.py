@@ -1,6 +1,7 @@
 """Links between texts whose sets of shingles resemble each other, found and verified exactly.
 
-Two sets with resemblance ``similarity`` or more share one of the first ``n -
+Pairs that near fingerprints name are verified and joined first (see ``simhash``); what follows finds every pair
+that they leave apart. Two sets with resemblance ``similarity`` or more share one of the first ``n -
 ceil(similarity * n) + 1`` members of each in any common order (the prefix
 filter), so the cells are those shingles and no pair is lost, however short the
 texts are or often a line repeats. The order puts shingles that are frequent
@@ -311,20 +312,31 @@ def _open_pairs(crowded: DataFrame, described: DataFrame, labels: DataFrame | No
     return together.mapInArrow(_by_cell(each), "u long, v long").where("u <> v").distinct()
 
 
-def _links(texts: DataFrame, cells: DataFrame, described: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Verified links ``u, v``, enough to join each connected part of the texts in ``cells``.
+def _links(texts: DataFrame, cells: DataFrame, described: DataFrame, shingle_words: int, similarity: float, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Verified links ``u, v``, enough to join each connected part of the texts in ``cells``: those of ``near`` (links, and their ends' sets) and what they leave apart.
 
     In a crowded cell a forest over all open pairs is verified; where a link of it
     fails, the parts that are left apart are tried again, at last pair by pair, but no pair twice. Every text with an
-    open pair is in the first forest, so sets are made of the texts once.
+    open pair is in the first forest or has its set already, so sets are made of the texts once.
     """
     crowded = cells.where("cell is not null").select("cell", F.col("u").alias("rep"))
-    plain = materialise(_possible(cells.where("cell is null and u <> v").select("u", "v"), described, similarity), "possible")
-    forest = materialise(_open_pairs(crowded, described, None, similarity, 0), "open-pairs")
+    labels = None if near is None else connected_components(near[0])
+    plain = cells.where("cell is null and u <> v").select("u", "v")
+    if labels is not None:
+        ends = [labels.select(F.col("node").alias(e), F.col("component").alias(f"c_{e}")).hint("merge") for e in ("u", "v")]
+        plain = plain.join(ends[0], "u", "left").join(ends[1], "v", "left").where("c_u is null or c_v is null or c_u <> c_v").select("u", "v")
+    plain = materialise(_possible(plain, described, similarity), "possible")
+    forest = materialise(_open_pairs(crowded, described, labels, similarity, 0), "open-pairs")
     tried = plain.union(forest).distinct()
-    sets = _sets(texts, tried.select(F.explode(F.array("u", "v")).alias("id")), shingle_words)
+    wanted = tried.select(F.explode(F.array("u", "v")).alias("id"))
+    if near is not None:  # any member of a part may be tried in a later round, and all of them are there
+        wanted = wanted.join(near[1].select("id").hint("merge"), "id", "left_anti")
+    made = _sets(texts, wanted, shingle_words)
+    sets = made if near is None else made.union(near[1])
     links = materialise(resembling(tried, sets, similarity), "links")
-    failed = forest.join(links.hint("merge"), ["u", "v"], "left_anti")
+    found = links
+    links = links if near is None else links.union(near[0])
+    failed = forest.join(found.hint("merge"), ["u", "v"], "left_anti")
     for turn in range(1, ROUNDS):
         if failed.isEmpty():  # the forest held, so what it joins is one part
             break
@@ -332,12 +344,29 @@ def _links(texts: DataFrame, cells: DataFrame, described: DataFrame, shingle_wor
         good = materialise(resembling(forest, sets, similarity), "links")
         # A pair that had failed before may stand for the next forest's, so only the last round settles what is left.
         tried, links = tried.union(forest), links.union(good)
-    discard(sets)
+    for one in (made, *(near[1:] if near else ())):
+        discard(one)
     return links
 
 
-def resemblance_components(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``id, component_id`` of documents ``id, text`` with unique integer ids: equal sets first, then links between their least ids."""
+def _fingerprint_links(texts: DataFrame, reps: DataFrame, described: DataFrame, linker: Callable, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``u, v`` among the pairs that ``linker`` finds by the fingerprints of ``reps`` (``rep, fp``), and the sets (``id, members``) of all these pairs.
+
+    Sets with equal fingerprints are candidates of the least id among them.
+    """
+    distinct = materialise(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct")
+    stars = reps.join(distinct.select("fp", F.col("rep").alias("u")).hint("merge"), "fp").select("u", F.col("rep").alias("v")).where("u <> v")
+    pairs = materialise(_possible(linker(distinct, distinct.count()).union(stars), described, similarity), "near-fingerprints")
+    sets = _sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("id")), shingle_words)
+    return materialise(resembling(pairs, sets, similarity), "links"), sets
+
+
+def resemblance_components(docs: DataFrame, shingle_words: int, similarity: float, linker: Callable | None = None, fingerprint: Callable | None = None) -> DataFrame:
+    """``id, component_id`` of documents ``id, text`` with unique integer ids: equal sets first, then links between their least ids.
+
+    ``linker`` finds near pairs ``u, v`` of a table ``rep, fp`` by the ``fingerprint`` of the sets; what it finds is verified and
+    joined first, and only pairs that this leaves apart are looked for by common shingles.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["id"].dataType
     texts = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
@@ -352,18 +381,20 @@ def resemblance_components(docs: DataFrame, shingle_words: int, similarity: floa
                 columns = [
                     part.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([prefix(s, similarity, frequent, counts).tobytes() for s in sets], pa.binary()), pa.array([parities(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([None if fingerprint is None else fingerprint(s) for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "set_key", "n", "members", "parities"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "set_key", "n", "members", "parities", "fp"])
 
-    rows = materialise(texts.mapInArrow(scan, "id long, set_key binary, n long, members binary, parities binary"), "set-keys")
+    rows = materialise(texts.mapInArrow(scan, "id long, set_key binary, n long, members binary, parities binary, fp binary"), "set-keys")
     keys = materialise(rows.select("id", "set_key"), "keys")
     least = materialise(keys.groupBy("set_key").agg(F.min("id").alias("rep")), "least")
     # As many sets as texts, nearly, so nothing is broadcast.
     reps = rows.join(least.select(F.col("rep").alias("_r")).hint("merge"), F.col("id") == F.col("_r"), "left_semi").withColumnRenamed("id", "rep")
     described = materialise(reps.select("rep", "n", "parities"), "described")
+    near = None if linker is None else _fingerprint_links(texts, materialise(reps.select("rep", "fp"), "set-fingerprints"), described, linker, shingle_words, similarity)
     cells = materialise(_cells(reps, similarity), "cells")
     discard(rows)
-    parts = connected_components(_links(texts, cells, described, shingle_words, similarity))
+    parts = connected_components(_links(texts, cells, described, shingle_words, similarity, near))
     discard(described)
     discard(cells)
     named = least.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

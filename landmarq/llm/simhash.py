@@ -10,9 +10,10 @@ in all but r of them, so the grid whose cells are the count vectors of (groups
 whose count vectors lie further apart are left out by the Manhattan distance;
 what it leaves is checked on the bits themselves.
 
-Links at a set similarity differ in many bits, where no count vector tells
-copies from strangers; that mode joins the sets themselves, exactly (see
-``near_duplicates``).
+Links at a set similarity take the same way first: fingerprints of the sets, the
+embedding, the grid and the distances name near pairs, which are counted exactly.
+Sets just above the similarity differ in more bits than a count vector can tell from strangers, so pairs
+that the fingerprints leave apart are found by the sets themselves, exactly (see ``near_duplicates``).
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _CHUNK = 8192
 #: A cell with more members than this is split into blocks that are compared two by two.
 BLOCK = 16384
+#: Differing bits up to which near duplicates are named by their fingerprints.
+NEAR_BITS = 4
 #: Runs up to this length are compared in one vector pass.
 _SHORT = 48
 
@@ -259,25 +262,36 @@ def hamming_components(docs: DataFrame, shingle_words: int = 4, max_bits: int =
     one). Other columns are ignored. An empty table gives an empty one.
     """
 
-    def linker(distinct: DataFrame, rows: int) -> DataFrame:
-        groups = groups_for(rows, max_bits)
-        return _links(distinct, max_bits, lambda fps: _cells_exact(fps, max_bits, groups))
-
     def classify(rows: DataFrame) -> DataFrame:
-        out = _classes(fingerprints(rows, shingle_words, 1, "id", "text"), "id", linker)
+        out = _classes(fingerprints(rows, shingle_words, 1, "id", "text"), "id", _exact_linker(max_bits))
         return out.select("id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
     return _by_number(docs, id_col, text_col, classify).select(id_col, "fingerprint", "component_id")
 
 
+def _set_fingerprint(members: np.ndarray) -> bytes:
+    return majority_bits(members).astype(">u8").tobytes()
+
+
+def _exact_linker(max_bits: int):
+    """A function over distinct fingerprints ``rep, fp`` and their number that gives links ``u, v``, by the grid of their counts."""
+
+    def linker(distinct: DataFrame, rows: int) -> DataFrame:
+        groups = groups_for(rows, max_bits)
+        return _links(distinct, max_bits, lambda fps: _cells_exact(fps, max_bits, groups))
+
+    return linker
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id`` where rows whose shingle sets resemble each other by ``similarity`` are linked.
 
-    Every link is counted exactly on the texts' sets of distinct shingles, and
-    every pair that reaches ``similarity`` is joined (see ``resemblance``).
+    Pairs of sets whose fingerprints (of distinct shingles) differ in ``NEAR_BITS`` bits or fewer come from the embedding
+    as in ``hamming_components``; every link is counted exactly on the sets, and every other pair that
+    reaches ``similarity`` is joined too (see ``resemblance``).
     Nulls, ties, repeats, empty tables: as ``hamming_components``; texts without words are alike.
     """
-    return _by_number(docs, id_col, text_col, lambda rows: resemblance_components(rows, shingle_words, similarity)).select(id_col, "component_id")
+    return _by_number(docs, id_col, text_col, lambda rows: resemblance_components(rows, shingle_words, similarity, _exact_linker(NEAR_BITS), _set_fingerprint)).select(id_col, "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

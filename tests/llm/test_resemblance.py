@@ -140,3 +140,56 @@ def test_bounds_rule_out_no_link_and_most_strangers():
                 bits[:] = [resemblance.parities(s).tobytes() for s in (x, y)]
                 open_pairs += len(resemblance.Members(np.array([len(x), len(y)]), bits).near(0, np.array([1]), 0.8))
             assert least * 10 <= open_pairs <= most * 10
+
+
+def test_near_fingerprints_are_joined_first(spark, monkeypatch):
+    """Copies whose fingerprints are near come through the embedding, verified, and are not looked for again; the rest is."""
+    random = np.random.default_rng(11)
+    texts, line = [], words(random, 9)
+    for i in range(40):
+        body = words(random, 400)
+        texts += [(3 * i, " ".join(body)), (3 * i + 1, " ".join([*body, "end"])), (3 * i + 2, " ".join([*body[:360], *words(random, 40)]))]
+    texts += [(200 + i, " ".join(line * 40 + words(random, 2))) for i in range(10)]
+    named, left = [], []
+    near, rest = resemblance._fingerprint_links, resemblance._links
+
+    def first(*args):
+        out = near(*args)
+        named.extend((r.u, r.v) for r in out[0].collect())
+        return out
+
+    def then(texts, cells, described, shingle_words, similarity, found=None):
+        left.append(found is not None)
+        return rest(texts, cells, described, shingle_words, similarity, found)
+
+    monkeypatch.setattr(resemblance, "_fingerprint_links", first)
+    monkeypatch.setattr(resemblance, "_links", then)
+    want = slow_components(texts)
+    assert components(spark, texts) == want
+    assert left == [True] and sum((3 * i, 3 * i + 1) in named for i in range(40)) > 20
+    assert all(want[u] == want[v] for u, v in named)
+
+
+def test_a_part_joined_by_fingerprints_is_tried_by_all_its_members(spark, monkeypatch):
+    """Parts of two texts that start joined: another text may resemble only one of them, in a crowded cell."""
+    monkeypatch.setattr(resemblance, "DENSE", 2)
+    random = np.random.default_rng(12)
+    texts, links = [], []
+    for f in range(12):
+        base = words(random, 204)
+        swap = lambda body, at, n: [*body[:at], *words(random, n), *body[at + n :]]
+        a, b, c = swap(base, 0, 14), base, swap(base, 190, 14)
+        order = (a, b, c) if f % 2 else (b, a, c)
+        texts += [(3 * f + i, " ".join(t)) for i, t in enumerate(order)]
+        links.append((3 * f, 3 * f + 1))
+    want = slow_components(texts)
+    assert want == {i: i - i % 3 for i in range(36)}
+    inner = resemblance._links
+
+    def started(rows, cells, described, shingle_words, similarity, near=None):
+        one = spark.createDataFrame(links, "u long, v long")
+        ids = one.selectExpr("explode(array(u, v)) as id")
+        return inner(rows, cells, described, shingle_words, similarity, (one, resemblance._sets(rows, ids, shingle_words)))
+
+    monkeypatch.setattr(resemblance, "_links", started)
+    assert components(spark, texts) == want
