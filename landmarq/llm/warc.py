@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import materialise, remove, shared_dir
+from ._common import materialise, remove, shared_dir, tidy
 
 #: Bytes of a record's block before it is split.
 SEGMENT_BYTES = 16 * 1024
@@ -134,7 +134,8 @@ def write_archives(
     the payload's digest; rows that repeat both have the writing task and a
     running number besides, and a revisit of such a response names it without them. The engine's own text writer
     stores the records, so ``path`` may be in any store that it reaches; a lost
-    task is written again. Payloads move once, to meet the plan by id and digest.
+    task is written again. Payloads move once, to meet the plan by id and digest;
+    that shuffle's files go once the archives are written.
     """
     ship(pages.sparkSession)
     plan = plan_records(pages, id_col, payload_col)
@@ -162,7 +163,8 @@ def write_archives(
 
     records = ready.mapInArrow(scan, "value binary").select(F.col("value").cast("string"))
     # The two line ends that close a record are the writer's line separator.
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with tidy(pages.sparkSession):
+        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class _Members:
@@ -262,44 +264,16 @@ def _fields(h: dict[str, str], block: bytes) -> tuple:
     return own, kind, h.get("warc-target-uri"), number, origin, total, h.get("warc-refers-to"), h.get("warc-payload-digest"), h.get("warc-block-digest"), block, None
 
 
-def scan_records(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
-    """Every record of the archives under ``path`` as a row; a file is unpacked a part at a time.
-
-    ``split`` keeps only segments (true) or only whole records (false). Where a file is damaged its
-    records up to that place come back and then one of type ``broken`` with
-    the file as ``uri`` and the reason in ``error``; a record with a bad number is ``broken`` too, and reading goes on.
-    """
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-
-    def rows_of(name: str, data: bytes) -> Iterator[tuple]:
-        try:
-            for headers, block in parse_records(data):
-                row = _fields(headers, block)
-                if split is None or split == (row[1] == "continuation" or row[3] is not None):
-                    yield row
-        except ValueError as wrong:
-            if not split:
-                yield None, "broken", name, None, None, None, None, None, None, None, str(wrong)
+_OUT = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("segments", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
+_OUT_SQL = "record_id string, type string, uri string, refers string, segments int, payload binary, error string"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                held, size = [], 0
-                for row in rows_of(name.as_py(), content.as_py()):
-                    held.append(row)
-                    size += len(row[9] or b"")
-                    if size > 8 << 20 or len(held) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _FIELDS)], schema=_FIELDS)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _FIELDS)], schema=_FIELDS)
 
-    return files.mapInArrow(scan, _FIELDS_SQL)
+#: Types of records that are read; others (warcinfo and so on) are left out.
+_KNOWN = ("response", "revisit", "continuation", "broken")
 
 
-_OUT = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("segments", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
-_OUT_SQL = "record_id string, type string, uri string, refers string, segments int, payload binary, error string"
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _finish(rows: list[tuple]) -> tuple:
@@ -334,10 +308,54 @@ def _finish(rows: list[tuple]) -> tuple:
     return record_id, kind, uri, refers, count, body, None
 
 
+def _scan(spark: SparkSession, path: str, split: bool | None, finish: bool = False) -> DataFrame:
+    """``scan_records``; with ``finish`` whole records of known types as rows of ``_OUT``, so that no block leaves the worker that reads it but as a payload."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    schema, held_in = (_OUT, 5) if finish else (_FIELDS, 9)
+
+    def rows_of(name: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for headers, block in parse_records(data):
+                row = _fields(headers, block)
+                if split is None or split == (row[1] == "continuation" or row[3] is not None):
+                    yield row
+        except ValueError as wrong:
+            if not split:
+                yield None, "broken", name, None, None, None, None, None, None, None, str(wrong)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                held, size = [], 0
+                for row in rows_of(name.as_py(), content.as_py()):
+                    if finish and row[1] not in _KNOWN:
+                        continue
+                    held.append(_finish([row]) if finish else row)
+                    size += len(held[-1][held_in] or b"")
+                    if size > 8 << 20 or len(held) == 4096:
+                        yield _batch(held, schema)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, schema)
+
+    return files.mapInArrow(scan, _OUT_SQL if finish else _FIELDS_SQL)
+
+
+def scan_records(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """Every record of the archives under ``path`` as a row; a file is unpacked a part at a time.
+
+    ``split`` keeps only segments (true) or only whole records (false). Where a file is damaged its
+    records up to that place come back and then one of type ``broken`` with
+    the file as ``uri`` and the reason in ``error``; a record with a bad number is ``broken`` too, and reading goes on.
+    """
+    return _scan(spark, path, split)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, type, uri, refers, segments, payload, error`` for each logical record under ``path``.
 
-    Whole records are finished where they are read; only those in segments
+    Whole records are finished in the worker that reads them; only those in segments
     move, grouped by origin and sorted by segment number, and a task holds one
     record's segments at a time. A segment that repeats counts once. A record
     with a missing segment, a wrong total length, broken framing or a digest
@@ -347,16 +365,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     of archives gives an empty table.
     """
     # The archives are scanned once for whole records and once for segments: blocks are not stored a second time.
-    known = F.col("type").isin("response", "revisit", "continuation", "broken")
-    whole, parts = scan_records(spark, path, False).where(known), scan_records(spark, path, True).where(known)
-
-    def out(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _OUT)], schema=_OUT)
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield out([_finish([tuple(x.values())]) for x in batch.slice(at, 256).to_pylist()])
+    whole, parts = _scan(spark, path, False, finish=True), scan_records(spark, path, True).where(F.col("type").isin(*_KNOWN))
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -371,13 +380,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if not held or value[3] != held[-1][3]:
                         held.append(value)
                 if done:
-                    yield out(done)
+                    yield _batch(done, _OUT)
                     done = []
         if held:
-            yield out([_finish(held)])
+            yield _batch([_finish(held)], _OUT)
 
     together = parts.repartition("origin").sortWithinPartitions("origin", F.col("segment").asc_nulls_last(), F.col("type").desc())
-    return whole.mapInArrow(one, _OUT_SQL).union(together.mapInArrow(many, _OUT_SQL))
+    return whole.union(together.mapInArrow(many, _OUT_SQL))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import pytest
 from landmarq.llm import warc
 from landmarq.llm._common import shared_dir
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, html string"
@@ -133,3 +134,25 @@ def test_odd_ids(spark):
     rows = [("a:b\r\nc", None, "t" * 2000), (None, None, "t" * 2000), ("~", None, "t" * 2000), ("", None, "u"), ("é>", None, "t" * 2000)] * 2
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
     assert sorted((r.page_id or "-", r.record_type, r.refers_to) for r in got) == sorted([("-", "response", None), ("-", "revisit", "é>"), ("a:b\r\nc", "revisit", "é>"), ("~", "revisit", "é>"), ("é>", "response", None)] * 2)
+
+
+def test_whole_records_are_finished_in_the_worker_that_reads_them(spark, tmp_path):
+    """One Python worker a task, not one that reads and another that verifies: blocks don't go to the JVM and back."""
+    read = warc.read_archives(spark, archive(tmp_path, segments(size=10000)))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # whole records; segments as they are read and as they meet
+    info = HEAD.replace(b"response", b"warcinfo") + b"Content-Length: 3\r\n\r\nabc"
+    records = [info, *segments("k:01", b"q" * 50, 1000), *segments(size=1000), info]
+    rows = warc.read_archives(spark, archive(tmp_path, records)).collect()
+    assert sorted((r.record_id, r.payload, r.segments, r.error) for r in rows) == [("<urn:landmarq:k:00>", b"p" * 4000, 5, None), ("<urn:landmarq:k:01>", b"q" * 50, 1, None)]
+
+
+def test_python_workers_get_batches_of_few_bytes(spark, tmp_path, monkeypatch):
+    """Ten thousand pages of a batch may be long ones; what a worker holds is bounded by bytes while archives are written."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, write = spark.conf.get(name), DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **k: (seen.append(spark.conf.get(name)), write(self, *a, **k))[1])
+    pages = spark.createDataFrame([(i, None, f"{i} " * 4000) for i in range(20)], SCHEMA)
+    warc.write_archives(pages, f"file://{tmp_path}/out")
+    assert seen == ["16m"] and spark.conf.get(name) == before
+    assert {r.payload.decode() for r in warc.read_archives(spark, f"file://{tmp_path}/out").collect()} == {f"{i} " * 4000 for i in range(20)}
