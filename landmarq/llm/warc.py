@@ -408,8 +408,11 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     held = found.where("type = 'response'").select(F.regexp_replace("record_id", "#[0-9]*>$", ">").alias("_of"), F.col("bytes").alias("_bytes"), F.col("digest").alias("_digest")).groupBy("_of").agg(
         F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")
     )
-    joined = found.join(held, F.when(F.col("type") == "revisit", F.col("refers")) == F.col("_of"), "left")
-    return joined.select(
+    # Only revisits meet their responses: the rest has no key to meet by and would land in one task.
+    again = F.col("type").eqNullSafe("revisit")
+    joined = found.where(again).join(held, F.col("refers") == F.col("_of"), "left").drop("_of")
+    rest = found.where(~again).withColumns({"_bytes": F.lit(None).cast("long"), "_digest": F.lit(None).cast("string")})
+    return joined.union(rest).select(
         page_of(F.col("record_id")).alias(id_col), F.coalesce("bytes", "_bytes").alias("payload_bytes"), F.coalesce("digest", "_digest").alias("payload_digest"), F.col("type").alias("record_type"),
         F.when(F.col("type") == "revisit", page_of(F.col("refers"))).alias("refers_to"), "segments", "error",
     )

@@ -156,3 +156,18 @@ def test_python_workers_get_batches_of_few_bytes(spark, tmp_path, monkeypatch):
     warc.write_archives(pages, f"file://{tmp_path}/out")
     assert seen == ["16m"] and spark.conf.get(name) == before
     assert {r.payload.decode() for r in warc.read_archives(spark, f"file://{tmp_path}/out").collect()} == {f"{i} " * 4000 for i in range(20)}
+
+
+def test_responses_do_not_meet_in_one_task(spark):
+    """No revisits, so nothing has to be joined; a null key would bring all rows to one partition."""
+    pages = spark.createDataFrame([(i, None, f"{i} " * 300) for i in range(200)], SCHEMA)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "8")):
+            spark.conf.set(k, v)
+        got = warc.archive_pages(pages).select("page_id", "payload_bytes", "record_type", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(i, len(f"{i} ") * 300, "response") for i in range(200)]
+    assert len({r.part for r in got}) > 1
